@@ -1,12 +1,14 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
-from . import chat, decontam, simhash, url_filter
+from . import chat, decontam, packing, simhash, token_file, url_filter
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
+    "op8_token_file": token_file.op8_token_file,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {"op2_chat_format": chat.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontam.ORACLE}
