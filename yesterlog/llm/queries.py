@@ -1,12 +1,13 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
-from . import chat, decontam, packing, simhash, token_file, toxicity, url_filter
+from . import chat, decontam, packing, pii, simhash, token_file, toxicity, url_filter
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
+    "op7_pii": pii.op7_pii,
     "op8_token_file": token_file.op8_token_file,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
