@@ -1,12 +1,14 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
-from . import chat, decontam, packing, pii, simhash, token_file, toxicity, url_filter
+from . import chat, decontam, media, packing, pii, simhash, suffix_dedup, token_file, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
+    "op6_media": media.op6_media,
     "op7_pii": pii.op7_pii,
     "op8_token_file": token_file.op8_token_file,
     "op9_toxicity": toxicity.op9_toxicity,
