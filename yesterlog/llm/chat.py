@@ -67,19 +67,24 @@ def linear_nodes(conversations: DataFrame) -> DataFrame:
 def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages: tree, node, parent, score, ... Returns tree, leaf, rank, node, height (0 at the leaf) of the `keep` best paths of each tree."""
     nodes = messages.select(F.coalesce("tree", F.lit(-1)).alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
-    first = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), "score")
-    rounds = [cut(first, "chat-up0")]
-    n = rounds[0].count()
-    while 2 ** len(rounds) <= 2 * n and rounds[-1].filter("up is not null").limit(1).count():
+    known = nodes.select("tree", F.col("node").alias("up"))
+    # rounds[k]: the nodes that have an ancestor 2^k steps up, and the scores of the steps, the ancestor's not included
+    rounds = [cut(nodes.withColumnRenamed("parent", "up").join(known, ["tree", "up"], "left_semi").select("tree", "node", "up", "score"), "chat-up0")]
+    n = nodes.count()
+    while 2 ** len(rounds) <= n and not rounds[-1].isEmpty():
         a, b = rounds[-1], rounds[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("score").alias("more"))
-        rounds.append(cut(a.join(b, ["tree", "up"], "left").select("tree", "node", F.col("higher").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), f"chat-up{len(rounds)}"))
-    parents = rounds[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = rounds[-1].filter("up is null").join(parents, ["tree", "node"], "left_anti")
-    best = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
-    paths = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("height"))
+        rounds.append(cut(a.join(b, ["tree", "up"]).select("tree", "node", F.col("higher").alias("up"), (F.col("score") + F.col("more")).alias("score")), f"chat-up{len(rounds)}"))
+    parents = rounds[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("score"))
     for k in range(len(rounds) - 1, -1, -1):
-        step = rounds[k].filter("up is not null").select("tree", "node", "up")
+        step = rounds[k].select("tree", "node", F.col("up").alias("higher"), F.col("score").alias("more"))
+        leaves = leaves.join(step, ["tree", "node"], "left").select("tree", "leaf", F.coalesce("higher", "node").alias("node"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    roots = nodes.join(rounds[0].select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.col("score").alias("own"))
+    best = Window.partitionBy("tree").orderBy((F.col("score") + F.col("own")).desc(), "leaf")
+    paths = leaves.join(roots, ["tree", "node"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
+    paths = cut(paths.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height")), "chat-leaves")
+    for k in range(len(rounds) - 1, -1, -1):
+        step = rounds[k].select("tree", "node", "up")
         above = paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("height") + 2**k).alias("height"))
         paths = cut(paths.unionByName(above), f"chat-path{k}")
     return paths
