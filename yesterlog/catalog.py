@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import registry
+from .plans import aggregates, features, joins, labels, matching, models, scoring, shrinkage, sources, streams, windows  # noqa: F401  (each registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
