@@ -54,8 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least_cut:
         enc, end, made, task = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), Counter(), TaskContext.get().partitionId()
         for frame in frames:
             out = []
-            for doc, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc, ids in zip(frame.column(0).to_pylist(), enc.encode_column(frame.column(1), end), strict=True):
                 n, start = len(ids) // 4, 0
                 for length in cut_lengths(n, capacity, least_cut):
                     own = ids[4 * start : 4 * (start + length)]

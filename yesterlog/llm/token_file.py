@@ -58,7 +58,7 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             mine = np.flatnonzero(width == w)
-            bits = ((apart[mine][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            bits = np.unpackbits(apart[mine].astype("<u4").view(np.uint8), bitorder="little").reshape(len(mine), BLOCK, 32)[:, :, :w]
             packed = np.packbits(bits.reshape(len(mine), -1), axis=1, bitorder="little")
             body[starts[mine][:, None] + np.arange(packed.shape[1])] = packed
     head = np.array([(b"YLP1", len(ids), n, len(row))], dtype=_HEAD)
@@ -80,10 +80,9 @@ def unpack(data: bytes) -> np.ndarray:
         if w:
             mine = np.flatnonzero(width == w)
             bits = np.unpackbits(body[start[mine][:, None] + np.arange(int(w) * BLOCK // 8)], axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w))
-            values = np.zeros((len(mine), BLOCK), dtype=np.uint32)
-            for b in range(int(w)):
-                values |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[mine] = values
+            whole = np.zeros((len(mine), BLOCK, 32), dtype=np.uint8)
+            whole[:, :, :w] = bits
+            out[mine] = np.packbits(whole.reshape(-1), bitorder="little").view("<u4").reshape(len(mine), BLOCK)
     if len(exceptions):
         row = np.searchsorted(index["exception"], np.arange(len(exceptions)), "right") - 1
         out[row, exceptions["place"]] |= exceptions["high"].astype(np.uint32) << width[row].astype(np.uint32)
@@ -105,8 +104,7 @@ def _write(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["shard", "segment", "shard_start", "n_ids", "doc_ids", "lengths", "data"])
 
         for frame in frames:
-            for doc, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc, ids in zip(frame.column(0).to_pylist(), enc.encode_column(frame.column(1), end), strict=True):
                 docs.append(doc)
                 parts.append(ids)
                 size += len(ids) // 4
@@ -125,8 +123,10 @@ def write_token_file(docs: DataFrame, tokenizer: str, to: str, end_id: int = END
     ordered.mapInArrow(_write(tokenizer, end_id), _SEGMENTS).write.option("compression", "none").parquet(to)
 
 
-def read_documents(spark, path: str) -> DataFrame:
-    """doc_id, start (ids before it in the file), ids (binary, little-endian u32): every document of a token file."""
+def read_documents(spark, path: str, of_ids=None, kind: str = "ids binary") -> DataFrame:
+    """doc_id, start (ids before it in the file) and the ids (binary, little-endian u32) of every document of a token file.
+
+    of_ids, a function of the ids' bytes, may give other values, of type `kind`, in their place."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
 
     def run(frames: Iterator[pa.RecordBatch]):
@@ -134,24 +134,21 @@ def read_documents(spark, path: str) -> DataFrame:
             for shard, start, docs, lengths, data in zip(*(f.column(k).to_pylist() for k in range(5)), strict=True):
                 ids = unpack(data).astype("<u4")
                 ends = np.cumsum(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())], names=["shard", "doc_id", "start", "ids"]
-                )
+                values = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
+                values = pa.array(values, pa.binary()) if of_ids is None else pa.array([of_ids(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(start + ends - lengths, pa.int64()), values], names=["shard", "doc_id", "start", kind.split()[0]])
 
-    docs = segments.select("shard", "shard_start", "doc_ids", "lengths", "data").mapInArrow(run, "shard int, doc_id long, start long, ids binary")
-    # one row for each shard: as many as the file has parts
+    docs = segments.select("shard", "shard_start", "doc_ids", "lengths", "data").mapInArrow(run, f"shard int, doc_id long, start long, {kind}")
+    # a row for each shard: as many as the file has parts, so it can be sent to all tasks
     before = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(F.col("shard").alias("part"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return docs.join(before, F.col("shard") == F.col("part")).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
+    return docs.join(F.broadcast(before), F.col("shard") == F.col("part")).select("doc_id", (F.col("start") + F.col("before")).alias("start"), kind.split()[0])
 
 
-def _checks(frames: Iterator[pa.RecordBatch]):
-    for f in frames:
-        ids = f.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([f.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["key", "n_tokens", "ids_crc32"])
+def _check(ids: bytes) -> dict:
+    return {"ids_crc32": zlib.crc32(ids), "n_tokens": len(ids) // 4}  # in the order in which Arrow keeps inferred fields
 
 
 def op8_token_file(spark, sf_dir: str) -> DataFrame:
     path = table_path(spark, "token-file")
     write_token_file(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path)
-    checked = read_documents(spark, path).select(F.struct("doc_id", "start").alias("key"), "ids").mapInArrow(_checks, "key struct<doc_id:long,start:long>, n_tokens long, ids_crc32 long")
-    return checked.select("key.doc_id", "key.start", "n_tokens", "ids_crc32")
+    return read_documents(spark, path, _check, "checks struct<ids_crc32:long,n_tokens:long>").select("doc_id", "start", "checks.n_tokens", "checks.ids_crc32")

@@ -4,7 +4,8 @@ Both vocabularies' pre-tokenizers always end a token before a space that stands
 space, and before and after a newline there; so such a piece has the same ids in any text, and the library needs to encode each
 distinct piece once. A new piece of plain letters, digits and ASCII signs is cut into words here and given to the library's
 model; any other goes through the library's whole encoder. Texts where white space meets white space are cut by a regular
-expression at the safe places alone. A cache is dropped when it holds CACHE_PIECES, which bounds a worker's memory.
+expression at the safe places alone. A cache is dropped when it
+holds CACHE_PIECES, which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
+from itertools import filterfalse
 
-import numpy as np
+import pyarrow as pa
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 350_000
+GROUP = 64
 LONGEST_KEPT = 48
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Divides pieces in a list of ids; ids are under 2^24, so their bytes never hold it.
+_END = b"\xff\xff\xff\xff"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[\n ]?[!-~{_LETTER}]+")
+_PLAIN = re.compile(rf"[\n ]?[!-~{_LETTER}]+").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
@@ -34,6 +40,21 @@ def _byte_characters() -> dict[int, str]:
 _BYTES = _byte_characters()
 
 
+class _Made(dict):
+    """A dictionary that makes and keeps the values it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,59 +64,68 @@ class Encoder:
             raise RuntimeError("ids are written as this machine's unsigned ints, which must be 32-bit and little-endian")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary: lower case, white space dropped, digits one by one
         space, digits = ("", "[0-9]") if self.lower else (" ?", " ?[0-9]+")
-        self.cutter = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{space}[{_LETTER}]+|{digits}|{space}[^\s0-9{_LETTER}]+" + ("" if self.lower else r"|\s"))
+        self.cutter = re.compile(rf"\x00|'s|'t|'re|'ve|'m|'ll|'d|{space}[{_LETTER}]+|{digits}|{space}[^\s\x000-9{_LETTER}]+" + ("" if self.lower else r"|\s")).findall
+        self.words = _Made(lambda w: _END if w == "\0" else self._word(w))
+        self.whole = _Made(self._whole)  # by the exact string
         self.pieces: dict[str, bytes] = {}  # by the piece; a space stands before it unless it starts with a newline
-        self.whole: dict[str, bytes] = {}  # by the exact string
-        self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize((word if word.isascii() else word.encode().decode("latin-1")).translate(_BYTES))]).tobytes()
-            if len(self.words) > CACHE_PIECES:
-                self.words.clear()
-            if len(word) <= LONGEST_KEPT:
-                self.words[word] = ids
-        return ids
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [b"".join(map(self._word, self.cutter.findall(t.lower() if self.lower else t))) if _PLAIN.fullmatch(t) else None for t in texts]
-        other = [t for t, ids in zip(texts, out, strict=True) if ids is None]
-        made = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False)) if other else iter(())
-        return [np.array(next(made).ids, dtype="<u4").tobytes() if ids is None else ids for ids in out]
-
-    def _encode(self, known: dict[str, bytes], keys: list[str], missing: list[str], texts: list[str]) -> bytes:
-        fresh = dict(zip(missing, self._library(texts), strict=True))
-        known.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_KEPT)
-        return b"".join([fresh[k] if k in fresh else known[k] for k in keys])
-
-    def _whole(self, parts: list[str]) -> bytes:
-        if len(self.whole) > CACHE_PIECES:
-            self.whole.clear()
-        missing = list({p for p in parts if p not in self.whole})
-        return self._encode(self.whole, parts, missing, missing)
+        return array("I", [t.id for t in self.tokenize((word if word.isascii() else word.encode().decode("latin-1")).translate(_BYTES))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        if _PLAIN(text):
+            return b"".join(map(self.words.__getitem__, self.cutter(text.lower() if self.lower else text)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, pieces: list[str], space: str) -> None:
+        """Encodes plain pieces in one go: their words stand in one list, divided by a mark that no ids contain."""
+        if pieces:
+            joined = space + f"\0{space}".join(pieces)
+            ids = b"".join(map(self.words.__getitem__, self.cutter(joined.lower() if self.lower else joined))).split(_END)
+            self.pieces.update(zip(pieces, ids, strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds ids of new pieces, except of those that don't make safe cuts: white space meets white space there."""
+        spaced, after_newline = [], []
+        for p in new - {"", "\n"}:
+            if _PLAIN(p):
+                (after_newline if p[0] == "\n" else spaced).append(p)
+            elif not p[-1].isspace() and not (p[1] if p[0] == "\n" else p[0]).isspace():
+                self.pieces[p] = self._whole(p if p[0] == "\n" else " " + p)
+        self._plain(spaced, "" if self.lower else " ")
+        self._plain(after_newline, "")
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        cuts = [t.replace("\n", " \n").split(" ") for t in texts]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        new: set[str] = set()
+        for c in cuts:
+            new.update(filterfalse(self.pieces.__contains__, c))
+        self._learn(new)
+        out = []
+        for text, c in zip(texts, cuts, strict=True):
+            first = c[0]
+            try:
+                if len(c) > 1 and (not first or first[-1].isspace()):
+                    raise KeyError
+                out.append((self.whole[first] if first else b"") + b"".join(map(self.pieces.__getitem__, c[1:])))
+            except KeyError:
+                out.append(b"".join(map(self.whole.__getitem__, _SAFE.split(text))))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self._whole(_SAFE.split(text))
-        known = self.pieces
-        try:
-            body = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            missing = list({p for p in rest if p not in known})
-            if any(not p or p == "\n" or p[-1].isspace() or (p[1] if p[0] == "\n" else p[0]).isspace() for p in missing):
-                return self._whole(_SAFE.split(text))
-            body = self._encode(known, rest, missing, [p if p[0] == "\n" else " " + p for p in missing])
-        return self._whole([first]) + body
+        return self.encode_batch([text])[0]
+
+    def encode_column(self, column: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+        """The ids of each text of an Arrow column, null as empty, each with `end` behind it."""
+        for i in range(0, len(column), GROUP):
+            for ids in self.encode_batch([t or "" for t in column.slice(i, GROUP).to_pylist()]):
+                yield ids + end
 
 
 def encoder(path: str) -> Encoder:
