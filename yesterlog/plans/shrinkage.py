@@ -267,8 +267,8 @@ def cascade_profile(spark, d):
 
 
 @query("dynamic_strength", over(EVENTS, """
-  , v AS (SELECT *, greatest(50.0::DOUBLE, least(180.0::DOUBLE, 55 + 220 * abs(coalesce(rate, 0.2::DOUBLE) - 0.2::DOUBLE) + 40 / (1 + ln(1 + n)))) AS k FROM ev)
-  SELECT event_id, round((s + k * 0.2::DOUBLE) / (n + k), 9) AS smooth FROM v"""))
+  , v AS (SELECT *, greatest(50.0::DOUBLE, least(180.0::DOUBLE, 55 + 220 * abs(coalesce(rate, 0.2::DOUBLE) - 0.2::DOUBLE) + 40 / (1 + ln(1 + n)))) AS strength FROM ev)
+  SELECT event_id, round((s + strength * 0.2::DOUBLE) / (n + strength), 9) AS smooth FROM v"""))
 def dynamic_strength(spark, d):
     """The strength of the prior grows with how far the rate is out and falls with the counter."""
     k = clip(F.lit(55) + 220 * F.abs(F.coalesce("rate", F.lit(0.2)) - F.lit(0.2)) + 40 / (1 + F.log1p("n")), 50, 180)
