@@ -371,7 +371,7 @@ def gram_solve(spark, d):
     return spark.createDataFrame(rows, "how string, a double, b double, c double")
 
 
-@query("gram_ridge_effect", over(_PRED, """, x AS (SELECT event_id, p - 0.2::DOUBLE AS a, y - p AS t FROM pr), g AS (SELECT sum(a * a) AS aa, sum(a * t) AS at FROM x) SELECT event_id, round(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, at / (1.01::DOUBLE * aa))) * a, 7) AS effect FROM x, g"""))
+@query("gram_ridge_effect", over(_PRED, """, x AS (SELECT event_id, p - 0.2::DOUBLE AS a, y - p AS t FROM pr), g AS (SELECT sum(a * a) AS aa, sum(a * t) AS xt FROM x) SELECT event_id, round(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, xt / (1.01::DOUBLE * aa))) * a, 7) AS effect FROM x, g"""))
 def gram_ridge_effect(spark, d):
     """One ridge coefficient, bounded to 3, applied to every row."""
     x = predictions(spark, d).select("event_id", (F.col("p") - F.lit(0.2)).alias("a"), (F.col("y") - F.col("p")).alias("t"))
