@@ -4,8 +4,8 @@ Both vocabularies' pre-tokenizers always end a token before a space that stands
 space, and before and after a newline there; so such a piece has the same ids in any text, and the library needs to encode each
 distinct piece once. A new piece of plain letters, digits and ASCII signs is cut into words here and given to the library's
 model; any other goes through the library's whole encoder. Texts where white space meets white space are cut by a regular
-expression at the safe places alone. A cache is dropped when it
-holds CACHE_PIECES, which bounds a worker's memory.
+expression at the safe places alone. A cache that
+holds CACHE_PIECES drops all but its oldest entries, which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import compress, count, islice
+from operator import not_
 
 import pyarrow as pa
 
-CACHE_PIECES = 350_000
+CACHE_PIECES = 400_000
+#: A full cache keeps this part of its entries, those that came first: frequent pieces come early.
+KEPT_PART = 3
 GROUP = 64
 LONGEST_KEPT = 48
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -40,6 +43,13 @@ def _byte_characters() -> dict[int, str]:
 _BYTES = _byte_characters()
 
 
+def shrink(cache: dict) -> None:
+    if len(cache) >= CACHE_PIECES:
+        oldest = list(islice(cache.items(), CACHE_PIECES // KEPT_PART))
+        cache.clear()
+        cache.update(oldest)
+
+
 class _Made(dict):
     """A dictionary that makes and keeps the values it lacks."""
 
@@ -49,8 +59,7 @@ class _Made(dict):
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONGEST_KEPT:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
+            shrink(self)
             self[key] = value
         return value
 
@@ -100,22 +109,22 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        shrink(self.pieces)
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        new: set[str] = set()
-        for c in cuts:
-            new.update(filterfalse(self.pieces.__contains__, c))
-        self._learn(new)
+        # one look-up for each piece; only those that miss are looked up again once they are learnt
+        found = [list(map(self.pieces.get, c)) for c in cuts]
+        missing = [list(compress(count(), map(not_, f))) for f in found]
+        self._learn({c[i] for c, m in zip(cuts, missing, strict=True) for i in m})
         out = []
-        for text, c in zip(texts, cuts, strict=True):
+        for text, c, f, m in zip(texts, cuts, found, missing, strict=True):
+            for i in m:
+                f[i] = self.pieces.get(c[i])
             first = c[0]
-            try:
-                if len(c) > 1 and (not first or first[-1].isspace()):
-                    raise KeyError
-                out.append((self.whole[first] if first else b"") + b"".join(map(self.pieces.__getitem__, c[1:])))
-            except KeyError:
+            f[0] = self.whole[first] if first else b""
+            if None in f or len(c) > 1 and (not first or first[-1].isspace()):
                 out.append(b"".join(map(self.whole.__getitem__, _SAFE.split(text))))
+            else:
+                out.append(b"".join(f))
         return out
 
     def encode(self, text: str) -> bytes:
