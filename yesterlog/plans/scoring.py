@@ -371,13 +371,13 @@ def gram_solve(spark, d):
     return spark.createDataFrame(rows, "how string, a double, b double, c double")
 
 
-@query("gram_ridge_effect", over(_PRED, """, x AS (SELECT event_id, p - 0.2::DOUBLE AS a, y - p AS t FROM pr), g AS (SELECT sum(a * a) AS aa, sum(a * t) AS xt FROM x) SELECT event_id, round(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, xt / (1.01::DOUBLE * aa))) * a, 7) AS effect FROM x, g"""))
+@query("gram_ridge_effect", over(_PRED, """, x AS (SELECT event_id, p - 0.2::DOUBLE AS a, y - p AS t FROM pr), g AS (SELECT sum(a * a) AS aa, sum(a * t) AS xt FROM x) SELECT event_id, round(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, xt / (1.01::DOUBLE * aa))), 4) * a + 0.0::DOUBLE AS effect FROM x, g"""))
 def gram_ridge_effect(spark, d):
     """One ridge coefficient, bounded to 3, applied to every row."""
     x = predictions(spark, d).select("event_id", (F.col("p") - F.lit(0.2)).alias("a"), (F.col("y") - F.col("p")).alias("t"))
     m, b, _ = B.gram(x, ["a"], "t")
-    w = float(B.ridge(m, b, 0.01, 3.0)[0])
-    return x.select("event_id", F.round(F.lit(w) * F.col("a"), 7).alias("effect"))
+    w = round(float(B.ridge(m, b, 0.01, 3.0)[0]), 4)
+    return x.select("event_id", (F.lit(w) * F.col("a") + F.lit(0.0)).alias("effect"))
 
 
 @query("rate_against_total", over(_PRED, "SELECT user_id, sum(y)::BIGINT AS total, count(*) AS n, sum(y)::BIGINT / count(*) AS rate, sum(y)::BIGINT / count(*) > 0.2::DOUBLE AS above FROM pr GROUP BY user_id"))

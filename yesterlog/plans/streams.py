@@ -1 +1,65 @@
-"""To come."""
+"""Event-time windows in batch and as streams, and the as-of state kept online."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import asof as S
+from .registry import EVENTS, over, query, table
+
+_HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL"
+
+
+def _hourly(ev):
+    g = ev.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
+
+
+def _stream(spark, d):
+    return S.read_events(spark, f"{d}/events.parquet")
+
+
+@query("tumbling_counts", _HOURLY)
+def tumbling_counts(spark, d):
+    return _hourly(table(spark, d, "events"))
+
+
+@query("tumbling_stream", _HOURLY)
+def tumbling_stream(spark, d):
+    """The same as a stream in complete mode: every window, the last ones included."""
+    return S.drained(_hourly(_stream(spark, d)), "tumbling", "complete")
+
+
+@query("sliding_counts", "SELECT strftime(date_trunc('hour', ts) - to_hours(b), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS b) GROUP BY ALL")
+def sliding_counts(spark, d):
+    g = table(spark, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("session_windows", """WITH a AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000, true) THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  c AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT user_id, min(us) AS first_us, count(*) AS n FROM c GROUP BY user_id, run""")
+def session_windows(spark, d):
+    ev = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = ev.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", F.unix_micros("w.start").alias("first_us"), "n")
+
+
+@query("stateful_asof_stream", over(EVENTS, "SELECT user_id, event_id, n, s FROM ev"))
+def stateful_asof_stream(spark, d):
+    """Every event with its user's count and sum before it, from state that a stream keeps."""
+    ev = _stream(spark, d).withColumn("y", (F.col("event_type") == "purchase").cast("long"))
+    return S.drained(S.online_state(ev, "user_id", "event_id", "y"), "asof")
+
+
+@query("dedup_stream", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def dedup_stream(spark, d):
+    """Each event arrives twice and stays once."""
+    twice = _stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return S.drained(S.once(twice, ["event_id"]).select("event_id", "event_type"), "dedup").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("batch_rates_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def batch_rates_stream(spark, d):
+    """A batch aggregation of each micro-batch, added up afterwards."""
+    parts = S.each_batch(_stream(spark, d), lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("c")), "rates")
+    return parts.groupBy("event_type").agg(F.sum("c").alias("n"))
