@@ -217,8 +217,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents of docs that no benchmark window touches, with all their columns. doc_id must identify a document."""
-    hit = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+    hit = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -132,9 +132,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, with all their columns. doc_id must identify a document."""
-    keep = near_duplicates(docs.select("doc_id", "text"), **how).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The documents that are the smallest doc_id of their group, with all their columns; null ids stay. doc_id must identify a document."""
+    others = near_duplicates(docs.select("doc_id", "text"), **how).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
