@@ -29,8 +29,8 @@ def mode_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, votes, of_all: the most frequent value, the smallest of equally frequent ones."""
     votes = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy(*keys)
-    ranked = votes.withColumn("of_all", F.sum("votes").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("votes"), value)))
-    return ranked.filter("k = 1").drop("k")
+    ranked = votes.withColumn("of_all", F.sum("votes").over(w)).withColumn("_place", F.row_number().over(w.orderBy(F.desc("votes"), value)))
+    return ranked.filter("_place = 1").drop("_place")
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
