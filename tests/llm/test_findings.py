@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from yesterlog.llm import near_copies
+from yesterlog.llm import decontam, near_copies
 
 
 def shingle_set(text, n=5):
@@ -72,3 +72,23 @@ def test_near_copies_keep_one_row_of_null_and_repeated_ids(spark):
     out = near_copies.one_of_each_group(docs)
     assert out.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(5, text), (5, "something else"), (None, "only here")]))
+
+
+def test_op4_same_rows_for_any_number_of_blocks(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "x alpha beta"), (1, "x alpha beta"), (None, "gamma delta"), (None, "clean words here now"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [(1, "alpha beta"), (2, "gamma delta"), (2, "beta gamma"), (3, "not found at all"), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    every = lambda size: sorted(map(repr, decontam.contaminated_spans(docs, bench, 2, size).collect()))
+    assert len(every(1 << 24)) == len(rows)
+    assert every(12) == every(1 << 24)
+    matches = lambda size: sorted(decontam.longest_matches(docs.dropna().coalesce(1), bench, 5, size).collect())
+    assert [m[:3] for m in matches(12)] == [m[:3] for m in matches(1 << 24)]
+
+
+def test_op4_blocks_keep_their_bound(spark):
+    bench = spark.createDataFrame([(i, "word " * (i % 7 + 1)) for i in range(40)], "item_id long, text string")
+    n, blocks = decontam._blocks(bench, 60)
+    blocks = list(blocks)
+    assert n == len(blocks) > 1 and all(sum(len(t) for _, t in b) <= 60 for b in blocks)
+    assert sorted(int(i) for b in blocks for i, _ in b) == list(range(40))

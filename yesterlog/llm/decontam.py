@@ -5,7 +5,8 @@ vocabulary (0: not in it); all suffixes that can match at all, those whose first
 a suffix array whose keys are cut after the longest window. Every test suffix is then binary-searched, from both sides, in
 each shard's array: the interval between holds all places where the window that starts there occurs verbatim. `longest_matches`
 gives for each test suffix the longest match and one of its places. The benchmark is sent to the tasks in blocks of at most
-`block_bytes`; a larger benchmark takes several passes, whose spans are merged, so nothing that is sent grows with the data.
+`block_bytes`; tasks number the blocks of a larger benchmark and write them to the shared folder. It takes a pass for each, for
+which the driver reads that block alone; each pass is written, and their spans are merged by a key that every document row got once.
 
 Words: A-Z lower-cased, runs of [0-9a-z] and of all characters from U+0080. A window is `window` consecutive words of an item;
 an item with fewer words, but at least one, is one window. A document word inside any occurrence is hit.
@@ -22,10 +23,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, load, text_bytes
+from .common import batches, cut, load, table_path, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -128,30 +131,57 @@ def merge(spans: list) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of at most block_bytes (a longer item is a block of its own)."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).filter("item is not null and text is not null").distinct().toLocalIterator():
-        text = r.text.encode()
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.item, text))
-        size += len(text)
-    yield block
+def _numbered(items: DataFrame, parts: int, block_bytes: int) -> DataFrame:
+    """Items with the number of their block; each task numbers its own."""
+
+    def run(frames: Iterator[pa.RecordBatch]):
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for f in frames:
+            numbers = []
+            for text in text_bytes(f.column(1)):
+                if size and size + len(text) > block_bytes:
+                    block, size = block + 1, 0
+                size += len(text)
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), f.column(0), f.column(1)], names=["block", "item", "text"])
+
+    return items.repartition(parts).mapInArrow(run, "block long, item string, text string")
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of blocks of at most block_bytes (a longer item is a block of its own), and their items, read block by block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).filter("item is not null and text is not null").distinct()
+    read = lambda block: [(r.item, r.text.encode()) for r in block.select("item", "text").collect()]
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= block_bytes:
+        return 1, iter([read(items)])
+    # parts are filled to nine tenths, so that few tasks begin a second block
+    written = cut(_numbered(items, -(-size * 10 // (block_bytes * 9)), block_bytes), "decontam-blocks")
+    numbers = sorted(r.block for r in written.select("block").distinct().collect())
+    return len(numbers), (read(written.filter(F.col("block") == k)) for k in numbers)
+
+
+def _only_hits(test: Windows, rows, starts, keys, bounds, ids):
+    for f in _spans(test, rows, starts, keys, bounds, ids):
+        yield f.filter(pc.greater(pc.list_value_length(f.column(2)), 0))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), for every document."""
+    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_words long, spans array<array<bigint>>, items array<string>"
-    passes = [texts.mapInArrow(_shards(window, block, _spans), schema) for block in _blocks(benchmark, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    n, blocks = _blocks(benchmark, block_bytes)
+    if n == 1:
+        return texts.mapInArrow(_shards(window, next(blocks), _spans), schema)
+    # rows get a key that is written once; the first pass keeps every row, the others those that are hit
+    rows = cut(texts.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    folder = table_path(docs.sparkSession, "decontam-passes")
+    for k, block in enumerate(blocks):
+        found = rows.select("row", "text").mapInArrow(_shards(window, block, _only_hits if k else _spans), schema)
+        found.withColumnRenamed("doc_id", "row").write.parquet(f"{folder}/pass={k}")
+    every = docs.sparkSession.read.schema(schema.replace("doc_id", "row")).parquet(folder)
+    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = rows.select("row", "doc_id").join(every, "row").select("doc_id", "n_words", "spans", "items")
 
     def together(frames):
         for f in frames:
@@ -192,10 +222,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 50, blo
         return one_word
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = [texts.mapInArrow(_shards(window, b, finder(b)), "item_id string, start long, length long, doc_id long, at long") for b in _blocks(benchmark, block_bytes)]
-    out = every[0]
-    for e in every[1:]:
-        out = out.unionByName(e)
+    schema, (n, blocks) = "item_id string, start long, length long, doc_id long, at long", _blocks(benchmark, block_bytes)
+    if n == 1:
+        block = next(blocks)
+        out = texts.mapInArrow(_shards(window, block, finder(block)), schema)
+    else:
+        folder = table_path(docs.sparkSession, "decontam-matches")
+        for k, block in enumerate(blocks):
+            texts.mapInArrow(_shards(window, block, finder(block)), schema).write.parquet(f"{folder}/pass={k}")
+        out = docs.sparkSession.read.schema(schema).parquet(folder)
     best = F.max_by(F.struct("length", "doc_id", "at"), F.struct("length", -F.col("doc_id"), -F.col("at"))).alias("m")
     return out.groupBy("item_id", "start").agg(best).select("item_id", "start", "m.length", "m.doc_id", "m.at")
 
