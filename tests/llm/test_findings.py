@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from yesterlog.llm import decontam, near_copies
+from yesterlog.llm import decontam, near_copies, pii
 
 
 def shingle_set(text, n=5):
@@ -92,3 +92,14 @@ def test_op4_blocks_keep_their_bound(spark):
     blocks = list(blocks)
     assert n == len(blocks) > 1 and all(sum(len(t) for _, t in b) <= 60 for b in blocks)
     assert sorted(int(i) for b in blocks for i, _ in b) == list(range(40))
+
+
+def test_op7_discoveries_make_patterns(spark):
+    """Seeds make "mail" a pattern, its discoveries make "contact" one, and those of "contact" are found and masked after any word."""
+    texts = [f"mail user{i}@site.org" for i in range(40)] + [f"mail agent{i}x" for i in range(5)]
+    texts += [f"contact agent{i}x" for i in range(5)] + ["contact spy900z", "seen spy900z", "spy900z", "seen other77q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spans = pii.find_spans(docs)
+    text = {r.doc_id: r.text for r in pii.masked(docs, spans).collect()}
+    assert [text[i] for i in range(40, 54)] == ["mail [EMAIL]"] * 5 + ["contact [EMAIL]"] * 6 + ["seen [EMAIL]", "[EMAIL]", "seen other77q"]
+    assert spans.filter("base").count() == 40

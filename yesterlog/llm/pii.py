@@ -4,7 +4,9 @@ Base spans (email, ip, card, phone) are seeds. The word before a seed, with the
 identifier-like string (a run with a digit, at least CANDIDATE_LENGTH long) is a candidate instance of the patterns whose word
 stands before it. The bipartite graph of patterns and instances is scored in ROUNDS rounds: a pattern's confidence is the mean
 score of the distinct instances it stands before (seeds of its kind 1, of other kinds 0), an instance's score the noisy-or of its
-patterns. Candidates of at least ACCEPT, before which such a pattern stands, become spans of the pattern's kind.
+patterns. A word is a pattern of a kind once it stands before MIN_SEEDS distinct instances of it, seeds or discovered ones (before
+which a pattern of at least ACCEPT stands), so each round's discoveries make patterns for the next. Candidates of at least ACCEPT,
+before which such a pattern stands somewhere, become spans of the pattern's kind wherever they occur.
 
 Positions are code points: the text is split at the matches, and a window sums the lengths of what comes before each. The
 expressions never back-track over a run, so long runs cost linear time, and texts without a digit or "@" are left at the scan.
@@ -74,25 +76,26 @@ def find_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     word = F.regexp_extract(F.lower("before"), r"([^\s]{1,24})\s*$", 1)
     seen = cut(every.withColumn("overlaps", overlaps).filter("not overlaps").select("doc_id", "h", "kind", "start", "stop", word.alias("word"), F.lower("match").alias("instance")), "pii-spans")
     accepted = _bootstrap(seen.filter("word <> ''").groupBy("word", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), rounds)
-    found = seen.filter("kind = 'candidate'").drop("kind").join(accepted, ["word", "instance"]).select("doc_id", "h", "kind", "start", "stop", F.lit(False).alias("base"))
+    found = seen.filter("kind = 'candidate'").drop("kind").join(accepted, "instance").select("doc_id", "h", "kind", "start", "stop", F.lit(False).alias("base"))
     return seen.filter("kind <> 'candidate'").select("doc_id", "h", "kind", "start", "stop", F.lit(True).alias("base")).unionByName(found)
 
 
 def _bootstrap(edges: DataFrame, rounds: int) -> DataFrame:
-    """edges: word, instance, kind (candidate or a seed's). Returns the word, instance, kind of accepted candidates."""
+    """edges: word, instance, kind (candidate or a seed's). Returns the instance, kind of accepted candidates."""
     edges = cut(edges, "pii-graph")
     candidates = edges.filter("kind = 'candidate'").select("word", "instance")
-    size = edges.groupBy("word").agg(F.count_distinct("instance").alias("size"))
-    seeds = edges.filter("kind <> 'candidate'").groupBy("word", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    patterns = cut(seeds.join(size, "word").select("word", "kind", "seeds", "size", (F.col("seeds") / F.col("size")).alias("confidence")), "pii-patterns0")
+    size = cut(edges.groupBy("word").agg(F.count_distinct("instance").alias("size")), "pii-sizes")
+    seeds = cut(edges.filter("kind <> 'candidate'").groupBy("word", "kind").agg(F.count(F.lit(1)).alias("seeds")), "pii-seeds")
+    patterns = cut(seeds.filter(F.col("seeds") >= MIN_SEEDS).join(size, "word").select("word", "kind", (F.col("seeds") / F.col("size")).alias("confidence")), "pii-patterns0")
     for k in range(1, rounds + 1):
         miss = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
-        scores = cut(candidates.join(patterns, "word").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score")), f"pii-scores{k}")
-        gained = candidates.join(scores, "instance").groupBy("word", "kind").agg(F.sum("score").alias("gained"))
-        confidence = F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("size"))
-        patterns = cut(patterns.drop("confidence").join(gained, ["word", "kind"], "left").select("word", "kind", "seeds", "size", confidence.alias("confidence")), f"pii-patterns{k}")
+        scores = cut(candidates.join(patterns, "word").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"), F.max("confidence").alias("best")), f"pii-scores{k}")
+        gained = candidates.join(scores, "instance").groupBy("word", "kind").agg(F.sum("score").alias("gained"), F.count(F.when(F.col("best") >= ACCEPT, 1)).alias("discovered"))
+        both = seeds.join(gained, ["word", "kind"], "full").na.fill(0, ["seeds", "gained", "discovered"]).filter(F.col("seeds") + F.col("discovered") >= MIN_SEEDS)
+        confidence = F.least(F.lit(1.0), (F.col("seeds") + F.col("gained")) / F.col("size"))
+        patterns = cut(both.join(size, "word").select("word", "kind", confidence.alias("confidence")), f"pii-patterns{k}")
     good = scores.filter(F.col("score") >= ACCEPT).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    return candidates.join(good, "instance").join(patterns.filter(F.col("confidence") >= ACCEPT), ["word", "kind"], "left_semi").select("word", "instance", "kind")
+    return candidates.join(good, "instance").join(patterns.filter(F.col("confidence") >= ACCEPT), ["word", "kind"], "left_semi").select("instance", "kind").distinct()
 
 
 def report(docs: DataFrame, spans: DataFrame) -> DataFrame:
