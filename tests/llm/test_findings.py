@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from yesterlog.llm import decontam, near_copies, pii
+from yesterlog.llm import decontam, near_copies, pii, simhash
 
 
 def shingle_set(text, n=5):
@@ -103,3 +103,14 @@ def test_op7_discoveries_make_patterns(spark):
     text = {r.doc_id: r.text for r in pii.masked(docs, spans).collect()}
     assert [text[i] for i in range(40, 54)] == ["mail [EMAIL]"] * 5 + ["contact [EMAIL]"] * 6 + ["seen [EMAIL]", "[EMAIL]", "seen other77q"]
     assert spans.filter("base").count() == 40
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text), (5, text), (5, text), (5, "something else"), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1))
+    out = simhash.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(5, text), (5, "something else"), (None, "only here")]))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted(str((r.doc_id, r.text)) for r in decontam.clean_documents(docs, bench).collect()) == sorted(map(str, [(5, "something else"), (None, "only here"), (None, "only here")]))

@@ -51,6 +51,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups: doc_id, h (xxhash64 of the text), root. The row of docs with the least doc_id (null last) of each root, once if it is repeated."""
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__h": F.xxhash64(F.coalesce("text", F.lit("")))}
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__h"))).alias("k")
+    first = groups.groupBy("root").agg(least).select("k.*")
+    return docs.withColumns(key).join(first, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

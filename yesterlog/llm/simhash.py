@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, load, text_bytes
+from .common import batches, cut, first_of_each, load, text_bytes
 from .components import connected
 
 SHINGLE, RADIUS, SEED, HOT = 3, 3, 42, 4096
@@ -132,9 +132,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, with all their columns; null ids stay. doc_id must identify a document."""
-    others = near_duplicates(docs.select("doc_id", "text"), **how).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, with all its columns: of the smallest doc_id, a null only where there is no other."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = near_duplicates(docs.select(own.alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("h"), F.col("component_id").alias("root")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("h")).join(groups, "h")
+    return first_of_each(docs, rows)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
