@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeats, and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -286,12 +287,23 @@ def test_tokens_equal_the_library():
 
 
 def test_op9_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    """A constant classifier has a recall or a share of clean documents kept of 0, and an area under the curve of one half."""
+    sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = {r.doc_id: r for r in toxicity.score_toxicity(d, toxicity.fit_toxicity(d, labels)).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
-    truth = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out and r.toxic is not None]
-    assert sum(a == b for a, b in truth) / len(truth) >= 0.9
+    truth = [(r.toxic, got[r.doc_id]) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out and r.toxic is not None]
+    toxic, clean = ([r for y, r in truth if y == k] for k in (1, 0))
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert np.mean([[(t.score > c.score) + (t.score == c.score) / 2 for c in clean] for t in toxic]) >= 0.95
+
+
+def test_op9_repeated_rows_and_nulls(spark):
+    d = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (None, "you idiot"), (2, None), (2, ""), (3, "x " * 70_000)], EMPTY)
+    rows = toxicity.score_toxicity(d, pickle.dumps(toxicity.Model())).collect()
+    assert len(rows) == 6 and len({r.score for r in rows if r.doc_id in (1, None)}) == 1 and len({r.score for r in rows if r.doc_id == 2}) == 1
+    assert [r.held_out for r in rows if r.doc_id is None] == [None]
 
 
 def test_op9_edge(spark, docs):

@@ -1,9 +1,13 @@
 """Toxicity: a convolutional text classifier with hashed word embeddings, filters of several widths and max pooling, in numpy.
 
-A word's embedding is the sum of the rows of its own hash and of the hash of its first PREFIX letters. Filters of widths 1, 2
-and 3 slide over the whole text, each keeps its maximum, and a linear layer gives the logit. Since everything before the
+A word's embedding is the sum of the rows of its own hash and of the hashes of its first PREFIXES letters. Filters of widths
+1, 2 and 3 slide over the whole text, each keeps its maximum, and a linear layer gives the logit. Since everything before the
 maximum is linear, the filters are multiplied into the embedding table once, and scoring a text is gathers, sums and maxima.
 
+A maximum sees one window only, but one suspicious word is weak evidence and several are strong. So the buckets are dealt to
+CHANNELS by the word's first letters, and training starts from filters that each look at one channel: the sum of their maxima
+grows with the number of different suspicious words. Gradient descent then moves embeddings, filters and all else.
+
 Training runs in one Spark task on at most SAMPLE labelled rows (a third toxic, the rest not, chosen by a hash of doc_id), however
 large the input; a fifth of them calibrate: for each language a threshold on the logit, moved to score 0.5. The language is
 guessed from the text's own function words; no column other than the text enters a score.
@@ -28,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-SAMPLE, BUCKETS, DIM, FILTERS, WIDTHS, PREFIX = 9000, 1 << 15, 8, 12, (1, 2, 3), 4
-EPOCHS, BATCH, RATE, STEPS = 5, 32, 0.01, 1000
+SAMPLE, BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES, CHANNELS = 9000, 1 << 15, 12, 12, (1, 2, 3), (3, 4, 5), 8
+BITS, VOTE_AT, SMOOTH = 15, 60, 0.5
+EPOCHS, BATCH, RATE, STEPS = 3, 32, 0.03, 250
 CHUNK_WORDS = 1 << 15
 #: Common function words of each language, for guessing a text's language.
 FUNCTION_WORDS = {
@@ -45,8 +50,16 @@ _known: dict[str, int] = {}
 
 
 def _number(word: str) -> int:
-    """Both hashes and the language vote in one integer."""
-    return crc32(word.encode()) % BUCKETS | crc32(b"^" + word[:PREFIX].encode()) % BUCKETS << 20 | _VOTES.get(word, 0) << 40
+    """The three buckets, of one channel, and the language vote in one integer."""
+    channel = crc32(word[: PREFIXES[0]].encode()) % CHANNELS
+    out = _VOTES.get(word, 0) << VOTE_AT
+    for k, part in enumerate((b"=" + word.encode(), *(b"%d^" % n + word[:n].encode() for n in PREFIXES))):
+        out |= (crc32(part) % (BUCKETS // CHANNELS) * CHANNELS + channel) << BITS * k
+    return out
+
+
+def buckets(x: np.ndarray) -> list[np.ndarray]:
+    return [x >> BITS * k & BUCKETS - 1 for k in range(1 + len(PREFIXES))]
 
 
 def numbers(text: str) -> np.ndarray:
@@ -63,7 +76,7 @@ def numbers(text: str) -> np.ndarray:
 
 
 def language(x: np.ndarray) -> int:
-    votes = np.bincount(x >> 40, minlength=len(LANGUAGES))[1:]
+    votes = np.bincount(x >> VOTE_AT, minlength=len(LANGUAGES))[1:]
     return int(votes.argmax()) + 1 if votes.any() else 0
 
 
@@ -87,7 +100,7 @@ class Model:
         wide = max(WIDTHS)
         for i in range(0, len(x), CHUNK_WORDS):
             part = x[i : i + CHUNK_WORDS + wide - 1]
-            rows = table[part & 0xFFFFF] + table[part >> 20 & 0xFFFFF]
+            rows = sum(table[b] for b in buckets(part))
             rows = np.concatenate([rows, np.zeros((wide - 1, rows.shape[1]), dtype=np.float32)])
             n, at = min(len(part), CHUNK_WORDS), 0
             for k, w in enumerate(WIDTHS):
@@ -118,14 +131,16 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
         return model
     held = np.arange(len(texts)) % 5 == 0
     fit = np.flatnonzero(~held)
-    seen = np.full((2, BUCKETS), 0.5)
+    seen = np.full((2, BUCKETS), SMOOTH)
     for i in fit:
-        seen[labels[i], np.unique(np.concatenate([texts[i] & 0xFFFFF, texts[i] >> 20 & 0xFFFFF]))] += 1
+        seen[labels[i], np.unique(np.concatenate(buckets(texts[i])))] += 1
     odds = np.log(seen[1] / (labels[fit] == 1).sum()) - np.log(seen[0] / (labels[fit] == 0).sum())
-    model.embedding[:, 0] = odds  # start from how much likelier a bucket is in toxic texts
-    for f in model.filters:
-        f[:, 0, 0], f[:, 0, 1] = 1, 0.5
-    model.out[:: FILTERS] = 1
+    # start from how much likelier a bucket is in toxic texts, each channel in a dimension and a filter of its own
+    model.embedding[:, :CHANNELS] = 0
+    model.embedding[np.arange(BUCKETS), np.arange(BUCKETS) % CHANNELS] = np.maximum(odds, 0) / 3
+    model.filters[0][0][:CHANNELS, :CHANNELS] = np.eye(CHANNELS)
+    model.out[:CHANNELS] = 1
+    model.bias[:CHANNELS] = -1
     model.offset = np.float32(-2)
     squares = {k: np.full_like(v, 1e-6) for k, v in (("e", model.embedding), ("b", model.bias), ("o", model.out))} | {f"f{k}": np.full_like(f, 1e-6) for k, f in enumerate(model.filters)}
     offset_square = 1e-6
@@ -134,20 +149,21 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
         squares[name][at] += grad**2
         value[at] -= RATE * grad / np.sqrt(squares[name][at])
 
+    n_parts = 1 + len(PREFIXES)
     for _ in range(max(EPOCHS, min(4 * EPOCHS, STEPS * BATCH // max(1, len(fit))))):
         order = rng.permutation(fit)
         for i in range(0, len(order), BATCH):
             batch = order[i : i + BATCH]
             # only the rows of the table that the batch needs
-            used, compact = np.unique(np.concatenate([part for d in batch for part in (texts[d] & 0xFFFFF, texts[d] >> 20 & 0xFFFFF)]), return_inverse=True)
+            used, compact = np.unique(np.concatenate([part for d in batch for part in buckets(texts[d])]), return_inverse=True)
             table, at = model.table(used), 0
             gf, gb, go, g0 = [np.zeros_like(f) for f in model.filters], np.zeros_like(model.bias), np.zeros_like(model.out), 0.0
             ge, n = np.zeros((len(used), DIM), dtype=np.float32), len(batch)
             for d in batch:
                 length = len(texts[d])
-                first, second = compact[at : at + length], compact[at + length : at + 2 * length]
-                at += 2 * length
-                pooled, where = model.pool(first | second << 20, table)
+                parts = compact[at : at + n_parts * length].reshape(n_parts, length)
+                at += n_parts * length
+                pooled, where = model.pool(sum(p << BITS * k for k, p in enumerate(parts)), table)
                 active = np.maximum(pooled + model.bias, 0)
                 err = 1 / (1 + np.exp(-np.clip(active @ model.out + model.offset, -30, 30))) - labels[d]
                 go += err * active
@@ -158,11 +174,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
                     own = slice(k * FILTERS, (k + 1) * FILTERS)
                     for j in range(w):
                         f = np.flatnonzero((back[own] != 0) & (where[own] >= 0) & (where[own] + j < length))
-                        a, b, g = first[where[own][f] + j], second[where[own][f] + j], back[own][f][:, None]
-                        gf[k][j][:, f] += (g * (model.embedding[used[a]] + model.embedding[used[b]])).T
+                        rows, g = parts[:, where[own][f] + j], back[own][f][:, None]
+                        gf[k][j][:, f] += (g * model.embedding[used[rows]].sum(axis=0)).T
                         g = g * model.filters[k][j][:, f].T
-                        np.add.at(ge, a, g)
-                        np.add.at(ge, b, g)
+                        for row in rows:
+                            np.add.at(ge, row, g)
             for k, g in enumerate(gf):
                 step(f"f{k}", model.filters[k], ..., g / n)
             step("b", model.bias, ..., gb / n)
@@ -175,8 +191,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
     return model
 
 
-def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, rare: float = 8.0) -> None:
-    """For each language the logit, between two neighbouring ones, with the least weighted error; a false alarm counts `rare` times a miss.
+def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, missed: float = 2.0) -> None:
+    """For each language the logit, between two neighbouring ones, with the least weighted error; a miss counts `missed` times a false alarm.
 
     Of equally good thresholds the middle of the widest gap counts. Languages with under 20 texts take the threshold of all.
     """
@@ -188,7 +204,7 @@ def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, rare:
         z, y = z[order], y[order]
         cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
         gaps = np.concatenate([[0], z[1:] - z[:-1], [0]])
-        errors = np.concatenate([[0], np.cumsum(y == 1)]) + rare * np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
+        errors = np.concatenate([[0], missed * np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
         return cuts[np.lexsort((-gaps, errors))[0]]
 
     if len(z) and labels.min() != labels.max():
