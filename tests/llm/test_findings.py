@@ -82,8 +82,43 @@ def test_op4_same_rows_for_any_number_of_blocks(spark):
     every = lambda size: sorted(map(repr, decontam.contaminated_spans(docs, bench, 2, size).collect()))
     assert len(every(1 << 24)) == len(rows)
     assert every(12) == every(1 << 24)
-    matches = lambda size: sorted(decontam.longest_matches(docs.dropna().coalesce(1), bench, 5, size).collect())
-    assert [m[:3] for m in matches(12)] == [m[:3] for m in matches(1 << 24)]
+    matches = lambda size: sorted(map(repr, decontam.longest_matches(docs, bench, 2, size).collect()))
+    assert matches(12) == matches(1 << 24) and matches(12)
+    kept = decontam.clean_documents(docs, bench, 2)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.filter("doc_id = 2 or text like 'clean%'").collect()))
+
+
+def brute_longest(texts, items, window):
+    out = {}
+    for item, text in items:
+        b = (text or "").lower().split()
+        for j in range(max(1, len(b) - window + 1) if b else 0):
+            for doc, t in texts:
+                w = (t or "").lower().split()
+                for i in range(len(w)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                        n += 1
+                    if n >= min(window, len(b)):
+                        new = (-n, doc is None, doc or 0, i)
+                        out[str(item), j] = min(out.get((str(item), j), new), new)
+    return {k: (-n, None if none else doc, i) for k, (n, none, doc, i) in out.items()}
+
+
+def test_longest_matches_have_no_cap(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "c"]
+    long = rng.choices(words, k=400)
+    texts = [(5, " ".join(long[20:380])), (1, " ".join(long[100:300])), (None, " ".join(long)), (7, "z z z"), (7, "q"), (None, None), (2, "")]
+    texts += [(k, " ".join(rng.choices(words, k=30))) for k in range(10, 30)]
+    items = [(1, " ".join(long[50:250])), (2, " ".join(["x", *long[:90]])), (3, "q"), (3, "z z"), (4, None), (5, " ".join(rng.choices(words, k=40))), (6, "z z")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 24, 300):
+        got = {(r.item_id, r.start): (r.length, r.doc_id, r["at"]) for r in decontam.longest_matches(docs, bench, 4, size).collect()}
+        assert got == brute_longest(texts, items, 4)
+    longest = decontam.contaminated_spans(docs, bench, 4).filter("doc_id = 1").first().longest
+    assert longest == max(n for n, *_ in brute_longest(texts[1:2], items, 4).values())
 
 
 def test_op4_blocks_keep_their_bound(spark):

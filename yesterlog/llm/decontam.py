@@ -2,16 +2,21 @@
 
 Each partition of the training documents is a shard. In a shard every document word becomes its number in the benchmark's
 vocabulary (0: not in it); all suffixes that can match at all, those whose first words are in the vocabulary, are sorted into
-a suffix array whose keys are cut after the longest window. Every test suffix is then binary-searched, from both sides, in
-each shard's array: the interval between holds all places where the window that starts there occurs verbatim. `longest_matches`
-gives for each test suffix the longest match and one of its places. The benchmark is sent to the tasks in blocks of at most
-`block_bytes`; tasks number the blocks of a larger benchmark and write them to the shared folder. It takes a pass for each, for
-which the driver reads that block alone; each pass is written, and their spans are merged by a key that every document row got once.
+a suffix array whose keys are the first `window` words. Every test suffix is binary-searched, from both sides, in each shard's
+array: the interval between holds all places where its window occurs verbatim, and the words of these places are what is removed.
+The array of the places found is then sorted to full depth, together with the test suffixes, by doubling ranks (`Suffixes`):
+a test suffix's neighbours give its longest verbatim match, however long, and the interval of equally long ones its least place;
+a place's neighbours give the longest match that starts there, by which `longest` and `longest_matches` are found.
+
+The benchmark is sent to the tasks in blocks of at most `block_bytes`; tasks number the blocks of a larger benchmark and write
+them to the shared folder. It takes a pass for each, for which the driver reads that block alone; each pass is written, and the
+passes are merged by a key that every document row got once.
 
 Words: A-Z lower-cased, runs of [0-9a-z] and of all characters from U+0080. A window is `window` consecutive words of an item;
 an item with fewer words, but at least one, is one window. A document word inside any occurrence is hit.
 Defined results: null or empty texts have no words and are never hit; null items are ignored; items that occur twice under one
-id count once; repeated documents get a row each. An empty benchmark leaves every document clean.
+id count once; repeated documents get a row each, null ids too. An empty benchmark leaves every document clean. Of equally long
+matches the place with the least doc_id (null last), then the least word, counts; of an id's several texts the best match counts.
 """
 
 from __future__ import annotations
@@ -47,10 +52,20 @@ class Windows:
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.vocabulary = window, {}
         found: dict[tuple, set[str]] = {}
+        numbers: dict[tuple, int] = {}
+        #: Every test suffix: its item and first word, the number of its window, and whether the next one is the same item's.
+        self.suffixes: list[tuple[str, int]] = []
+        number, follows = [], []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+            n = max(1, len(ids) - window + 1) if ids else 0
+            for i in range(n):
+                key = tuple(ids[i : i + window])
+                found.setdefault(key, set()).add(item)
+                number.append(numbers.setdefault(key, len(numbers)))
+                self.suffixes.append((item, i))
+                follows.append(i + 1 < n)
+        self.number, self.follows = np.array(number, dtype=np.int64), np.array(follows, dtype=bool)
         self.items = list(found.values())
         self.lengths = np.array([len(k) for k in found], dtype=np.int64)
         padded = np.zeros((len(found), window), dtype=">u4")
@@ -75,7 +90,7 @@ def suffix_array(ids: np.ndarray, window: int, least: int) -> tuple[np.ndarray,
 
 
 def _shards(window: int, items: list[tuple[str, bytes]], found_in):
-    """A mapInArrow function that numbers words and calls found_in(test, starts, keys, bounds, ids) for each shard."""
+    """A mapInArrow function that numbers words and calls found_in(test, rows, starts, keys, bounds) for each shard."""
 
     def run(frames: Iterator[pa.RecordBatch]):
         test = Windows(items, window)
@@ -86,7 +101,7 @@ def _shards(window: int, items: list[tuple[str, bytes]], found_in):
             bounds = np.cumsum([0] + [len(p) + window for p in parts])
             ids = np.concatenate([x for p in parts for x in (p, gap)])
             starts, keys = suffix_array(ids, window, test.least) if test.items else (np.empty(0, np.int64), np.empty(0, "S1"))
-            return found_in(test, rows, starts, keys, bounds, ids)
+            return found_in(test, rows, starts, keys, bounds)
 
         for frame in frames:
             for doc, text in zip(frame.column(0).to_pylist(), text_bytes(frame.column(1)), strict=True):
@@ -103,22 +118,117 @@ def _shards(window: int, items: list[tuple[str, bytes]], found_in):
     return run
 
 
-def _spans(test: Windows, rows, starts, keys, bounds, ids):
-    """Merged hit spans and items of each document of a shard."""
-    hits: dict[int, tuple[list, set]] = {}
-    if len(starts):
-        lo, hi = np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")
-        for k in np.flatnonzero(hi > lo):
-            at = starts[lo[k] : hi[k]]
-            for d, p in zip(np.searchsorted(bounds, at, "right") - 1, at, strict=True):
-                spans, items = hits.setdefault(int(d), ([], set()))
-                spans.append((int(p - bounds[d]), int(p - bounds[d] + test.lengths[k])))
-                items |= test.items[k]
-    out = []
-    for d, (doc, n) in enumerate(rows):
-        spans, items = hits.get(d, ([], ()))
-        out.append((doc, n, merge(spans), sorted(items)))
-    yield from batches(out, ["doc_id", "n_words", "spans", "items"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())])
+class Suffixes:
+    """Suffixes of sequences of numbers, sorted to full depth by doubling: ranks[k] tells the first 2^k numbers apart."""
+
+    def __init__(self, numbers: np.ndarray, follows: np.ndarray):
+        n = len(numbers)  # also the suffix without numbers
+        at = np.arange(n)
+        jump = np.append(np.where(follows, at + 1, n), n)
+        self.ranks, self.jumps = [np.append(np.unique(numbers, return_inverse=True)[1] + 1, 0)], [jump]
+        while (self.jumps[-1][:n] < n).any():
+            r, j = self.ranks[-1], self.jumps[-1]
+            self.ranks.append(np.unique(r * (r.max() + 1) + r[j], return_inverse=True)[1])
+            self.jumps.append(j[j])
+        ends = np.flatnonzero(~follows)
+        self.length = np.append(ends[np.searchsorted(ends, at)] - at + 1, 0)
+        self.order = np.argsort(self.ranks[-1][:n], kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many numbers the suffixes a and b begin with alike."""
+        out = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            same = self.ranks[k][a] == self.ranks[k][b]
+            out += np.where(same, np.minimum(1 << k, self.length[a]), 0)
+            a, b = np.where(same, self.jumps[k][a], a), np.where(same, self.jumps[k][b], b)
+        return out
+
+    def longest(self, of: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """For each suffix in the mask `of` the longest beginning that it shares with one of `among`."""
+        kind, n = among[self.order], len(self.order)
+        at = np.arange(n)
+        before = np.maximum.accumulate(np.where(kind, at, -1))
+        after = np.minimum.accumulate(np.where(kind, at, n)[::-1])[::-1]
+        mine = np.flatnonzero(of[self.order])
+        best = np.zeros(len(mine), dtype=np.int64)
+        for near, there in ((before[mine], before[mine] >= 0), (after[mine], after[mine] < n)):
+            best[there] = np.maximum(best[there], self.common(self.order[mine[there]], self.order[near[there]]))
+        out = np.zeros(n, dtype=np.int64)
+        out[self.order[mine]] = best
+        return out[of]
+
+    def least(self, of: np.ndarray, length: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each suffix in the mask `of` the least weight of all suffixes that begin with its first `length` numbers."""
+        n = len(self.order)
+        place = np.empty(n, dtype=np.int64)
+        place[self.order] = np.arange(n)
+        links = [self.common(self.order[:-1], self.order[1:])]  # with the next one in order
+        tops = [weight[self.order]]
+        while 1 << len(tops) < n:
+            half = 1 << len(tops) - 1
+            tops.append(np.minimum(tops[-1], np.append(tops[-1][half:], np.full(half, weight.max()))))
+            links.append(np.minimum(links[-1], np.append(links[-1][half:], np.zeros(min(half, len(links[-1])), dtype=np.int64))[: len(links[-1])]))
+        low = high = place[np.flatnonzero(of)]
+        out = tops[0][low]
+        for k in range(len(tops) - 1, -1, -1):
+            step = 1 << k
+            to = np.minimum(high, n - 1 - step)
+            go = (high + step < n) & (links[k][np.clip(to, 0, n - 2)] >= length)
+            out = np.where(go, np.minimum(out, tops[k][np.clip(high + 1, 0, n - 1)]), out)
+            high = np.where(go, high + step, high)
+            back = np.maximum(low - step, 0)
+            go = (low >= step) & (links[k][np.clip(back, 0, n - 2)] >= length)
+            out = np.where(go, np.minimum(out, tops[k][back]), out)
+            low = np.where(go, low - step, low)
+        return out
+
+
+class Hits:
+    """All places of a shard where a window occurs, and their joint order with the test suffixes."""
+
+    def __init__(self, test: Windows, starts, keys, bounds):
+        lo, hi = (np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")) if len(starts) else (np.zeros(len(test.items), dtype=np.int64),) * 2
+        count = np.maximum(hi - lo, 0)
+        self.window = np.repeat(np.arange(len(count)), count)
+        self.place = starts[np.arange(len(self.window)) + np.repeat(lo - (np.cumsum(count) - count), count)]
+        order = np.lexsort((self.window, self.place))
+        self.window, self.place = self.window[order], self.place[order]
+        self.doc = np.searchsorted(bounds, self.place, "right") - 1
+        self.words = test.lengths[self.window]
+        self.full = np.flatnonzero(self.words == test.window)  # one for each place; shorter items' windows are never continued
+        self.test = np.flatnonzero(test.lengths[test.number] == test.window) if len(self.full) else np.empty(0, dtype=np.int64)
+        if len(self.full):
+            p = self.place[self.full]
+            numbers = np.concatenate([self.window[self.full], test.number[self.test]])
+            self.suffixes = Suffixes(numbers, np.concatenate([np.append(p[1:] == p[:-1] + 1, False), test.follows[self.test]]))
+            self.training = np.arange(len(numbers)) < len(p)
+
+    def longest(self) -> np.ndarray:
+        """Words of the longest verbatim match that starts at each place."""
+        out = self.words.copy()
+        if len(self.full):
+            out[self.full] += self.suffixes.longest(self.training, ~self.training) - 1
+        return out
+
+
+def _spans(test: Windows, rows, starts, keys, bounds):
+    """Merged hit spans, items and the longest match of each document of a shard."""
+    hits = Hits(test, starts, keys, bounds)
+    stop = hits.place + hits.words
+    reach = np.maximum.accumulate(stop)
+    new = np.append(True, hits.place[1:] > reach[:-1])[: len(stop)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(stop))[: len(first)] - 1
+    spans: dict[int, list] = {}
+    for d, a, b in zip(hits.doc[first].tolist(), (hits.place[first] - bounds[hits.doc[first]]).tolist(), (reach[last] - bounds[hits.doc[first]]).tolist(), strict=True):
+        spans.setdefault(d, []).append([a, b])
+    longest = np.zeros(len(rows), dtype=np.int64)
+    np.maximum.at(longest, hits.doc, hits.longest())
+    items: dict[int, set] = {}
+    for d, k in np.unique(np.stack([hits.doc, hits.window]), axis=1).T.tolist():
+        items.setdefault(d, set()).update(test.items[k])
+    out = [(doc, n, spans.get(d, []), sorted(items.get(d, ())), int(longest[d])) for d, (doc, n) in enumerate(rows)]
+    yield from batches(out, ["doc_id", "n_words", "spans", "items", "longest"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64()])
 
 
 def merge(spans: list) -> list[list[int]]:
@@ -161,15 +271,15 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[
     return len(numbers), (read(written.filter(F.col("block") == k)) for k in numbers)
 
 
-def _only_hits(test: Windows, rows, starts, keys, bounds, ids):
-    for f in _spans(test, rows, starts, keys, bounds, ids):
+def _only_hits(test: Windows, rows, starts, keys, bounds):
+    for f in _spans(test, rows, starts, keys, bounds):
         yield f.filter(pc.greater(pc.list_value_length(f.column(2)), 0))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), for every row of docs."""
+    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), longest (words of the longest verbatim match, 0 without one), for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, spans array<array<bigint>>, items array<string>"
+    schema = "doc_id long, n_words long, spans array<array<bigint>>, items array<string>, longest long"
     n, blocks = _blocks(benchmark, block_bytes)
     if n == 1:
         return texts.mapInArrow(_shards(window, next(blocks), _spans), schema)
@@ -180,58 +290,55 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         found = rows.select("row", "text").mapInArrow(_shards(window, block, _only_hits if k else _spans), schema)
         found.withColumnRenamed("doc_id", "row").write.parquet(f"{folder}/pass={k}")
     every = docs.sparkSession.read.schema(schema.replace("doc_id", "row")).parquet(folder)
-    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    every = rows.select("row", "doc_id").join(every, "row").select("doc_id", "n_words", "spans", "items")
+    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    every = rows.select("row", "doc_id").join(every, "row").select("doc_id", "n_words", "spans", "items", "longest")
 
     def together(frames):
         for f in frames:
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array([merge(x) for x in f.column(2).to_pylist()], pa.list_(pa.list_(pa.int64()))), f.column(3)], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array([merge(x) for x in f.column(2).to_pylist()], pa.list_(pa.list_(pa.int64()))), f.column(3), f.column(4)], names=["doc_id", "n_words", "spans", "items", "longest"])
 
     return every.mapInArrow(together, schema)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each test suffix that shares a word with a shard: item_id, start (word), length of the longest verbatim match (up to `window` words), doc_id and at (word) of its place with the smallest doc_id."""
-
-    def finder(items):
-        suffixes = [(item, i, w[i : i + window]) for item, text in items for w in [words(text)] for i in range(len(w))]
-
-        def found(test, rows, starts, keys, bounds, ids):
-            if not len(starts):
-                return
-            out = []
-            for item, i, w in suffixes:
-                mine = np.zeros(window, dtype=np.uint32)
-                mine[: len(w)] = [test.vocabulary[x] for x in w]
-                at = int(np.searchsorted(keys, mine.astype(">u4").view(f"S{4 * window}")[0]))
-                best = (0, 0)
-                for k in (at - 1, at):
-                    if 0 <= k < len(starts):
-                        there = ids[starts[k] : starts[k] + len(w)]
-                        differ = np.flatnonzero(there != mine[: len(there)])
-                        best = max(best, (int(differ[0]) if len(differ) else len(there), int(starts[k])))
-                if best[0]:
-                    d = int(np.searchsorted(bounds, best[1], "right") - 1)
-                    out.append((item, i, best[0], rows[d][0], best[1] - int(bounds[d])))
-            yield from batches(out, ["item_id", "start", "length", "doc_id", "at"], [pa.string(), *[pa.int64()] * 4])
-
-        def one_word(test, rows, starts, keys, bounds, ids):
-            starts, keys = suffix_array(ids, window, 1) if test.items else (starts, keys)
-            yield from found(test, rows, starts, keys, bounds, ids)
-
-        return one_word
-
+def _suffix_matches(test: Windows, rows, starts, keys, bounds):
+    """The longest match of each test suffix in a shard, and its least place."""
+    hits = Hits(test, starts, keys, bounds)
+    word = hits.place - bounds[hits.doc]
+    ids = np.array([(doc is None, doc or 0) for doc, _ in rows], dtype=np.int64).reshape(-1, 2)[hits.doc]
+    order = np.lexsort((word, ids[:, 1], ids[:, 0]))
+    weight = np.empty(len(order), dtype=np.int64)
+    weight[order] = np.arange(len(order))
+    out = []
+    add = lambda suffix, n, h: out.append((*test.suffixes[suffix], n, rows[hits.doc[h]][0], int(word[h])))
+    if len(hits.full):
+        none = len(order)
+        length = hits.suffixes.longest(~hits.training, hits.training)
+        least = hits.suffixes.least(~hits.training, length, np.append(weight[hits.full], np.full(len(hits.test), none)))
+        for suffix, n, w in zip(hits.test[length > 0].tolist(), length[length > 0].tolist(), least[length > 0].tolist(), strict=True):
+            add(suffix, n + test.window - 1, order[w])
+    best: dict[int, int] = {}
+    for h in np.flatnonzero(hits.words < test.window).tolist():
+        k = int(hits.window[h])
+        if k not in best or weight[h] < weight[best[k]]:
+            best[k] = h
+    for suffix in np.flatnonzero(test.lengths[test.number] < test.window).tolist() if best else ():
+        if (k := int(test.number[suffix])) in best:
+            add(suffix, int(test.lengths[k]), best[k])
+    yield from batches(out, ["item_id", "start", "length", "doc_id", "at"], [pa.string(), *[pa.int64()] * 4])
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each test suffix whose window occurs in the documents: item_id, start (word), length (words of the longest verbatim match), doc_id and at (word) of its least place."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema, (n, blocks) = "item_id string, start long, length long, doc_id long, at long", _blocks(benchmark, block_bytes)
     if n == 1:
-        block = next(blocks)
-        out = texts.mapInArrow(_shards(window, block, finder(block)), schema)
+        out = texts.mapInArrow(_shards(window, next(blocks), _suffix_matches), schema)
     else:
         folder = table_path(docs.sparkSession, "decontam-matches")
         for k, block in enumerate(blocks):
-            texts.mapInArrow(_shards(window, block, finder(block)), schema).write.parquet(f"{folder}/pass={k}")
+            texts.mapInArrow(_shards(window, block, _suffix_matches), schema).write.parquet(f"{folder}/pass={k}")
         out = docs.sparkSession.read.schema(schema).parquet(folder)
-    best = F.max_by(F.struct("length", "doc_id", "at"), F.struct("length", -F.col("doc_id"), -F.col("at"))).alias("m")
+    best = F.min_by(F.struct("length", "doc_id", "at"), F.struct(-F.col("length"), F.col("doc_id").isNull(), "doc_id", "at")).alias("m")
     return out.groupBy("item_id", "start").agg(best).select("item_id", "start", "m.length", "m.doc_id", "m.at")
 
 
@@ -240,20 +347,20 @@ def _report(frames):
         spans, items = f.column(2).to_pylist(), f.column(3).to_pylist()
         n_hit = [sum(b - a for a, b in s) for s in spans]
         yield pa.RecordBatch.from_arrays(
-            [f.column(0), f.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit])],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [f.column(0), f.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit]), f.column(4)],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
         )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
     return contaminated_spans(docs, benchmark, window).mapInArrow(_report, schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that no benchmark window touches, with all their columns. Texts are judged by their hash, whatever the doc_id."""
+    """The rows of docs that share no verbatim match of a window or a whole shorter item with the benchmark, with all their columns. Texts are judged by their hash, whatever the doc_id."""
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    hit = contaminated_spans(docs.select(own.alias("doc_id"), "text"), benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__h")).distinct()
+    hit = contaminated_spans(docs.select(own.alias("doc_id"), "text"), benchmark, window).filter("longest > 0").select(F.col("doc_id").alias("__h")).distinct()
     return docs.withColumn("__h", own).join(hit, "__h", "left_anti").select(*docs.columns)
 
 
@@ -266,13 +373,14 @@ WITH w AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
   UNION ALL
   SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
-t AS (SELECT id AS item_id, len(ws[i:i+9]) AS n, array_to_string(ws[i:i+9], ' ') AS win
-      FROM (SELECT id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM w WHERE kind = 'b' AND len(ws) > 0)),
+t AS (SELECT id AS item_id, k, i AS j, len(ws[i:i+9]) AS n, array_to_string(ws[i:i+9], ' ') AS win
+      FROM (SELECT id, k, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM (SELECT *, row_number() OVER () AS k FROM w WHERE kind = 'b' AND len(ws) > 0))),
 ns AS (SELECT DISTINCT n FROM t),
 d AS (SELECT id AS doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE kind = 'd'),
-hit AS (SELECT doc_id, i, d.n, item_id FROM (SELECT doc_id, i, n, array_to_string(ws[i:i+n-1], ' ') AS win FROM d, ns WHERE i + n - 1 <= len(ws)) d JOIN t USING (n, win)),
+hit AS (SELECT doc_id, i, d.n, item_id, k, j FROM (SELECT doc_id, i, n, array_to_string(ws[i:i+n-1], ' ') AS win FROM d, ns WHERE i + n - 1 <= len(ws)) d JOIN t USING (n, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
-SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN pos ON pos.doc_id = w.id LEFT JOIN it ON it.doc_id = w.id WHERE kind = 'd'
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id),
+run AS (SELECT doc_id, max(m) AS longest_match FROM (SELECT doc_id, count(*) + n - 1 AS m FROM (SELECT doc_id, n, k, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, k, n, i - j ORDER BY i) AS island FROM hit) GROUP BY doc_id, n, k, diag, island) GROUP BY doc_id)
+SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM w LEFT JOIN run ON run.doc_id = w.id LEFT JOIN pos ON pos.doc_id = w.id LEFT JOIN it ON it.doc_id = w.id WHERE kind = 'd'
 """
