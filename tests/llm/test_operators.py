@@ -71,8 +71,19 @@ def test_op1(docs, length):
 
 def test_op1_repeated_rows(spark):
     t = "".join(random.Random(5).choices("abcdef", k=300))
-    rows = spark.createDataFrame([(1, t), (1, t), (2, t)], EMPTY)
-    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.deduplicate(rows).collect()) == [(1, 0), (1, 0), (2, 300)]
+    rows = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, t), (None, t[:150] + "z" + t), (None, None)], EMPTY)
+    got = sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.deduplicate(rows).collect())
+    assert got == [("1", 0), ("1", 0), ("2", 300), ("None", 0), ("None", 300), ("None", 300), ("None", 450)]
+
+
+def test_op1_crowded_core(spark):
+    """A common passage in different surroundings, cut at each of its places: all levels of the recursion have work."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefghij ", k=140))
+    some = lambda n: "".join(rng.choices("klmnopq ", k=n))
+    rows = [(i, some(rng.randint(0, 120)) + passage[rng.randint(0, 60) : rng.randint(90, 140)] + some(rng.randint(0, 120))) for i in range(120)]
+    got = table(suffix_dedup.deduplicate(spark.createDataFrame(rows, EMPTY).repartition(6)))
+    assert {k: (v["n_bytes"], v["n_removed"], v["n_spans"], v["kept_sha256"]) for k, v in got.items()} == brute_removed(rows, 100)
 
 
 def test_op2_control_strings(spark):

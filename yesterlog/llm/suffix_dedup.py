@@ -1,20 +1,27 @@
 """Removal of repeated byte strings by bucket-pointer refinement of a sampled suffix array.
 
 A byte is removed if it lies in a `length`-byte window that also starts earlier (smaller doc_id, or the same document and an
-earlier start). Sorting every suffix would shuffle a row for each byte, so only anchors are sorted: in each window the leftmost
-q-gram with the least hash. Equal windows have the same anchor at the same place, so no repeat is missed.
-
-1. The q-gram's hash is an anchor's first bucket. Consecutive windows with one anchor are one run; the hash of all bytes that the
-   run covers, the bucket at the later offsets, refines the bucket. Repeats inside a task are settled there, before the shuffle.
-2. Rows sorted by (bucket, refined bucket, document, place): of each refined bucket the first stays, the windows of all others
-   are repeats. A first row that is alone in its bucket is finished; only the others go on.
-3. The refinement recurs on these: their covered bytes are cut into the single windows, whose hashes are the last buckets, and
-   again the first of each stays.
-Each document's repeated runs are then joined to its text. Buckets are streamed in sorted order; what a task keeps of a bucket
-in step 3 is a hash for each distinct window of it.
-
-Defined results: null text is empty; texts shorter than `length` lose nothing; rows that repeat a doc_id must repeat its text,
-and do not count as earlier than each other; an empty table gives an empty result. Hashes have 128 bits (64 within a bucket).
+earlier start). A suffix matters to the depth of one window. Sorting every suffix would shuffle a row for each byte, so runs of
+neighbouring suffixes are sorted together: each window has an anchor, its leftmost q-gram with the least bucket identifier, and
+the windows whose anchor lies SPANS[0] * k to SPANS[0] * (k + 1) - 1 bytes behind their start are one run. All windows of a run
+share a core of bytes, and equal windows have equal anchors and cores at equal places, so no repeat is missed.
+
+* Buckets: every q-gram has an identifier. Pairs of identifiers, of an offset and of the one q bytes later, give those of strings
+  of 2q bytes; pairs of these, 2q bytes apart, those of 4q bytes, and so on, each level made from the updated one (`Buckets`).
+  A string of any other length is the pair of the largest level at its start and at its end.
+* Refinement: runs are sorted by the identifier of their core, the bucket, then by that of all bytes they cover, then by document
+  and place. Of equal runs the first stays and the others' windows are repeats. A run that is alone in its bucket is finished.
+* Recursion: of what is left, runs are cut to SPANS[1] windows, whose cores are longer, and sorted into refined buckets; then to
+  single windows, whose core is all of them, and of these the first stays. A bucket is crowded only where most of a window is
+  common to many documents, and it is read in sorted order, of which a task keeps one row.
+
+Repeats inside a batch are settled before the first shuffle, so copies hardly load it. Each document's repeated runs are then
+joined to its text.
+
+Defined results: null text is empty; texts shorter than `length` lose nothing; a null doc_id comes after all others, null rows of
+one text count as one document and those of different texts as different ones, in the order of a hash; rows that repeat a doc_id
+must repeat its text and do not count as earlier than each other; doc_ids lie below 2^62; an empty table gives an empty result.
+Other columns are ignored. Identifiers have 64 bits, and runs are equal if those of core and of all bytes are.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import batches, byte_table, cut, load, text_bytes
 
 LENGTH, GRAM = 100, 24
+#: Windows of a run at most, by level of the recursion.
+SPANS = (40, 10, 1)
 _BLOCK = 1 << 19  # bytes handled at once; places in a block take 20 bits
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,33 +51,67 @@ def _power(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-class Hasher:
-    """Hashes of substrings by powers of _BASE modulo 2^64, over blocks of at most `size` bytes."""
-
-    def __init__(self, size: int):
-        self.bytes, self.power, self.inverse = byte_table(7), _power(_BASE, size + 1), _power(_INVERSE, size + 1)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.bytes[data] * self.power[: len(data)], out=out[1:])
-        return out
 
-    def of(self, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        h = (prefix[stop] - prefix[start]) * self.inverse[start]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(a * np.uint64(0x94D049BB133111EB) + (b ^ b >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def anchors(hasher: Hasher, data: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """Runs of windows with one anchor in pieces that end at `ends`: first window, number of windows, anchor, bucket, refined bucket."""
+class Hasher:
+    """Identifiers of q-grams, by powers of _BASE modulo 2^64, over blocks of at most `size` bytes."""
+
+    def __init__(self, size: int, seed: int = 7):
+        self.bytes, self.power, self.inverse = byte_table(seed), _power(_BASE, size + 1), _power(_INVERSE, size + 1)
+
+    def grams(self, data: np.ndarray, q: int) -> np.ndarray:
+        if len(data) < q:
+            return np.empty(0, dtype=np.uint64)
+        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.bytes[data] * self.power[: len(data)], out=prefix[1:])
+        return _mix((prefix[q:] - prefix[:-q]) * self.inverse[: len(data) - q + 1])
+
+
+class Buckets:
+    """Bucket identifiers at all offsets of a block; level k, made from level k - 1, stands for q * 2^k bytes."""
+
+    def __init__(self, hasher: Hasher, data: np.ndarray, q: int):
+        self.q, self.levels = q, [hasher.grams(data, q)]
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Identifiers of the strings [start, stop), each of at least q bytes."""
+        out = np.zeros(len(start), dtype=np.uint64)
+        size = stop - start
+        depth = np.log2(size / self.q + 1e-9).astype(np.int64)
+        for k in range(int(depth.max(initial=0)) + 1):
+            if k == len(self.levels):
+                later = self.q << k - 1
+                self.levels.append(_pair(self.levels[-1][:-later], self.levels[-1][later:]))
+            mine = np.flatnonzero(depth == k)
+            if len(mine):
+                out[mine] = _pair(self.levels[k][start[mine]], self.levels[k][stop[mine] - (self.q << k)])
+        return out + size.astype(np.uint64)
+
+
+def _identified(buckets: Buckets, first: np.ndarray, count: np.ndarray, offset: np.ndarray, span: int, most: int, length: int):
+    """The core's and the whole run's identifiers; offset: of the anchor behind the first window's start, `most` at most."""
+    near = offset // span * span  # the class's least offset
+    anchor = first + offset
+    core = buckets.of(anchor - near, anchor - np.minimum(near + span - 1, most) + length)
+    return core.astype(np.int64), buckets.of(first, first + count + length - 1).astype(np.int64)
+
+
+def anchors(hasher: Hasher, data: np.ndarray, ends: np.ndarray, length: int, gram: int, span: int = SPANS[0]):
+    """Runs of windows in pieces that end at `ends`: first window, number of windows, offset of the anchor, bucket, refined bucket."""
     n, w = len(data), length - gram + 1
     if n < length:
         return [np.empty(0, dtype=np.int64)] * 5
-    prefix = hasher.prefix(data)
-    at = np.arange(n - gram + 1)
-    value = hasher.of(prefix, at, at + gram)
-    least, reach = (value & ~_PLACE) | at.astype(np.uint64), 1
+    buckets = Buckets(hasher, data, gram)
+    value = buckets.levels[0]
+    least, reach = (value & ~_PLACE) | np.arange(len(value)).astype(np.uint64), 1
     while reach * 2 <= w:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
@@ -79,21 +122,21 @@ def anchors(hasher: Hasher, data: np.ndarray, ends: np.ndarray, length: int, gra
     cut_at[ends] = True
     piece = np.cumsum(cut_at[:-1])  # the piece of each byte
     inside = piece[: len(anchor)] == piece[length - 1 :]
+    part = (anchor - np.arange(len(anchor))) // span
     new = np.ones(len(anchor), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | ~inside[:-1]
+    new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
     stop = np.flatnonzero(np.concatenate([new | ~inside, [True]]))
     count = stop[np.searchsorted(stop, first, "right")] - first
-    a = anchor[first]
-    refined = hasher.of(prefix, first, first + count + length - 1)
-    return first, count, a, value[a].astype(np.int64), refined.astype(np.int64)
+    offset = anchor[first] - first
+    return [first, count, offset, *_identified(buckets, first, count, offset, span, w - 1, length)]
 
 
-_ROW = "bucket long, refined long, doc_id long, start long, count int, kind int"
-_NAMES = ["bucket", "refined", "doc_id", "start", "count", "kind"]
+_ROW = "bucket long, refined long, doc long, start long, count int, kind int"
+_NAMES = ["bucket", "refined", "doc", "start", "count", "kind"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-#: kind: a run of windows to compare, or one known to repeat an earlier one
-_OPEN, _REPEAT = 0, 1
+#: kind: that a run is known to repeat an earlier one, or else the offset of its anchor
+_REPEAT = -1
 
 
 def _record(columns: list[np.ndarray], names=_NAMES, types=_TYPES) -> pa.RecordBatch:
@@ -110,11 +153,11 @@ def _runs(length: int, gram: int):
             def flush():
                 data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
                 ends = np.cumsum([len(p[2]) for p in pieces])
-                first, count, _, bucket, refined = anchors(hasher, data, ends, length, gram)
+                first, count, anchor, bucket, refined = anchors(hasher, data, ends, length, gram)
                 if len(first):
                     k = np.searchsorted(ends, first, "right")
                     offset = np.array([p[1] for p in pieces]) - np.concatenate([[0], ends[:-1]])
-                    found.append([bucket, refined, np.array([p[0] for p in pieces])[k], first + offset[k], count])
+                    found.append([bucket, refined, np.array([p[0] for p in pieces])[k], first + offset[k], count, anchor])
 
             for doc, text in zip(f.column(0).to_pylist(), text_bytes(f.column(1)), strict=True):
                 for i in range(0, len(text) - length + 1, _BLOCK):
@@ -135,13 +178,12 @@ def _runs(length: int, gram: int):
 
 def _settle(columns: list[np.ndarray]):
     """Rows of a batch, with those that repeat an earlier one of the batch marked."""
-    bucket, refined, doc, start, count = columns
+    bucket, refined, doc, start, count, kind = columns
     key = bucket * np.int64(31) + refined
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
     shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    kind = np.zeros(len(key), dtype=np.int32)
     if len(shared):
         rows, groups = order[shared], group[shared]
         inner = np.lexsort((start[rows], doc[rows], refined[rows], bucket[rows], groups))
@@ -155,117 +197,132 @@ def _settle(columns: list[np.ndarray]):
         yield _record([np.where(kind[p] == _REPEAT, key[p], bucket[p]), refined[p], doc[p], start[p], count[p], kind[p]])
 
 
-def _refine(frames: Iterator[pa.RecordBatch]):
-    """Sorted rows in; repeats, and the first rows of buckets with several refined buckets, out."""
-    head = None  # (bucket, refined, doc, start) of the current refined bucket's first row
-    waiting = None  # that row, if it is the only one of its bucket so far
-    shared = False  # whether its bucket has an earlier refined bucket
-    for f in frames:
-        b, r, d, s, c, k = (f.column(i).to_numpy() for i in range(6))
-        done = k == _REPEAT
-        out = [[x[done] for x in (b, r, d, s, c, k)]]
-        b, r, d, s, c = (x[~done] for x in (b, r, d, s, c))
-        if len(b):
-            pb, pr = (np.concatenate([[x], y[:-1]]) for x, y in zip(head[:2] if head else (0, 0), (b, r), strict=True))
-            new = (b != pb) | (r != pr)
-            if head is None:
-                new[0] = True
-            index = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-            hd = np.where(index >= 0, d[index], head[2] if head else 0)
-            hs = np.where(index >= 0, s[index], head[3] if head else 0)
-            repeat = ~new & ((d != hd) | (s != hs))
-            out.append([x[repeat] for x in (b, r, d, s, c)] + [np.full(repeat.sum(), _REPEAT)])
-            reps = [x[new] for x in (b, r, d, s, c)]
-            if waiting is not None:
-                reps = [np.concatenate([[x], y]) for x, y in zip(waiting, reps, strict=True)]
-            if len(reps[0]):
-                equal = reps[0][1:] == reps[0][:-1]
-                several = np.concatenate([[shared], equal]) | np.concatenate([equal, [False]])
-                ready = np.arange(len(reps[0])) < len(reps[0]) - 1
-                out.append([x[ready & several] for x in reps] + [np.full((ready & several).sum(), _OPEN)])
-                waiting, shared = [x[-1] for x in reps], bool(several[-1])
-            head = (b[-1], r[-1], hd[-1], hs[-1])
-        yield _record([np.concatenate(x) for x in zip(*out, strict=True)])
-    if waiting is not None and shared:
-        yield _record([np.array([x]) for x in waiting] + [np.array([_OPEN])])
-
-
-def _covered(length: int):
-    """doc_id, text, runs (bucket, start, count) in; each run with the bytes it covers out."""
+def _refine(with_bytes: bool = False):
+    """Rows sorted by (bucket, refined, doc, start) in; repeats, and the first rows of buckets with several refined buckets, out."""
+    names, types = _NAMES + ["bytes"] * with_bytes, _TYPES + [pa.binary()] * with_bytes
 
     def run(frames: Iterator[pa.RecordBatch]):
+        head = None  # (bucket, refined, doc, start) of the current refined bucket's first row
+        waiting = None  # that row, if it is not yet known whether its bucket has a later refined bucket
+        shared = False  # whether its bucket has an earlier refined bucket
         for f in frames:
-            rows = []
-            for doc, text, runs in zip(f.column(0).to_pylist(), text_bytes(f.column(1)), f.column(2).to_pylist(), strict=True):
-                rows += [(x["bucket"], doc, x["start"], text[x["start"] : x["start"] + x["count"] + length - 1]) for x in runs]
-                if len(rows) > 4096:
-                    yield from batches(rows, names, types)
-                    rows = []
-            yield from batches(rows, names, types)
+            rows = [f.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+            done = rows[5] == _REPEAT
+            out = [[x[done] for x in rows]]
+            rows = [x[~done] for x in rows]
+            b, r, d, s = rows[:4]
+            if len(b):
+                pb, pr = (np.concatenate([[x], y[:-1]]) for x, y in zip(head[:2] if head else (0, 0), (b, r), strict=True))
+                new = (b != pb) | (r != pr)
+                if head is None:
+                    new[0] = True
+                index = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+                hd = np.where(index >= 0, d[index], head[2] if head else 0)
+                hs = np.where(index >= 0, s[index], head[3] if head else 0)
+                repeat = ~new & ((d != hd) | (s != hs))
+                again = [x[repeat] for x in rows]
+                again[5] = np.full(len(again[0]), _REPEAT)
+                if with_bytes:
+                    again[6] = np.full(len(again[0]), None)
+                out.append(again)
+                first = [x[new] for x in rows]
+                if waiting is not None:
+                    first = [np.concatenate([x, y]) for x, y in zip(waiting, first, strict=True)]
+                if len(first[0]):
+                    equal = first[0][1:] == first[0][:-1]
+                    several = np.concatenate([[shared], equal]) | np.concatenate([equal, [False]])
+                    ready = (np.arange(len(several)) < len(several) - 1) & several
+                    out.append([x[ready] for x in first])
+                    waiting, shared = [x[-1:] for x in first], bool(several[-1])
+                head = (b[-1], r[-1], hd[-1], hs[-1])
+            yield _record([np.concatenate(x) for x in zip(*out, strict=True)], names, types)
+        if waiting is not None and shared:
+            yield _record(waiting, names, types)
 
-    names, types = ["bucket", "doc_id", "start", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return run
 
 
-def _windows(length: int):
-    """Rows sorted by (bucket, doc, start) in; the spans of windows that repeat an earlier one of their bucket out."""
+def _cut(parts: list[tuple[int, int, int, bytes]], hashers: tuple[Hasher, Hasher], length: int, gram: int, span: int):
+    """Runs (document, start, anchor's offset, covered bytes) cut to runs of at most `span` windows, as record batches with their bytes."""
+    doc, start, offset = (np.array([p[k] for p in parts], dtype=np.int64) for k in range(3))
+    size = np.array([len(p[3]) for p in parts], dtype=np.int64)
+    text = b"".join(p[3] for p in parts)
+    data, begin, windows = np.frombuffer(text, np.uint8), np.cumsum(size) - size, size - length + 1
+    row = np.repeat(np.arange(len(parts)), windows)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    part = (offset[row] - at) // span
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(row)))
+    row, at = row[first], at[first]
+    own, behind = begin[row] + at, offset[row] - at
+    bucket, refined = _identified(Buckets(hashers[0], data, gram), own, count, behind, span, length - gram, length)
+    if span == 1:  # core and run are the same bytes, so the second identifier is made from other q-grams' identifiers
+        refined = Buckets(hashers[1], data, gram).of(own, own + length).astype(np.int64)
+        yield _record([bucket, refined, doc[row], start[row] + at, count, behind])
+        return
+    covered = [text[a : a + n] for a, n in zip(own.tolist(), (count + length - 1).tolist(), strict=True)]
+    yield _record([bucket, refined, doc[row], start[row] + at, count, behind, covered], _NAMES + ["bytes"], _TYPES + [pa.binary()])
+
+
+def _in_parts(rows: Iterator[tuple[int, int, int, bytes]], length: int, gram: int, span: int):
+    hashers, parts, size = (Hasher(2 * _BLOCK), Hasher(2 * _BLOCK, 8)), [], 0
+    for r in rows:
+        parts.append(r)
+        size += len(r[3])
+        if size > _BLOCK:
+            yield from _cut(parts, hashers, length, gram, span)
+            parts, size = [], 0
+    if parts:
+        yield from _cut(parts, hashers, length, gram, span)
+
+
+def _from_texts(length: int, gram: int):
+    """doc, text, runs (start, count, kind) in; runs of at most SPANS[1] windows with the bytes they cover out."""
 
     def run(frames: Iterator[pa.RecordBatch]):
-        last, seen, place = None, np.empty(0, dtype=np.uint64), None
-        hasher = Hasher(1 << 21)
-        for f in frames:
-            buckets, docs, starts = (f.column(i).to_numpy() for i in range(3))
-            texts = f.column(3).to_pylist()
-            keep = np.ones(len(docs), dtype=bool)
-            keep[1:] = (buckets[1:] != buckets[:-1]) | (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
-            if place is not None:
-                keep[0] = place != (buckets[0], docs[0], starts[0])
-            place = (buckets[-1], docs[-1], starts[-1])
-            rows = np.flatnonzero(keep)
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                sizes = np.array([len(texts[j]) for j in part])
-                data = np.frombuffer(b"".join(texts[j] for j in part), np.uint8)
-                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                counts = sizes - length + 1
-                row = np.repeat(np.arange(len(part)), counts)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = begin[row] + offset
-                window = hasher.of(hasher.prefix(data), at, at + length)
-                # equal windows of one bucket only; a bucket's number is mixed into the hash
-                bucket = buckets[part][row]
-                key = window ^ (bucket.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                _, index = np.unique(key, return_index=True)
-                repeat = np.ones(len(key), dtype=bool)
-                repeat[index] = False
-                if last is not None and bucket[0] == last and len(seen):
-                    mine = np.flatnonzero(bucket == last)
-                    repeat[mine] |= seen[np.minimum(np.searchsorted(seen, key[mine]), len(seen) - 1)] == key[mine]
-                end = bucket == bucket[-1]
-                fresh = np.unique(key[end])
-                seen = np.unique(np.concatenate([seen, fresh])) if last == bucket[-1] else fresh
-                last = bucket[-1]
-                # runs of repeated windows in one row
-                edge = np.ones(len(key), dtype=bool)
-                edge[1:] = (row[1:] != row[:-1]) | (repeat[1:] != repeat[:-1])
-                first = np.flatnonzero(edge)
-                stop = np.concatenate([first[1:], [len(key)]])
-                hit = repeat[first]
-                first, stop = first[hit], stop[hit]
-                yield _record([docs[part][row[first]], starts[part][row[first]] + offset[first], stop - first], ["doc_id", "start", "count"], [pa.int64(), pa.int64(), pa.int32()])
+        def rows():
+            for f in frames:
+                for doc, text, runs in zip(f.column(0).to_pylist(), text_bytes(f.column(1)), f.column(2).to_pylist(), strict=True):
+                    for x in runs:
+                        yield doc, x["start"], x["kind"], text[x["start"] : x["start"] + x["count"] + length - 1]
+
+        yield from _in_parts(rows(), length, gram, SPANS[1])
+
+    return run
+
+
+def _from_runs(length: int, gram: int):
+    """doc, start, kind, bytes in; single windows out."""
+
+    def run(frames: Iterator[pa.RecordBatch]):
+        yield from _in_parts((r for f in frames for r in zip(*(f.column(k).to_pylist() for k in range(4)), strict=True)), length, gram, SPANS[2])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, count: runs of windows of each document that start earlier too."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    rows = texts.mapInArrow(_runs(length, gram), _ROW).repartition("bucket").sortWithinPartitions("bucket", "refined", "doc_id", "start")
-    refined = cut(rows.mapInArrow(_refine, _ROW), "suffix-refined")
-    of_doc = refined.filter(F.col("kind") == _OPEN).groupBy(F.col("doc_id").alias("of_id")).agg(F.collect_list(F.struct("bucket", "start", "count")).alias("runs"))
-    covered = texts.join(of_doc, F.col("doc_id") == F.col("of_id")).select("doc_id", "text", "runs").mapInArrow(_covered(length), "bucket long, doc_id long, start long, bytes binary")
-    last = covered.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(_windows(length), "doc_id long, start long, count int")
-    return refined.filter(F.col("kind") == _REPEAT).select("doc_id", "start", "count").unionByName(cut(last, "suffix-windows"))
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "refined", "doc", "start")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (its place in the order of documents), text."""
+    after_all = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), after_all).alias("doc"), "text")
+
+
+def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """texts: doc, text. Returns doc, start, count: runs of windows of each document that start earlier too."""
+    with_bytes = _ROW + ", bytes binary"
+    first = cut(_sorted(texts.select("doc", "text").mapInArrow(_runs(length, gram), _ROW)).mapInArrow(_refine(), _ROW), "suffix-runs")
+    of_doc = first.filter(F.col("kind") != _REPEAT).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "count", "kind")).alias("runs"))
+    shorter = texts.join(of_doc, F.col("doc") == F.col("of")).select("doc", "text", "runs").mapInArrow(_from_texts(length, gram), with_bytes)
+    second = cut(_sorted(shorter).mapInArrow(_refine(True), with_bytes), "suffix-refined")
+    windows = second.filter(F.col("kind") != _REPEAT).select("doc", "start", "kind", "bytes").mapInArrow(_from_runs(length, gram), _ROW)
+    last = _sorted(windows).mapInArrow(_refine(), _ROW)
+    found = [x.filter(F.col("kind") == _REPEAT).select("doc", "start", "count") for x in (first, second, last)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def removed_spans(runs: list[tuple[int, int]], length: int) -> list[list[int]]:
@@ -297,8 +354,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
                 rows.append((doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             yield from batches(rows, names, types)
 
-    runs = repeated_runs(docs, length, gram).groupBy(F.col("doc_id").alias("of_id")).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(runs, F.col("doc_id") == F.col("of_id"), "left").select("doc_id", "text", "runs")
+    texts = _keyed(docs)
+    runs = repeated_runs(texts, length, gram).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    texts = texts.join(runs, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "runs")
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
