@@ -192,9 +192,17 @@ def _settle(columns: list[np.ndarray]):
         again[1:] = (bucket[rows][1:] == bucket[rows][:-1]) & (refined[rows][1:] == refined[rows][:-1])
         head = rows[np.maximum.accumulate(np.where(again, 0, np.arange(len(rows))))]
         kind[rows[again & ((doc[rows] != doc[head]) | (start[rows] != start[head]))]] = _REPEAT
-    for i in range(0, len(key), 1 << 16):
+    again = kind == _REPEAT
+    # repeats that follow one another in a document become one row; they are compared with nothing, so they are dealt by their place
+    joined = again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + count[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~joined]))
+    count = np.add.reduceat(count, head)
+    bucket, refined, doc, start, kind, again = (x[head] for x in (bucket, refined, doc, start, kind, again))
+    spread = ((doc + (start >> 16)).astype(np.uint64) * np.uint64(_BASE)).astype(np.int64)
+    bucket = np.where(again, spread, bucket)
+    for i in range(0, len(doc), 1 << 16):
         p = slice(i, i + (1 << 16))
-        yield _record([np.where(kind[p] == _REPEAT, key[p], bucket[p]), refined[p], doc[p], start[p], count[p], kind[p]])
+        yield _record([x[p] for x in (bucket, refined, doc, start, count, kind)])
 
 
 def _refine(with_bytes: bool = False):
