@@ -9,9 +9,11 @@ Template: a turn is "<s>" role "[INST]" text "[/INST]" "</s>". A control string
 backslash behind its first character ("</s>" -> "<\\/s>", "<\\/s>" -> "<\\\\/s>"), which `unescape` takes away again.
 loss_spans are the code-point ranges of assistant texts in the formatted string.
 
-Defined results: null role or text is empty; a message whose parent is missing is a root; messages on a cycle have no root
-and belong to no path; ties in score go to the smaller leaf id; of rows with the same (tree, node) every one counts if the
-ids are made by `linear_nodes`. An empty table gives no conversation. Further columns are ignored.
+Defined results: null role or text is empty, a null score 0; a message whose parent is missing is a root; messages on a cycle
+have no root and belong to no path; ties in score go to the smaller leaf id. Rows with a null tree are one tree of their own,
+named null in the result; a row with a null node is left out. Of rows with the same tree and node the least by parent (null
+first), role, text and score counts; `linear_nodes` gives every row a node of its own. An empty table gives no conversation.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,43 +66,62 @@ def linear_nodes(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").alias("tree"), node.alias("node"), (node - 1).alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0.0).alias("score"))
 
 
-def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """messages: tree, node, parent, score, ... Returns tree, leaf, rank, node, height (0 at the leaf) of the `keep` best paths of each tree."""
-    nodes = messages.select(F.coalesce("tree", F.lit(-1)).alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = nodes.select("tree", F.col("node").alias("up"))
+KEY = ["none", "tree"]
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """Messages with a key that is never null (whether the tree's name is null, and the name), one row for each node."""
+    named = messages.filter("node is not null").withColumn("none", F.col("tree").isNull()).withColumn("tree", F.coalesce("tree", F.lit(0)))
+    named = named.select(*KEY, "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    rest = ["parent", "role", "text", "score"]
+    return named.groupBy(*KEY, "node").agg(F.min(F.struct(*rest)).alias("m")).select(*KEY, "node", *[f"m.{c}" for c in rest])
+
+
+def _named(paths: DataFrame, *columns: str) -> DataFrame:
+    return paths.select(F.when(~F.col("none"), F.col("tree")).alias("tree"), *columns)
+
+
+def _paths(nodes: DataFrame, keep: int) -> DataFrame:
+    """nodes: none, tree, node, parent, score. The rows of `reply_paths` by key."""
+    known = nodes.select(*KEY, F.col("node").alias("up"))
     # rounds[k]: the nodes that have an ancestor 2^k steps up, and the scores of the steps, the ancestor's not included
-    rounds = [cut(nodes.withColumnRenamed("parent", "up").join(known, ["tree", "up"], "left_semi").select("tree", "node", "up", "score"), "chat-up0")]
+    rounds = [cut(nodes.withColumnRenamed("parent", "up").join(known, [*KEY, "up"], "left_semi").select(*KEY, "node", "up", "score"), "chat-up0")]
     n = nodes.count()
     while 2 ** len(rounds) <= n and not rounds[-1].isEmpty():
-        a, b = rounds[-1], rounds[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("score").alias("more"))
-        rounds.append(cut(a.join(b, ["tree", "up"]).select("tree", "node", F.col("higher").alias("up"), (F.col("score") + F.col("more")).alias("score")), f"chat-up{len(rounds)}"))
-    parents = rounds[0].select("tree", F.col("up").alias("node")).distinct()
-    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("score"))
-    for k in range(len(rounds) - 1, -1, -1):
-        step = rounds[k].select("tree", "node", F.col("up").alias("higher"), F.col("score").alias("more"))
-        leaves = leaves.join(step, ["tree", "node"], "left").select("tree", "leaf", F.coalesce("higher", "node").alias("node"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    roots = nodes.join(rounds[0].select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.col("score").alias("own"))
-    best = Window.partitionBy("tree").orderBy((F.col("score") + F.col("own")).desc(), "leaf")
-    paths = leaves.join(roots, ["tree", "node"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
-    paths = cut(paths.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height")), "chat-leaves")
+        a, b = rounds[-1], rounds[-1].select(*KEY, F.col("node").alias("up"), F.col("up").alias("higher"), F.col("score").alias("more"))
+        rounds.append(cut(a.join(b, [*KEY, "up"]).select(*KEY, "node", F.col("higher").alias("up"), (F.col("score") + F.col("more")).alias("score")), f"chat-up{len(rounds)}"))
+    parents = rounds[0].select(*KEY, F.col("up").alias("node")).distinct()
+    leaves = nodes.select(*KEY, "node").join(parents, [*KEY, "node"], "left_anti").select(*KEY, F.col("node").alias("leaf"), "node", F.lit(0.0).alias("score"))
     for k in range(len(rounds) - 1, -1, -1):
-        step = rounds[k].select("tree", "node", "up")
-        above = paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("height") + 2**k).alias("height"))
-        paths = cut(paths.unionByName(above), f"chat-path{k}")
+        step = rounds[k].select(*KEY, "node", F.col("up").alias("higher"), F.col("score").alias("more"))
+        leaves = leaves.join(step, [*KEY, "node"], "left").select(*KEY, "leaf", F.coalesce("higher", "node").alias("node"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    roots = nodes.join(rounds[0].select(*KEY, "node"), [*KEY, "node"], "left_anti").select(*KEY, "node", F.col("score").alias("own"))
+    best = Window.partitionBy(*KEY).orderBy((F.col("score") + F.col("own")).desc(), "leaf")
+    chosen = leaves.join(roots, [*KEY, "node"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
+    paths = cut(chosen.select(*KEY, "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height")), "chat-leaves")
+    for k in range(len(rounds) - 1, -1, -1):  # each round writes only the ancestors that it adds
+        above = paths.join(rounds[k].select(*KEY, "node", "up"), [*KEY, "node"]).select(*KEY, "leaf", "rank", F.col("up").alias("node"), (F.col("height") + 2**k).alias("height"))
+        paths = paths.unionByName(cut(above, f"chat-path{k}"))
     return paths
 
 
+def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
+    """messages: tree, node, parent, role, text, score. Returns tree, leaf, rank, node, height (0 at the leaf) of the `keep` best paths of each tree."""
+    return _named(_paths(cut(_keyed(messages).drop("role", "text"), "chat-ids"), keep), "leaf", "rank", "node", "height")
+
+
 def _format(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in frame.turns]
-        yield pd.DataFrame({"tree": frame.tree, "leaf": frame.leaf, "rank": frame["rank"], "formatted": [m[0] for m in made], "loss_spans": [[{"start": a, "stop": b} for a, b in m[1]] for m in made]})
+        spans = [[{"start": a, "stop": b} for a, b in m[1]] for m in made]
+        yield pd.DataFrame({"tree": frame.tree.astype("Int64"), "leaf": frame.leaf, "rank": frame["rank"], "formatted": [m[0] for m in made], "loss_spans": spans})
 
 
 def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages: tree, node, parent, role, text, score. Returns tree, leaf, rank, formatted, loss_spans: a row for each chosen path."""
-    texts = messages.select(F.coalesce("tree", F.lit(-1)).alias("tree"), "node", "role", "text")
-    turns = reply_paths(messages, keep).join(texts, ["tree", "node"]).groupBy("tree", "leaf", "rank")
-    turns = turns.agg(F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("at"), "role", "text"))).alias("turns"))
+    nodes = cut(_keyed(messages), "chat-nodes")
+    turns = _paths(nodes.drop("role", "text"), keep).join(nodes.select(*KEY, "node", "role", "text"), [*KEY, "node"]).groupBy(*KEY, "leaf", "rank")
+    turns = _named(turns.agg(F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("at"), "role", "text"))).alias("turns")), "leaf", "rank", "turns")
     return turns.mapInPandas(_format, "tree long, leaf long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
 
 
@@ -108,17 +129,17 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for frame in frames:
         rows = []
-        for conv, text, spans in zip(frame.tree, frame.formatted, frame.loss_spans, strict=True):
+        for conv, text, spans in zip(frame.tree.astype("Int64"), frame.formatted, frame.loss_spans, strict=True):
             turns = parse_turns(text)
             loss = "".join(unescape(text[s["start"] : s["stop"]]) for s in spans)
             rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    formatted = cut(format_trees(cut(linear_nodes(rows), "chat-nodes")), "chat-formatted")
+    formatted = cut(format_trees(linear_nodes(rows)), "chat-formatted")
     return formatted.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
