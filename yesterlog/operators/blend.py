@@ -62,12 +62,27 @@ def vertex(x: tuple[float, float, float], y: tuple[float, float, float]) -> tupl
 
 
 def poisson_draw(key: Column, draw: Column) -> Column:
-    """0, 1, 2 or 3 copies with the probabilities of Poisson(1), from an integer hash of key and draw that any engine can repeat."""
-    u = ((key.cast("long") + 1) * 7919 + (draw.cast("long") + 1) * 104729) * 48271 % 2147483647 % 10000
-    return F.when(u < 3679, 0).when(u < 7358, 1).when(u < 9197, 2).otherwise(3)
-
-
-POISSON_SQL = "(CASE WHEN {u} < 3679 THEN 0 WHEN {u} < 7358 THEN 1 WHEN {u} < 9197 THEN 2 ELSE 3 END)"
+    """A number of copies with the probabilities of Poisson(1), from an integer hash of key and draw that any engine can repeat.
+
+    Squares modulo a prime between the linear steps keep one draw from being another's shifted copy."""
+    k, d = (key.cast("long") + 1) % PRIME, draw.cast("long") + 1
+    x = (k * 7919 + d * 104729) % PRIME
+    x = (x * x % PRIME + k * d) % PRIME * 48271 % PRIME
+    u = x * x % PRIME % 10000
+    copies = F.when(u < POISSON[0], 0)
+    for n, limit in enumerate(POISSON[1:], 1):
+        copies = copies.when(u < limit, n)
+    return copies.otherwise(len(POISSON))
+
+
+PRIME = 2147483647
+#: Ten thousandths of the draws with at most 0, 1, ... copies.
+POISSON = (3679, 7358, 9197, 9810, 9963, 9994, 9999)
+_X = f"((({{k}} + 1) % {PRIME} * 7919 + ({{d}} + 1) * 104729) % {PRIME})"
+_Y = f"(({_X} * {_X} % {PRIME} + ({{k}} + 1) % {PRIME} * ({{d}} + 1)) % {PRIME} * 48271 % {PRIME})"
+#: SQL of the hash, and of the copies by the hash u.
+HASH_SQL = f"({_Y} * {_Y} % {PRIME} % 10000)"
+POISSON_SQL = "(CASE " + " ".join(f"WHEN {{u}} < {limit} THEN {n}" for n, limit in enumerate(POISSON)) + f" ELSE {len(POISSON)} END)"
 
 
 def hash_order(key: Column) -> Column:

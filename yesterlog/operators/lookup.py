@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranked import running
+
 
 class NotUnique(ValueError):
     pass
@@ -35,7 +37,18 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dictionary(df: DataFrame, value: str, code: str = "code") -> DataFrame:
-    """value, code: dense codes from 0 in order of the value. The distinct values must be few: numbering them takes one task."""
-    from pyspark.sql import Window
+    """value, code: dense codes from 0 in order of the value; distinct values are numbered by ranges."""
+    return running(df.select(value).filter(F.col(value).isNotNull()).distinct(), [], [value], {code: F.lit(1)}).withColumn(code, F.col(code).cast("int"))
+
+
+class IdsDiffer(ValueError):
+    pass
+
 
-    return df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn(code, (F.row_number().over(Window.orderBy(value)) - 1).cast("int"))
+def assert_same_ids(left: DataFrame, right: DataFrame, key: str) -> None:
+    """Raises if an id is null, repeats on a side, or is missing on a side."""
+    side = lambda t, n: t.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    both = side(left, "_l").join(side(right, "_r"), key, "full")
+    wrong = both.filter(F.col(key).isNull() | (F.coalesce("_l", F.lit(0)) != 1) | (F.coalesce("_r", F.lit(0)) != 1)).limit(1).collect()
+    if wrong:
+        raise IdsDiffer(f"ids of two outputs differ, for example {wrong[0]}")

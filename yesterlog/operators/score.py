@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
+from .ranked import running
 
 
 def brier(p: Column | str, y: Column | str) -> Column:
@@ -31,12 +32,9 @@ def gain_parts(p: str, q: str, y: str) -> Column:
 
 
 def auc(df: DataFrame, p: str, y: str, keys: list[str]) -> DataFrame:
-    """Exact area under the ROC curve from average ranks; equal scores are pre-aggregated, so a task sees each score once."""
-    from pyspark.sql import Window
-
+    """Exact area under the ROC curve from average ranks; equal scores are pre-aggregated, then ranked by ranges of the score."""
     scores = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("ones"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scores.withColumn("rank2", (2 * below + F.col("n") + 1) * F.col("ones"))
+    ranked = running(scores, keys, [p], {"below": "n"}).withColumn("rank2", (2 * F.col("below") + F.col("n") + 1) * F.col("ones"))
     ones, n = F.sum("ones"), F.sum("n")
     return ranked.groupBy(*keys).agg(F.try_divide(F.sum("rank2") - ones * (ones + 1), 2 * ones * (n - ones)).alias("auc"), n.alias("n"))
 

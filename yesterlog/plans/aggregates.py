@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rate
 from ..operators import aggregate as A
+from ..operators.ranked import running
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
 
@@ -71,10 +72,11 @@ def histogram_fixed(spark, d):
   , g AS (SELECT supplier, count(*) AS n FROM items GROUP BY supplier)
   SELECT supplier, n, row_number() OVER w AS place, sum(n) OVER w / (SELECT count(*) FROM items) AS cumulative FROM g WINDOW w AS (ORDER BY n DESC, supplier ROWS UNBOUNDED PRECEDING)"""))
 def lorenz_share(spark, d):
-    """Cumulative share of rows by supplier, largest first. The window is over one row a supplier, not over the rows."""
+    """Cumulative share of rows by supplier, largest first; suppliers are ranked by ranges of their size."""
     g = items(spark, d).groupBy("supplier").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), "supplier").rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("supplier", "n", F.row_number().over(Window.orderBy(F.desc("n"), "supplier")).alias("place"), (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("cumulative"))
+    ranked = running(g.withColumn("down", -F.col("n")), [], ["down", "supplier"], {"place": F.lit(1), "before": "n"})
+    total = g.agg(F.sum("n").alias("total"))
+    return ranked.crossJoin(F.broadcast(total)).select("supplier", "n", (F.col("place") + 1).cast("int").alias("place"), ((F.col("before") + F.col("n")) / F.col("total")).alias("cumulative"))
 
 
 @query("group_mode", over(ITEMS, """

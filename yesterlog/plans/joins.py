@@ -9,6 +9,7 @@ from ..functions.expr import eb, rate
 from ..operators import aggregate as A
 from ..operators import asof
 from ..operators import lookup as L
+from ..operators.ranked import running
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
 
@@ -132,10 +133,10 @@ def cell_vs_entity_join(spark, d):
     return cell.join(own, "supplier").select("supplier", "cnt", "n", (rate("total", "n") - F.col("own")).alias("split"))
 
 
-@query("order_preserving_attach", "SELECT o_orderkey, c_mktsegment, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 1000")
+@query("order_preserving_attach", "SELECT o_orderkey, c_mktsegment, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders JOIN customer ON o_custkey = c_custkey")
 def order_preserving_attach(spark, d):
-    """Order is carried as a column: the attached rows of a bounded key range keep the place they had."""
-    o = table(spark, d, "orders").filter("o_orderkey < 1000").withColumn("place", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long"))
+    """Order is carried as a column: the attached rows keep the place they had among all orders, numbered by key ranges."""
+    o = running(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [], ["o_orderkey"], {"place": F.lit(1)})
     c = table(spark, d, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment", "place")
 
@@ -145,6 +146,7 @@ def align_outputs(spark, d):
     """Two components' outputs joined by id, after both are found to have the same ids."""
     ev = events(spark, d)
     a, b = ev.select("event_id", (F.col("n") + 1).alias("a")), ev.select("event_id", (F.col("s") + 2).alias("b"))
+    L.assert_same_ids(a, b, "event_id")
     return a.join(b, "event_id").select("event_id", (F.lit(0.4) * F.col("a") + F.lit(0.6) * F.col("b")).alias("combined"))
 
 

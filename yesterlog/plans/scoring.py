@@ -277,12 +277,11 @@ def segment_experts(spark, d):
     return pr.crossJoin(F.broadcast(total)).groupBy("seg").agg(F.round(K.skill("p", "y"), 3).alias("own"), F.round(100000 * (1 - K.brier("p", "y") / F.max("v")), 3).alias("by_all"))
 
 
-_U = "(((user_id + 1) * 7919 + (draw + 1) * 104729) * 48271 % 2147483647 % 10000)"
-_DRAWS = 40
+_DRAWS = 5000
 
 
 @query("cluster_bootstrap", over(_PRED, f""", c AS (SELECT user_id, sum(CAST(round(((p - y) * (p - y) - (q - y) * (q - y)) * 1000000000) AS BIGINT))::BIGINT AS g, count(*) AS n FROM pr GROUP BY user_id),
-  w AS (SELECT draw, g, n, {B.POISSON_SQL.format(u=_U)} AS w FROM c, (SELECT unnest(range({_DRAWS})) AS draw)), b AS (SELECT draw, sum(g * w)::DOUBLE / sum(n * w)::DOUBLE AS gain, sum(n * w) > 0 AS valid FROM w GROUP BY draw)
+  u AS (SELECT draw, g, n, {B.HASH_SQL.format(k="user_id", d="draw")} AS u FROM c, (SELECT unnest(range({_DRAWS})) AS draw)), w AS (SELECT draw, g, n, {B.POISSON_SQL.format(u="u")} AS w FROM u), b AS (SELECT draw, sum(g * w)::DOUBLE / sum(n * w)::DOUBLE AS gain, sum(n * w) > 0 AS valid FROM w GROUP BY draw)
   SELECT count(*) AS draws, round(quantile_cont(gain, 0.025), 3) AS low, round(median(gain), 3) AS mid, round(quantile_cont(gain, 0.975), 3) AS high, avg(CAST(gain > 0 AS INT)) AS positive FROM b WHERE valid"""))
 def cluster_bootstrap(spark, d):
     """Draws of users with Poisson weights. Users are summed first; draws without any row are left out."""

@@ -20,10 +20,12 @@ _own: str | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which all executors share; only where that is unset, in a folder of this process."""
+    """A new path in spark.checkpoint.dir, which all executors share; only in local mode without that setting, in a folder of this process."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="yesterlog-")
             atexit.register(shutil.rmtree, _own, True)
