@@ -6,7 +6,7 @@ cut into key ranges; a rule is copied to each range that its interval meets; ins
 stack of the rules whose interval is open. Urls are never swept themselves: a host with a third of all urls is one row.
 
 Defined results: a url that is null or lacks "://" has an empty host and path, which no rule fits. Repeated urls and rows
-are judged alike. Of two equal rules the block rule counts. "Longest" compares the host first, then the path.
+are judged alike. Of two equal rules the block rule counts. There are as many ranges as four times the shuffle partitions, and at most BOUND_SAMPLE. "Longest" compares the host first, then the path.
 An empty table gives an empty result, an empty rule list the default verdict. Other columns of the input are ignored.
 """
 
@@ -18,13 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, lower_ascii
+from .common import load, lower_ascii, parallelism
 
 #: host, path, action
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Keys sampled to choose range bounds: the only thing gathered by the driver, of this size whatever the input.
 BOUND_SAMPLE = 4096
-RANGES = 48
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +65,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     hosts = urls.filter("host <> ''").select("host").distinct().select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "host", F.lit("").alias("path"), F.lit("").alias("action"))
     marks = rules.select(host_key(lower_ascii(F.col("host"))).alias("key"), F.lit(0).alias("kind"), lower_ascii(F.col("host")).alias("host"), F.col("path"), F.col("action"))
     sample = sorted(r.key for r in hosts.select("key").orderBy(F.xxhash64("key"), "key").limit(BOUND_SAMPLE).collect())
-    step = max(1, len(sample) // RANGES)
+    step = max(1, len(sample) // (4 * parallelism(spark)))  # some ranges for each task
     bounds = F.array(*[F.lit(k) for k in sample[step::step]]) if sample[step::step] else F.expr("array()")
     cell = lambda key: F.size(F.filter(bounds, lambda b: b <= key))
     hosts = hosts.withColumn("cell", cell(F.col("key")))
