@@ -324,6 +324,36 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(enc.encode(t), "<u4").tolist() == reference_ids(name, t)[:-1]
 
 
+def test_unknown_tokenizers_are_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "-": 2, "?": 3}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "own.json"))
+    enc = tokens.encoder(str(tmp_path / "own.json"))
+    assert not enc.known and all(tokens.encoder(tokens.vocabulary(n)).known for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert np.frombuffer(enc.encode("a b-a  c"), "<u4").tolist() == [0, 1, 2, 0, 3]
+
+
+def test_op6_op8_op10_repeated_and_null_ids(spark):
+    rows = [(1, "same"), (1, "same"), (1, "other one"), (None, "x"), (None, "x"), (None, None)]
+    d, name = spark.createDataFrame(rows, EMPTY).repartition(2), "word_bpe_49k.json"
+    path = table_path(spark, "test-repeats")
+    token_file.write_token_file(d, tokens.vocabulary(name), path)
+    got = token_file.read_documents(spark, path).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), np.array(reference_ids(name, t), "<u4").tobytes()) for i, t in rows)
+    spans = sorted((r.start, len(r.ids) // 4) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+    pieces = packing.pack_documents(d, tokens.vocabulary(name), with_ids=True).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in pieces) == sorted((str(i), np.array(reference_ids(name, t), "<u4").tobytes()) for i, t in rows)
+    pages, store = media.document_media(d)
+    shown = media.resolve(media.elements(pages).filter("kind = 'media'"), media.described(store)).collect()
+    assert sorted((str(r.page_id), r.caption) for r in shown) == sorted((str(i), f"{len(t or '')} bytes") for i, t in rows)
+    for r in shown:
+        stored = media.encode_png((rows[[x[0] for x in rows].index(r.page_id)][1] or "").encode().ljust(192)) if r.caption == "4 bytes" else None
+        assert stored is None or (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(media.decode_png(stored)))
+
+
 def test_op9_held_out(spark):
     """A constant classifier has a recall or a share of clean documents kept of 0, and an area under the curve of one half."""
     sf = "/root/testdata/sf0.1"

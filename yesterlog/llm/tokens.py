@@ -2,7 +2,9 @@
 
 Both vocabularies' pre-tokenizers always end a token before a space that stands between two characters which are not white
 space, and before and after a newline there; so such a piece has the same ids in any text, and the library needs to encode each
-distinct piece once. A new piece of plain letters, digits and ASCII signs is cut into words here and given to the library's
+distinct piece once. Strings of special tokens in a text are ordinary text (encode_special_tokens, as the vocabularies' own
+description has it), so that no document can forge a control token. Any other tokenizer file is encoded by the library as a whole.
+A new piece of plain letters, digits and ASCII signs is cut into words here and given to the library's
 model; any other goes through the library's whole encoder. Texts where white space meets white space are cut by a regular
 expression at the safe places alone. A cache that
 holds CACHE_PIECES drops all but its oldest entries, which bounds a worker's memory.
@@ -31,6 +33,12 @@ _END = b"\xff\xff\xff\xff"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n ]?[!-~{_LETTER}]+").fullmatch
 _encoders: dict[str, Encoder] = {}
+_PROBE = "Ab1 2c 34's  x\n y'll..!? é"
+#: The words of the probe under the two pre-tokenizers that are rebuilt here.
+_PROBED = [
+    ["ab", "1", "2", "c", "3", "4", "'s", "x", "y", "'ll", "..!?", "Ã©"],
+    ["Ab", "1", "Ġ2", "c", "Ġ34", "'s", "Ġ", "Ġx", "Ċ", "Ġy", "'ll", "..!?", "ĠÃ©"],
+]
 
 
 def _byte_characters() -> dict[int, str]:
@@ -73,6 +81,7 @@ class Encoder:
             raise RuntimeError("ids are written as this machine's unsigned ints, which must be 32-bit and little-endian")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known = self._is_known()
         self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary: lower case, white space dropped, digits one by one
         space, digits = ("", "[0-9]") if self.lower else (" ?", " ?[0-9]+")
@@ -81,6 +90,14 @@ class Encoder:
         self.whole = _Made(self._whole)  # by the exact string
         self.pieces: dict[str, bytes] = {}  # by the piece; a space stands before it unless it starts with a newline
 
+    def _is_known(self) -> bool:
+        """Whether the file's pre-tokenizer is one of the two whose cuts are rebuilt here."""
+        pre = self.tokenizer.pre_tokenizer
+        if pre is None:
+            return False
+        own = self.tokenizer.normalizer.normalize_str(_PROBE) if self.tokenizer.normalizer else _PROBE
+        return [w for w, _ in pre.pre_tokenize_str(own)] in _PROBED
+
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenize((word if word.isascii() else word.encode().decode("latin-1")).translate(_BYTES))]).tobytes()
 
@@ -109,6 +126,8 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         shrink(self.pieces)
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         # one look-up for each piece; only those that miss are looked up again once they are learnt
