@@ -6,8 +6,9 @@ Covering tables for radius r: bit position i gets a vector m(i) of r+1 bits; for
 keeps the positions with <m(i), v> = 1 (mod 2). Any r differing positions span less than the r+1 dimensions, so some v is
 orthogonal to all of them, and in table v the two fingerprints agree: every pair within the radius meets in some table, with
 certainty. Only distinct fingerprints enter the tables. Buckets of more than `hot` fingerprints go through a second set of
-tables, over other vectors, inside the bucket; what both masks leave free is at most `free_bits()` positions, so no such
-bucket holds over 2^free_bits() fingerprints. A bucket emits a spanning forest of its links, never its pairs.
+tables, over other vectors, inside the bucket. A bucket that stays crowded is dealt by hash into parts of about `hot` members,
+and each two parts are compared in a task of their own, so no row and no task holds more than about 2 x `hot` members and each
+pair still meets. A task emits a spanning forest of its links, never its pairs.
 
 Defined results: A-Z are lower-cased, words are separated by space and \\x09-\\x0D; fewer words than a shingle make one shingle
 of the whole sequence; null or empty texts have no words and fingerprint zero, linked like any other. Exact repeats have
@@ -74,10 +75,6 @@ def masks(radius: int = RADIUS, level: int = 0) -> tuple[int, ...]:
     return sorted(dealt, key=lambda found: -min(m.bit_count() for m in found))[level]
 
 
-def free_bits(radius: int = RADIUS) -> int:
-    return max(64 - (a | b).bit_count() for a in masks(radius) for b in masks(radius, 1))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -119,12 +116,18 @@ def _links(radius: int):
 
 def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """fps: distinct fp. Returns edges a, b among them whose components are those of the graph of all pairs within the radius."""
+    bucket = ["t", "key", "t2", "key2"]
     dealt = fps.select("fp", _tables(F.col("fp"), radius, 0).alias("x")).select("fp", "x.t", "x.key")
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = cut(dealt.join(sizes, ["t", "key"]), "simhash-buckets")
     cool = met.filter(F.col("n") <= hot).groupBy("t", "key").agg(F.collect_set("fp").alias("fps")).select("fps")
     again = met.filter(F.col("n") > hot).select("fp", "t", "key", _tables(F.col("fp"), radius, 1).alias("y")).select("fp", "t", "key", F.col("y.t").alias("t2"), F.col("y.key").alias("key2"))
-    warm = again.groupBy("t", "key", "t2", "key2").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    again = cut(again, "simhash-crowded")
+    parts = again.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / hot).alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("fp"), "parts")
+    # a member of part i meets part j in the pair (lesser, greater); with one part that is the bucket itself
+    paired = again.join(parts, bucket).select("fp", *bucket, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    warm = paired.groupBy(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
     return cool.unionByName(warm).mapInArrow(_links(radius), "a long, b long")
 
 
