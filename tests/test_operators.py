@@ -126,6 +126,30 @@ def test_peeling_is_one_to_one(spark):
     assert sorted(values(got.select("a", "b", "round"))) == [(1, 10, 0), (2, 11, 1)]
 
 
+def test_peeling_leaves_no_free_pair(spark):
+    rows = [(a, b, round(((a * 7 + b * 13) % 29) / 29, 9)) for a in range(12) for b in range(12) if (a * 5 + b) % 4]
+    got = match.peel(spark.createDataFrame(rows, "a int, b int, distance double"), "a", "b", [(0.3, 0.02), (1.0, 0.0)], io.keep).collect()
+    used_a, used_b = {r.a for r in got}, {r.b for r in got}
+    assert len(used_a) == len(used_b) == len(got)
+    assert all(a in used_a or b in used_b for a, b, _ in rows)
+    # a plain version of the rounds
+    left, wanted, k = rows, set(), 0
+    while True:
+        most, margin = [(0.3, 0.02), (1.0, 0.0)][min(k, 1)]
+        of_a, of_b = {}, {}
+        for a, b, d in left:
+            of_a.setdefault(a, []).append((d, b))
+            of_b.setdefault(b, []).append((d, a))
+        near = {a: sorted(v) for a, v in of_a.items()}
+        lock = {(a, v[0][1]) for a, v in near.items() if min(of_b[v[0][1]])[1] == a and v[0][0] <= most and round((v[1][0] if len(v) > 1 else 1) - v[0][0], 9) >= margin}
+        wanted |= {(a, b, k) for a, b in lock}
+        left = [r for r in left if r[0] not in {a for a, _ in lock} and r[1] not in {b for _, b in lock}]
+        k += 1
+        if k >= 2 and (not lock or not left):
+            break
+    assert {(r.a, r.b, r.round) for r in got} == wanted
+
+
 def test_trees_route_missing_values(spark):
     tree = {"feature": "x", "threshold": 1, "missing": "right", "left": {"value": -1}, "right": {"value": 1}}
     assert values(spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double").select(model.tree_column(tree))) == [(-1.0,), (1.0,), (1.0,)]

@@ -352,13 +352,15 @@ def cosine_similarity(spark, d):
     return a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.round(s("xa", "xb") / (F.sqrt(s("xa", "xa")) * F.sqrt(s("xb", "xb"))), 5).alias("cosine"))
 
 
-@query("quadratic_vertex")
+@query("quadratic_vertex", over(_PRED, """, w AS (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS w), z AS (SELECT w, 100000 * (1 - avg((p + w * (q - p) - y) * (p + w * (q - p) - y)) / (avg(y) * (1 - avg(y)))) AS score FROM pr, w GROUP BY w),
+  t AS (SELECT max(score) FILTER (w = 0) AS low, max(score) FILTER (w = 0.5) AS mid, max(score) FILTER (w = 1) AS high FROM z), c AS (SELECT low, 4 * mid - 3 * low - high AS b, 2 * (low - 2 * mid + high) AS a FROM t)
+  SELECT round(-b / (2 * a), 6) AS weight, round(low - b * b / (4 * a), 4) AS score FROM c"""))
 def quadratic_vertex(spark, d):
     """The best weight of q from three probes of the score alone: the parabola through them is exact."""
     pr = predictions(spark, d)
     probes = pr.agg(*[K.skill(F.col("p") + F.lit(w) * (F.col("q") - F.col("p")), "y").alias(f"w{i}") for i, w in enumerate((0.0, 0.5, 1.0))]).first()
     at, score = B.vertex((0.0, 0.5, 1.0), tuple(probes))
-    return spark.createDataFrame([(at, score)], "weight double, score double")
+    return spark.createDataFrame([(round(at, 6), round(score, 4))], "weight double, score double")
 
 
 @query("gram_solve")

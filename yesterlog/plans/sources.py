@@ -57,7 +57,7 @@ def cache_read_through(spark, d):
     return rows.withColumn("reused", F.lit(reused))
 
 
-@query("report_lock")
+@query("report_lock", over(ITEMS, "SELECT count(*) AS n, sum(cents)::BIGINT AS cents FROM items"))
 def report_lock(spark, d):
     """A result that is stored once and must be reproduced."""
     path, row = io.scratch(spark, "lock"), items(spark, d).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).first().asDict()

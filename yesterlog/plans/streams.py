@@ -46,9 +46,15 @@ def session_windows(spark, d):
 
 @query("stateful_asof_stream", over(EVENTS, "SELECT user_id, event_id, n, s FROM ev"))
 def stateful_asof_stream(spark, d):
-    """Every event with its user's count and sum before it, from state that a stream keeps."""
-    ev = _stream(spark, d).withColumn("y", (F.col("event_type") == "purchase").cast("long"))
-    return S.drained(S.online_state(ev, "user_id", "event_id", "y"), "asof")
+    """Every event with its user's count and sum before it, from state that a stream keeps; the second half arrives after a restart."""
+    ev = table(spark, d, "events")
+    half = ev.agg(F.expr("(min(event_id) + max(event_id)) div 2")).first()[0] or 0
+
+    def make(path):
+        rows = S.read_events(spark, path).withColumn("y", (F.col("event_type") == "purchase").cast("long"))
+        return S.online_state(rows, "user_id", "event_id", "y")
+
+    return S.resumed(make, [ev.filter(F.col("event_id") <= half), ev.filter(F.col("event_id") > half)], "asof")
 
 
 @query("dedup_stream", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")

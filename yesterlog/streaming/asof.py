@@ -35,11 +35,29 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def resumed(make: Callable[[str], DataFrame], turns: list[DataFrame], name: str) -> DataFrame:
+    """Appends each turn of a log to a folder and runs the stream make(folder) over what is new, from the checkpoint of the run before.
+
+    State goes from turn to turn by the checkpoint, as it does when a job is stopped and started again.
+    """
+    spark = turns[0].sparkSession
+    source, out, state = scratch(spark, f"{name}-source"), scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
+    for rows in turns:
+        rows.write.mode("append").parquet(source)
+        stream = make(source)
+        run = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start()
+        run.awaitTermination()
+        if run.exception():
+            raise RuntimeError(str(run.exception()))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def online_state(stream: DataFrame, key: str, order: str, y: str) -> DataFrame:
     """key, order, n, s: for each event the number of the key's events before it and the sum of their y.
 
-    A batch's events of a key are taken in `order`; state is emitted before it is updated, so that it never holds the event itself.
-    The state of a key is two numbers.
+    A batch's events of a key are taken in `order`, and batches must arrive in it; state is emitted before it is updated, so that
+    it never holds the event itself. The state of a key is two numbers. A key's events of one batch are held at once, so a source
+    with very active keys needs small batches (maxFilesPerTrigger).
     """
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
