@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import asof
 from .features import _FORM, form
-from .registry import over, query
+from .registry import events, over, query
 
 LEAGUE, CUT = "2e-1", 3
 _METRICS = {
@@ -28,6 +29,12 @@ _CONTEXT = {
 }
 
 
+_MIDDLE = "event_type = 'error'"
+#: The rate of all rows of the seasons before a season.
+_PRIOR = f""", by_season AS (SELECT season, sum(y)::BIGINT AS t, count(*) AS m FROM cx GROUP BY season),
+  pr AS (SELECT season, coalesce((sum(t) OVER w)::BIGINT / (sum(m) OVER w)::BIGINT, {LEAGUE}) AS prior FROM by_season WINDOW w AS (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
 def _counters() -> list[tuple[str, str, str]]:
     """entity, name, condition of every counter besides the entities' n."""
     return [("p", "ps", "y = 1"), ("b", "bs", "y = 1")] + [(e, f"{e}_{m}", c) for e, metrics in _METRICS.items() for m, c in metrics.items()]
@@ -41,12 +48,14 @@ def _view_sql() -> str:
         part = ", ".join(_KEYS[e])
         sums.append(f"CAST(coalesce(sum(CAST({cond} AS INT)) OVER (PARTITION BY {part} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS {name}")
     context = ", ".join(f"{c} AS {n}" for n, c in _CONTEXT.items())
-    views = f", cx AS (SELECT *, {context} FROM fm), st AS (SELECT *, {', '.join(sums)} FROM cx WINDOW p AS (PARTITION BY user_id ORDER BY event_id), b AS (PARTITION BY k, part ORDER BY event_id))"
+    middle = ", ".join(f"CASE WHEN count(*) OVER w{j} = {j} THEN CAST(sum(CAST({_MIDDLE} AS INT)) OVER w{j} AS DOUBLE) / {j} END AS m{j}" for j in (1, 3, 5))
+    trail = ", ".join(f"w{j} AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN {j} PRECEDING AND 1 PRECEDING)" for j in (1, 3, 5))
+    views = f", cx AS (SELECT *, {context}, {middle} FROM fm WINDOW {trail}), st AS (SELECT *, {', '.join(sums)} FROM cx WINDOW p AS (PARTITION BY user_id ORDER BY event_id), b AS (PARTITION BY k, part ORDER BY event_id))"
     for e, keys in (("p", ["user_id"]), ("b", ["k", "part"])):
         own = [(n, c) for x, n, c in _counters() if x == e or (e == "p" and x == "m")]
         views += f", f{e} AS (SELECT {', '.join(keys)}, count(*) AS {e}n0, " + ", ".join(f"count(*) FILTER ({c}) AS {n}0" for n, c in own) + f" FROM cx WHERE season < {CUT} GROUP BY {', '.join(keys)})"
     zero = ", ".join(f"coalesce({n}0, 0) AS {n}0" for n in _frozen_names())
-    return views + f", hs AS (SELECT st.* , {zero} FROM st LEFT JOIN fp USING (user_id) LEFT JOIN fb USING (k, part) WHERE season >= {CUT})"
+    return views + _PRIOR + f", hs AS (SELECT st.* , {zero} FROM st LEFT JOIN fp USING (user_id) LEFT JOIN fb USING (k, part) WHERE season >= {CUT}), hp AS (SELECT hs.*, prior FROM hs JOIN pr USING (season))"
 
 
 def _frozen_names() -> list[str]:
@@ -59,6 +68,8 @@ _STATE = _FORM + _view_sql()
 def state(spark, d):
     """The form view with the event's context and the counters of both entities before it."""
     out = form(spark, d).withColumn("one", F.lit(1)).withColumns({n: F.expr(c) for n, c in _CONTEXT.items() if n not in ("hand_b",)}).withColumn("hand_b", F.expr(_CONTEXT["hand_b"]))
+    for j in (1, 3, 5):
+        out = asof.trailing(out.withColumn("mid", F.expr(_MIDDLE).cast("int")), ["user_id"], ["event_id"], ["mid"], j).withColumn(f"m{j}", F.col(f"mid_last{j}") / j).drop("mid", f"mid_last{j}")
     for e, keys in (("p", ["user_id"]), ("b", ["k", "part"])):
         own = {n: F.expr(c).cast("int") for x, n, c in _counters() if x == e or (e == "p" and x == "m")}
         out = asof.prefix(out.withColumns(own), keys, ["event_id"], ["one", *own]).drop(*own).withColumnsRenamed({"one_before": f"{e}n"} | {f"{n}_before": n for n in own})
@@ -76,15 +87,34 @@ def with_history(spark, d):
     return out.na.fill(0, [f"{n}0" for n in _frozen_names()])
 
 
-def block(name: str, columns: dict[str, str], view: str, doc: str):
-    """Registers a query of event_id and the columns over the view st (states) or hs (with history)."""
+def with_prior(spark, d):
+    """The rows with history and the rate of all earlier seasons. One row for each season is windowed."""
+    before = asof.prefix(A.grouped(events(spark, d), ["season"]), [], ["season"], ["total", "n"])
+    prior = before.select(F.col("season").alias("of_season"), F.coalesce(F.try_divide("total_before", "n_before"), F.lit(float(LEAGUE))).alias("prior"))
+    return with_history(spark, d).join(prior, F.col("season") == F.col("of_season")).drop("of_season")
+
+
+_VIEWS = {"st": state, "hs": with_history, "hp": with_prior}
+
+
+def block(name: str, columns: dict[str, str], view: str, doc: str, steps: tuple[dict, ...] = ()):
+    """Registers a query of event_id and the columns over a view: st (states), hs (with history) or hp (with the prior too).
+
+    Steps are columns that later ones use; a pair holds Spark's expression and the oracle's where the two differ.
+    """
 
     def run(spark, d):
-        rows = state(spark, d) if view == "st" else with_history(spark, d)
+        rows = _VIEWS[view](spark, d)
+        for step in steps:
+            rows = rows.withColumns({n: F.expr(c if isinstance(c, str) else c[0]) for n, c in step.items()})
         return rows.select("event_id", *[F.expr(c).alias(n) for n, c in columns.items()])
 
     run.__doc__, run.__name__ = doc, name
-    query(name, over(_STATE, "SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in columns.items()) + f" FROM {view}"))(run)
+    sql, last = "", view
+    for i, step in enumerate(steps):
+        sql += f", v{i} AS (SELECT *, " + ", ".join(f"{c if isinstance(c, str) else c[1]} AS {n}" for n, c in step.items()) + f" FROM {last})"
+        last = f"v{i}"
+    query(name, over(_STATE, sql + " SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in columns.items()) + f" FROM {last}"))(run)
 
 
 def _flag(condition: str) -> str:
@@ -181,3 +211,112 @@ def _multirate() -> dict[str, str]:
 
 
 block("multirate_wide", _multirate(), "hs", "All 69 rates of three groups of metrics.")
+
+
+_KNOWN = "(CAST(r1 IS NOT NULL AS INT) + CAST(r3 IS NOT NULL AS INT) + CAST(r5 IS NOT NULL AS INT))"
+_SQUARES = " + ".join(f"coalesce((r{j} - form_mean) * (r{j} - form_mean), 0e0)" for j in (1, 3, 5))
+_PN, _PS = _season("pn", "ps")
+_BN, _BS = _season("bn", "bs")
+_MIXED = ("click", "view", "purchase")
+#: Shrunken levels of both entities: the steadier the recent form, the less the career rate is drawn to the prior.
+LEVELS = (
+    {
+        "form_mean": f"coalesce((coalesce(r1, 0e0) + coalesce(r3, 0e0) + coalesce(r5, 0e0)) / nullif({_KNOWN}, 0), prior)", "p_rate": "coalesce(ps / nullif(pn, 0), prior)", "b_rate": "coalesce(bs / nullif(bn, 0), prior)",
+        "p_seen": _PN, "p_hits": _PS, "b_seen": _BN, "b_hits": _BS,
+    },
+    {"form_sd": f"round(CASE WHEN {_KNOWN} > 1 THEN least(sqrt(({_SQUARES}) / greatest({_KNOWN} - 1, 1)), 5e-1) ELSE 15e-2 END, 6)"},
+    {
+        "strength": "round(least(greatest(55e0 + 22e1 * form_sd + 4e1 / (1 + ln(1 + pn)), 5e1), 18e1), 6)", "season_level": "(coalesce(p_hits / nullif(p_seen, 0), prior) * p_seen + prior * 3e1) / (p_seen + 3e1)", "season_rel": "p_seen / (p_seen + 8e1)",
+        "b_level": "(coalesce(b_hits / nullif(b_seen, 0), prior) * b_seen + prior * 4e1) / (b_seen + 4e1)", "b_rel": "b_seen / (b_seen + 8e1)",
+    },
+    {"career": "(p_rate * pn + prior * strength) / (pn + strength)"},
+    {"blended": "least(greatest(career + (15e-2 + 3e-1 * season_rel) * (season_level - career), 1e-5), 1e0 - 1e-5)"},
+)
+_COUNT, _HANDS = "concat_ws('-', balls, strikes)", "concat_ws('-', hand, hand_b)"
+_INNING = "CASE WHEN inning <= 3 THEN 'early' WHEN inning <= 6 THEN 'middle' WHEN inning <= 9 THEN 'late' ELSE 'extra' END"
+_SCORE = "CASE WHEN score <= -3 THEN 'far_behind' WHEN score <= -1 THEN 'behind' WHEN score <= 1 THEN 'close' WHEN score <= 3 THEN 'ahead' ELSE 'far_ahead' END"
+_LI = "CASE WHEN li <= 75e-2 THEN 'low' WHEN li <= 15e-1 THEN 'normal' WHEN li <= 3e0 THEN 'high' ELSE 'extreme' END"
+_REGIME = "CASE WHEN form_sd < 4e-2 THEN 'stable' WHEN form_sd < 1e-1 THEN 'normal' ELSE 'volatile' END"
+_PRESSED = "round((balls + 1e0) / (strikes + 1e0) * (1 + runners) * ln(1 + li), 6)"
+_WEIGHTED = "55e-2 * {x}1 + 3e-1 * {x}3 + 15e-2 * {x}5"
+_FAILED = "coalesce(p_error / nullif(pn, 0), 0e0) + coalesce(p_signup / nullif(pn, 0), 0e0)"
+
+
+def _spread(rates) -> str:
+    """The entropy of rates, unknown where they are."""
+    safe = [f"least(greatest({r}, 1e-7), 1e0)" for r in rates]
+    return "round(-(" + " + ".join(f"{x} * ln({x})" for x in safe) + "), 6)"
+
+
+def _doubt(n: str) -> str:
+    return f"round(1 / sqrt({n} + 1e0), 9)"
+
+
+_PROFILE = {
+    "recent_weighted": _WEIGHTED.format(x="r"), "recent_acceleration": "r1 - 2 * r3 + r5", "middle_weighted": _WEIGHTED.format(x="m"), "failure_sum": _FAILED, "success_margin": f"p_rate - ({_FAILED})", "entity_gap": "p_rate - b_rate", "exposure_ratio": "round(ln(1 + bn) - ln(1 + pn), 6)",
+}
+_CROSSES = {
+    "count_base": f"concat_ws('|', {_COUNT}, base)", "hand_count": f"concat_ws('|', {_HANDS}, {_COUNT})", "inning_score": f"concat_ws('|', {_INNING}, {_SCORE})", "pressure_context": f"concat_ws('|', {_LI}, runners, {_COUNT})", "recent_regime": _REGIME,
+}
+_SHRUNK = {"career_base": "career", "shrink_strength": "strength", "season_estimate": "season_level", "season_reliability": "season_rel", "recent_sd": "form_sd", "hierarchical_base": "blended"}
+COMMON = {
+    "prior_rate": "prior", **_SHRUNK, "batter_smoothed": "b_level", "batter_reliability": "b_rel", "log_pn": _log("pn"), "log_bn": _log("bn"), "log_mix_n": _log("p_view"), "doubt_p": _doubt("pn"), "doubt_b": _doubt("bn"),
+    "count_pressure": "balls - strikes", "late_inning": _flag("inning >= 7"), "high_leverage": _flag("li >= 2e0"), "scoring_position": "risp", "runners_li": "runners * li", "score_abs": "abs(score)", "close_game": _flag("abs(score) <= 1"), "pressure_index": _PRESSED,
+    "recent_mean": "form_mean", "recent_vs_base": "form_mean - career", **_PROFILE, "form_gap": "blended - b_level", "mix_entropy": _spread(_MIX[m] for m in _MIXED),
+    "count_text": _COUNT, "hands": _HANDS, **_CROSSES,
+}
+block("common_features_wide", COMMON, "hp", "All 33 numbers and 7 strings that training and inference share, from the strict-past prior of each row.", LEVELS)
+
+_CATEGORIES = {"half": "home", "game": "season % 3", "bases": "base", "hand_p": "hand", "hand_of_b": "hand_b", "team_p": "part", "team_b": "k % 10", "entity_p": "user_id", "entity_b": "k"}
+DOMAIN = BASE | {
+    "score_abs": "abs(score)", "close_game": _flag("abs(score) <= 1"), "pressure_index": _PRESSED, "doubt_p": _doubt("pn"), "doubt_b": _doubt("bn"), "recent_slope": "r1 - r5", "middle_slope": "m1 - m5", "mix_entropy": _spread(_MIX[m] for m in _MIXED),
+    **{n: f"coalesce(CAST({c} AS STRING), '(none)')" for n, c in _CATEGORIES.items()}, "count_text": _COUNT, "hands": _HANDS,
+}
+block("domain_features_wide", DOMAIN, "st", "The base features with eight domain numbers and eleven categories; an unknown category is '(none)'.")
+
+_SEEN_MIX = {m: f"(coalesce(least(greatest(p_{m} - p_{m}0, 0), p_seen) / nullif(p_seen, 0), 0e0) * p_seen + coalesce(p_{m} / nullif(pn, 0), 0e0) * 5e1) / (p_seen + 5e1)" for m in _MIXED}
+_TABLE = {"has_table": _flag("bn0 > 0"), "table_reliability": "bn0 / (bn0 + 3e2)", "table_trusted": _flag("bn0 >= 3"), "table_state": "CASE WHEN bn0 = 0 THEN 'missing' WHEN bn0 >= 3 THEN 'reliable' ELSE 'weak' END"}
+
+
+def _odds(p: str) -> str:
+    safe = f"least(greatest({p}, 1e-6), 1e0 - 1e-6)"
+    return f"round(ln({safe} / (1 - {safe})), 6)"
+
+
+LADDER = {
+    2: _TABLE | _SHRUNK | {"level": "prior", "level_moved": f"prior - {LEAGUE}", "season_gap": "season_level - form_mean", "momentum": "(form_mean - career) / (1 + 5 * form_sd)", "career_logit": _odds("p_rate"), "season_logit": _odds("season_level")} | _CROSSES,
+    3: {"batter_smoothed": "b_level", "batter_reliability": "b_rel", "mix_reliability": "p_seen / (p_seen + 1e2)", **{f"season_{m}": c for m, c in _SEEN_MIX.items()}, "season_entropy": _spread(_SEEN_MIX.values()), "form_gap": "blended - b_level"},
+    4: _PROFILE | {
+        "season_context": "concat_ws('|', season, home)", "inning_count": f"concat_ws('|', {_INNING}, {_COUNT})", "team_hands": "concat_ws('|', part, hand, hand_b)", "leverage_score": f"concat_ws('|', {_LI}, {_SCORE})",
+        "form_direction": f"concat_ws('|', CASE WHEN r1 > r5 + 3e-2 THEN 'hot' WHEN r1 < r5 - 3e-2 THEN 'cold' ELSE 'flat' END, {_LI})",
+        "pressure_form": f"{_PRESSED} * ({_WEIGHTED.format(x='r')} - career)", "leverage_form": "li * (season_level - career)",
+    },
+    5: {f"own_{n}": f"concat_ws('|', user_id, {c})" for n, c in {"hand": "hand_b", "count": _COUNT, "base": "base", "pressure": _LI, "game": "home", "inning": _INNING}.items()} | {"batter_hand": "concat_ws('|', k, hand)", "team_count": f"concat_ws('|', part, {_COUNT})"},
+}
+block("feature_ladder_wide", {n: c for rung in LADDER.values() for n, c in rung.items()}, "hp", "Rungs 2 to 5 of the feature ladder; rung 6 adds the block of context and pressure.", LEVELS)
+
+
+def _workload() -> tuple[tuple[dict, ...], dict[str, str]]:
+    whole = lambda f: lambda j: " AND ".join(f"abs({x}{j} * i - {f(f'{x}{j} * i')}) <= 1e-3" for x in ("r", "m"))
+    mine, theirs = whole(lambda x: f"rint({x})"), whole(lambda x: f"round_even({x}, 0)")
+    fits = {f"fits{j}": (f"filter(sequence(1, 30), i -> {mine(j)})", f"list_filter(range(1, 31), lambda i: {theirs(j)})") for j in (1, 3, 5)}
+    counts = {}
+    for j in (1, 3, 5):
+        counts |= {f"low{j}": (f"coalesce(array_min(fits{j}), 0)", f"coalesce(list_min(fits{j}), 0)"), f"high{j}": (f"coalesce(array_max(fits{j}), 0)", f"coalesce(list_max(fits{j}), 0)"), f"size{j}": (f"size(fits{j})", f"len(fits{j})")}
+    out = {}
+    for j in (1, 3, 5):
+        trust = f"low{j} / (low{j} + 3e1)"
+        out |= {
+            f"decoded_{j}": _flag(f"size{j} > 0"), f"log_n_{j}": _log(f"low{j}"), f"unique_{j}": _flag(f"size{j} = 1"), f"log_candidates_{j}": _log(f"size{j}"), f"log_span_{j}": _log(f"high{j} - low{j}"), f"range_ratio_{j}": f"(high{j} - low{j}) / greatest(high{j}, 1)",
+            f"reliability_{j}": trust, f"success_deviation_{j}": f"coalesce((r{j} - ps / nullif(pn, 0)) * ({trust}), 0e0)", f"middle_deviation_{j}": f"coalesce((m{j} - p_error / nullif(pn, 0)) * ({trust}), 0e0)",
+        }
+    every = lambda c: " AND ".join(c.format(j=j) for j in (1, 3, 5))
+    return (fits, counts), out | {
+        "log_shell_13": _log("low3 - low1"), "log_shell_35": _log("low5 - low3"), "shell_13_valid": _flag("size1 > 0 AND size3 > 0 AND low3 >= low1"), "shell_35_valid": _flag("size3 > 0 AND size5 > 0 AND low5 >= low3"),
+        "monotonic": _flag(f"low1 <= low3 AND low3 <= low5 AND {every('size{j} > 0')}"), "all_decoded": _flag(every("size{j} > 0")), "all_unique": _flag(every("size{j} = 1")), "any_ambiguous": _flag("size1 > 1 OR size3 > 1 OR size5 > 1"),
+        "most_candidates": _log("greatest(size1, size3, size5)"), "widest_range": "greatest(" + ", ".join(f"(high{j} - low{j}) / greatest(high{j}, 1)" for j in (1, 3, 5)) + ")",
+    }
+
+
+_DECODED, WORKLOAD = _workload()
+block("workload_features_wide", WORKLOAD, "st", "All 37 features of the denominators (up to 30) that would make a window's two shown rates whole counts.", _DECODED)
