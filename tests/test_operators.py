@@ -1,5 +1,7 @@
 """Edge cases of the composable operators: nulls, ties, gaps, unseen keys, degenerate scores, repeated keys, stored tables."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,47 @@ def test_blend_solves():
     assert np.allclose(blend.vertex((0, 1, 2), (0, 3, 4)), (2.0, 4.0))
 
 
+def test_box_weights_are_the_best_of_the_box():
+    for seed in range(20):
+        g = np.random.default_rng(seed)
+        x = g.normal(size=(30, 2))
+        m, b = x.T @ x / 30, g.normal(size=2) * 2
+        w = blend.in_box(m, b)
+        grid = np.linspace(-1, 1, 201)
+        loss = lambda u: u @ m @ u / 2 - b @ u
+        assert np.abs(w).max() <= 1 and loss(w) <= min(loss(np.array([u, v])) for u in grid for v in grid) + 1e-12
+
+
+def test_stress_scores_each_solution_on_the_whole(spark):
+    g = np.random.default_rng(1)
+    x = g.normal(size=(200, 2))
+    t = x @ [0.5, -2.0] + g.normal(size=200) / 10
+    df = spark.createDataFrame([(i % 5, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, t, strict=True))], "part int, a double, b double, t double")
+    parts = blend.grams(df, "part", ["a", "b"], "t")
+    m, b, n = blend.gram(df, ["a", "b"], "t")
+    assert np.allclose(sum(p[0] for p in parts), m) and np.allclose(sum(p[1] for p in parts), b) and sum(p[2] for p in parts) == n == 200
+    got = blend.stress(parts, ["a", "b"], 3)
+    best = np.linalg.solve(m, b)
+    score = lambda w: 100000 * (2 * b @ w - w @ m @ w) / n
+    assert np.allclose(got[0][2:], [*best, score(best)], atol=1e-5) and got[1][3] == -1 and abs(got[2][3] - b[1] / m[1, 1]) < 1e-6 and got[2][2] == 0
+    scores = [score(np.linalg.solve(sum(parts[i][0] for i in c) * n / sum(parts[i][2] for i in c), b)) for c in combinations(range(5), 3)]
+    assert np.allclose([r[-1] for r in got[-3:]], np.percentile(scores, [5, 50, 95]), atol=1e-4)
+
+
+def test_full_distance(spark):
+    pairs = spark.createDataFrame([(1, 10, 0.25), (1, 20, 0.5), (2, 10, 0.0)], "a long, b long, distance double")
+    left = spark.createDataFrame([(1, 0, 0.5, "x"), (1, 1, None, "x"), (2, 0, 1.0, "y"), (2, 1, 1.0, "y")], "a long, season int, mix double, team string")
+    right = spark.createDataFrame([(10, 0, 0.1, "x"), (10, 1, 0.2, "x"), (20, 1, 0.3, "z")], "b long, season int, mix double, team string")
+    got = match.full_distance(pairs, left, right, "a", "b", "season", ["mix"], "team")
+    assert sorted(values(got)) == [(1, 10, 0.9, 0), (1, 20, 1.7, 1)]  # 2 and 10 differ in two seasons
+
+
+def test_biases_are_removed(spark):
+    rows = [(a, b, 1.0 + a + 10.0 * b, 2.0) for a in range(3) for b in range(4)]
+    got = model.without_bias(spark.createDataFrame(rows, "a int, b int, v double, w double"), "a", "b", "v", "w", 0.0)
+    assert all(abs(r.v) < 1e-9 for r in got.collect()) and got.count() == 12
+
+
 def test_gram_counts_null_as_zero(spark):
     m, b, n = blend.gram(spark.createDataFrame([(1.0, None, 2.0), (2.0, 1.0, 1.0)], "a double, b double, t double"), ["a", "b"], "t")
     assert m.tolist() == [[5.0, 2.0], [2.0, 1.0]] and b.tolist() == [4.0, 1.0] and n == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,16 +16,28 @@ def exact_sum(x: Column) -> Column:
     return F.sum(F.round(x * _SCALE).cast("decimal(38,0)")).cast("double") / _SCALE
 
 
-def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X, X'y and the number of rows, one aggregation over all pairs of the columns (null counts as 0)."""
+def _sums(x: list[str], y: str) -> list[Column]:
     c = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in [*x, y]}
-    pairs = list(combinations_with_replacement(x, 2))
-    row = df.agg(F.count(F.lit(1)), *[exact_sum(c[a] * c[b]) for a, b in pairs], *[exact_sum(c[a] * c[y]) for a in x]).first()
+    return [F.count(F.lit(1)), *[exact_sum(c[a] * c[b]) for a, b in combinations_with_replacement(x, 2)], *[exact_sum(c[a] * c[y]) for a in x]]
+
+
+def _matrix(row, d: int) -> tuple[np.ndarray, np.ndarray, int]:
     values = [v or 0.0 for v in row[1:]]
-    m = np.zeros((len(x), len(x)))
-    for (a, b), v in zip(pairs, values, strict=False):
-        m[x.index(a), x.index(b)] = m[x.index(b), x.index(a)] = v
-    return m, np.array(values[len(pairs) :]), int(row[0])
+    m = np.zeros((d, d))
+    for (a, b), v in zip(combinations_with_replacement(range(d), 2), values, strict=False):
+        m[a, b] = m[b, a] = v
+    return m, np.array(values[d * (d + 1) // 2 :]), int(row[0])
+
+
+def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """X'X, X'y and the number of rows, one aggregation over all pairs of the columns (null counts as 0)."""
+    return _matrix(df.agg(*_sums(x, y)).first(), len(x))
+
+
+def grams(df: DataFrame, part: str, x: list[str], y: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The same for each value of `part`, which must have few values, in their order: one aggregation."""
+    rows = df.groupBy(part).agg(*_sums(x, y)).orderBy(part).collect()
+    return [_matrix(row[1:], len(x)) for row in rows]
 
 
 def ridge(m: np.ndarray, b: np.ndarray, penalty: float, bound: float | None = None) -> np.ndarray:
@@ -54,6 +66,41 @@ def on_simplex(m: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
     return w
 
 
+def in_box(m: np.ndarray, b: np.ndarray, low: float = -1.0, high: float = 1.0, steps: int = 1000) -> np.ndarray:
+    """Weights within the bounds that minimise w'Mw / 2 - b'w: one weight after the other is set to its best, until none moves."""
+    w = np.zeros(len(b))
+    for _ in range(steps):
+        before = w.copy()
+        for i in range(len(b)):
+            rest = b[i] - m[i] @ w + m[i, i] * w[i]
+            w[i] = np.clip(rest / m[i, i], low, high) if m[i, i] > 0 else 0.0
+        if np.abs(w - before).max(initial=0.0) < 1e-12:
+            break
+    return w
+
+
+def stress(parts: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], share: int = 3) -> list[tuple]:
+    """how, without, weights, score of solutions for the sum of the parts' Gram matrices, rounded.
+
+    A score is 100000 (2 b'w - w'Mw) / n on the whole. Every choice of `share` parts gives a matrix, scaled to all rows, that is solved
+    with the whole's b; of these the 5, 50 and 95 per cent quantiles of the score are listed, without weights.
+    """
+    m, b, n = (sum(p[i] for p in parts) for i in range(3))
+    score = lambda w: float(100000 * (2 * b @ w - w @ m @ w) / n)
+    solved = [("whole", None, truncated(m, b)), ("box", None, in_box(m, b))]
+    for i, name in enumerate(names):
+        left = np.arange(len(names)) != i
+        w = np.zeros(len(names))
+        w[left] = truncated(m[np.ix_(left, left)], b[left])
+        solved.append(("one out", name, w))
+    out = [(how, name, *(round(float(x), 9) for x in w), round(score(w), 6)) for how, name, w in solved]
+    scores = []
+    for chosen in combinations(parts, min(share, len(parts))):
+        rows = sum(p[2] for p in chosen)
+        scores.append(score(truncated(sum(p[0] for p in chosen) * (n / rows), b, 1e-4)))
+    return out + [(f"subsets {q}%", None, *[None] * len(names), round(float(np.percentile(scores, q)), 6)) for q in (5, 50, 95)]
+
+
 def vertex(x: tuple[float, float, float], y: tuple[float, float, float]) -> tuple[float, float]:
     """Where the parabola through three probes has its extremum, and the value there."""
     a, b, c = np.polyfit(x, y, 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,19 @@ def low_rank(cells: DataFrame, entity: str, columns: list[str], rank: int) -> Da
     """
     from .blend import gram
 
-    m, _, _ = gram(cells, columns, columns[0])
+    return _projected(cells, entity, columns, rank, gram(cells, columns, columns[0])[0])
+
+
+def low_rank_by(cells: DataFrame, part: str, entity: str, columns: list[str], rank: int) -> DataFrame:
+    """The same for each value of `part` by itself, of which there must be few: one aggregation gives all Gram matrices."""
+    from .blend import grams
+
+    names = [r[0] for r in cells.select(part).distinct().orderBy(part).collect()]
+    out = [_projected(cells.filter(F.col(part).eqNullSafe(F.lit(n))), entity, columns, rank, m) for n, (m, _, _) in zip(names, grams(cells, part, columns, columns[0]), strict=True)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _projected(cells: DataFrame, entity: str, columns: list[str], rank: int, m: np.ndarray) -> DataFrame:
     _, vectors = np.linalg.eigh(m)
     v = vectors[:, -rank:]
     project = v @ v.T
@@ -80,6 +93,16 @@ def low_rank(cells: DataFrame, entity: str, columns: list[str], rank: int) -> Da
     return cells.select(entity, *[value(j).alias(c) for j, c in enumerate(columns)])
 
 
+def without_bias(pairs: DataFrame, a: str, b: str, value: str, weight: str, strength: float) -> DataFrame:
+    """The pairs less the weighted mean of all, then each a's, then each b's; the sides' means are drawn to 0 by `strength`."""
+    whole = pairs.agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("_mean"))
+    out = pairs.crossJoin(F.broadcast(whole)).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
+    for side in (a, b):
+        bias = out.groupBy(side).agg((F.sum(F.col(weight) * F.col(value)) / (F.sum(weight) + F.lit(strength))).alias("_bias"))
+        out = out.join(bias, side).withColumn(value, F.col(value) - F.col("_bias")).drop("_bias")
+    return out
+
+
 def weighted_als(pairs: DataFrame, a: str, b: str, value: str, weight: str, rounds: int, penalty: float, keep) -> tuple[DataFrame, DataFrame]:
     """Factors of rank 2 of a weighted pair table, by alternating normal equations: one groupBy a side and round.
 

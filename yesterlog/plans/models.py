@@ -139,9 +139,9 @@ def low_rank_effect(spark, d):
 
 @query("pair_factors")
 def pair_factors(spark, d):
-    """Factors of supplier-part residuals by weighted alternating least squares on the aggregated pairs."""
+    """Factors of supplier-part residuals, without the biases of both sides, by twelve rounds of weighted alternating least squares on the aggregated pairs."""
     pairs = items(spark, d).groupBy("supplier", "part").agg(F.avg(F.col("y") - F.lit(0.5)).alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-    left, _ = M.weighted_als(keep(pairs, "als-pairs"), "supplier", "part", "v", "w", 3, 20.0, keep)
+    left, _ = M.weighted_als(keep(M.without_bias(keep(pairs, "als-means"), "supplier", "part", "v", "w", 200.0), "als-pairs"), "supplier", "part", "v", "w", 12, 0.5, keep)
     return left
 
 
