@@ -186,9 +186,7 @@ def brute_divergence(rows, floor, top=10):
 
 
 @pytest.mark.parametrize(("chunk", "block"), [(512, 16), (64, 2)])
-def test_op11_divergence(spark, monkeypatch, chunk, block):
-    monkeypatch.setattr(divergence, "CHUNK", chunk)
-    monkeypatch.setattr(divergence, "BLOCK", block)
+def test_op11_divergence(spark, chunk, block):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "abcdeXYéß字" for b in "abcdefghijklmnop"]
     rows = [(None, None, None), ("", "", ""), ("1 2 3", "en", "only digits"), ("rare", "xx", "a"), (None, "xx", "b"), ("A a;b", "yy", "alone")]
@@ -196,6 +194,6 @@ def test_op11_divergence(spark, monkeypatch, chunk, block):
         source = f"s{min(rng.randrange(9), rng.randrange(9))}"
         rows.append((rng.choice([" ", "\n", "-", "7"]).join(min(rng.choices(words, k=3)) for _ in range(rng.randint(0, 40))), rng.choice(["en", "fr", None]), rng.choice([source, source, None])))
     docs = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({c: F.lit("1") for c in ("term", "n", "docs", "kept", "chunk")}).repartition(5)
-    got = sorted(map(tuple, divergence.divergence(docs, 5).collect()))
+    got = sorted(map(tuple, divergence.divergence(docs, 5, chunk=chunk, block=block).collect()))
     assert got == brute_divergence(rows, 5)
     assert divergence.divergence(spark.createDataFrame([], EMPTY)).count() == 0

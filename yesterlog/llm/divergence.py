@@ -21,7 +21,6 @@ ignored. Counts are exact below 2^63.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,8 @@ from .common import batches, cut, load, text_bytes
 
 FLOOR, TOP = 10, 10
 CHUNK, BLOCK = 512, 16
-#: Term counts that a task holds before it passes them on.
-HELD = 400_000
+#: Words that a task holds before it passes on their counts.
+HELD = 2_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _SCALE = 1_000_000_000
 _SLICE = 1 << 21  # words of bitsets that are ANDed at once
@@ -44,29 +43,32 @@ _SLICE = 1 << 21  # words of bitsets that are ANDed at once
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it); each group has a row without term too."""
 
-    def run(frames: Iterator[pa.RecordBatch]):
-        names, types = ["lang", "source", "term", "n", "docs"], [pa.string()] * 3 + [pa.int64()] * 2
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def flush():
-            rows = [(*g, t, c, d[t]) for g, (n, d) in seen.items() for t, c in n.items()]
-            yield from batches(rows, names, types)
+    def counted(rows: list[tuple[str, str, list[bytes]]]) -> pa.RecordBatch:
+        numbers: dict[bytes, int] = {}
+        ids = np.fromiter((numbers.setdefault(t, len(numbers)) for *_, ts in rows for t in ts), dtype=np.int64)
+        group_of: dict[tuple[str, str], int] = {}
+        group = np.array([group_of.setdefault(r[:2], len(group_of)) for r in rows])
+        size = len(numbers) + 1
+        in_doc, n = np.unique(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]) * size + ids, return_counts=True)
+        cell, at = np.unique(group[in_doc // size] * size + in_doc % size, return_inverse=True)
+        n, docs = np.bincount(at, weights=n, minlength=len(cell)).astype(np.int64), np.bincount(at, minlength=len(cell))
+        # the rows without term
+        cell, n, docs = np.append(cell, np.arange(len(group_of)) * size + size - 1), np.append(n, np.zeros(len(group_of), dtype=np.int64)), np.append(docs, np.zeros(len(group_of), dtype=np.int64))
+        named = [pa.array([g[k] for g in group_of], pa.string()).take(pa.array(cell // size)) for k in range(2)]
+        terms = pa.array([*numbers, None], pa.string()).take(pa.array(cell % size))
+        return pa.RecordBatch.from_arrays([*named, terms, pa.array(n), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
+    def run(frames: Iterator[pa.RecordBatch]):
+        rows, size = [], 0
         for f in frames:
             for lang, source, text in zip(f.column(0).to_pylist(), f.column(1).to_pylist(), text_bytes(f.column(2)), strict=True):
-                if (lang, source) not in seen:
-                    seen[lang, source] = Counter({None: 0}), Counter({None: 0})
-                n, d = seen[lang, source]
-                size -= len(n)
-                here = Counter(_TERM.findall(text.lower()))
-                n.update(here)
-                d.update(here.keys())
-                size += len(n)
+                rows.append((lang, source, _TERM.findall(text.lower())))
+                size += len(rows[-1][2])
                 if size > HELD:
-                    yield from flush()
-                    seen, size = {}, 0
-        yield from flush()
+                    yield counted(rows)
+                    rows, size = [], 0
+        if rows:
+            yield counted(rows)
 
     texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     parts = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -83,7 +85,7 @@ def difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def bitmaps(terms: DataFrame) -> DataFrame:
+def bitmaps(terms: DataFrame, size: int = CHUNK) -> DataFrame:
     """terms: lang, source, id, n. Returns lang, source, chunk, counts, bits: for each count the bitset of the chunk's ids that have it."""
 
     def run(frames: Iterator[pa.RecordBatch]):
@@ -92,25 +94,25 @@ def bitmaps(terms: DataFrame) -> DataFrame:
             for lang, source, chunk, cells in zip(*(f.column(i).to_pylist() for i in range(4)), strict=True):
                 n = np.array([c["n"] for c in cells], dtype=np.int64)
                 counts, level = np.unique(n, return_inverse=True)
-                bits = np.zeros((len(counts), CHUNK), dtype=np.uint8)
+                bits = np.zeros((len(counts), size), dtype=np.uint8)
                 bits[level, [c["slot"] for c in cells]] = 1
                 out.append((lang, source, chunk, counts.tolist(), np.packbits(bits, axis=1, bitorder="little").tobytes()))
             yield from batches(out, ["lang", "source", "chunk", "counts", "bits"], [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()])
 
-    cells = terms.groupBy("lang", "source", F.floor(F.col("id") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("n", (F.col("id") % CHUNK).alias("slot"))).alias("cells"))
+    cells = terms.groupBy("lang", "source", F.floor(F.col("id") / size).alias("chunk")).agg(F.collect_list(F.struct("n", (F.col("id") % size).alias("slot"))).alias("cells"))
     return cells.mapInArrow(run, "lang string, source string, chunk long, counts array<bigint>, bits binary")
 
 
 class _Block:
     """The groups of one block in a chunk: bitsets of all their counts, the zero count first, and the shares of these."""
 
-    def __init__(self, rows: list[dict], kept: int, chunk: int):
-        full = np.zeros(CHUNK, dtype=np.uint8)
-        full[: max(0, min(CHUNK, kept - chunk * CHUNK))] = 1
+    def __init__(self, rows: list[dict], kept: int, chunk: int, size: int):
+        full = np.zeros(size, dtype=np.uint8)
+        full[: max(0, min(size, kept - chunk * size))] = 1
         full = np.packbits(full, bitorder="little").view(np.uint64)
         sets, shares, self.sources, begins = [], [], [], []
         for r in rows:
-            own = np.frombuffer(r["bits"] or b"", dtype=np.uint64).reshape(-1, CHUNK // 64)
+            own = np.frombuffer(r["bits"] or b"", dtype=np.uint64).reshape(-1, size // 64)
             begins.append(sum(map(len, sets)))
             self.sources.append(r["source"])
             sets.append(np.concatenate([(full & ~np.bitwise_or.reduce(own, axis=0))[None], own]))
@@ -128,10 +130,10 @@ class _Block:
         return np.add.reduceat(cells, self.begins, axis=0)
 
 
-def _pair_sums(groups: DataFrame, maps: DataFrame) -> DataFrame:
+def _pair_sums(groups: DataFrame, maps: DataFrame, size: int, block: int) -> DataFrame:
     """groups: lang, source, total, kept. Returns lang, a, b, value for each two sources of a language, once."""
-    sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    grid = groups.join(sizes, "lang").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("kept") - 1, F.lit(0)) / CHUNK))))
+    sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    grid = groups.join(sizes, "lang").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("kept") - 1, F.lit(0)) / size))))
     grid = grid.withColumn("own", F.pmod(F.xxhash64("source"), "blocks")).join(maps, ["lang", "source", "chunk"], "left")
     grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = ["lang", "chunk", "i", "j"]
@@ -140,7 +142,7 @@ def _pair_sums(groups: DataFrame, maps: DataFrame) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]):
         def sums(rows):
             first = rows[0]
-            sides = [_Block(r, first["kept"], first["chunk"]) for k in dict.fromkeys((first["i"], first["j"])) if (r := [x for x in rows if x["own"] == k])]
+            sides = [_Block(r, first["kept"], first["chunk"], size) for k in dict.fromkeys((first["i"], first["j"])) if (r := [x for x in rows if x["own"] == k])]
             if first["i"] == first["j"] or len(sides) == 2:
                 values = sides[0].against(sides[-1])
                 for a, x in enumerate(sides[0].sources):
@@ -167,9 +169,11 @@ def _pair_sums(groups: DataFrame, maps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def divergence(docs: DataFrame, floor: int = FLOOR, top: int = TOP) -> DataFrame:
+def divergence(docs: DataFrame, floor: int = FLOOR, top: int = TOP, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """docs: text, lang, source. Returns lang, source, part, item, value, rank: part `pair` holds the summed difference of each other
-    source of the language, part `term` the `top` terms that are commoner in the source than in the language and differ most."""
+    source of the language, part `term` the `top` terms that are commoner in the source than in the language and differ most.
+
+    chunk: terms of a bitset, a multiple of 64; block: sources of a block."""
     counts = cut(term_counts(docs), "divergence-terms")
     kept = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= floor)
     kept = running(kept, ["lang"], [F.col("docs").desc(), "term"], {"id": F.lit(1)}).drop("docs")
@@ -179,7 +183,7 @@ def divergence(docs: DataFrame, floor: int = FLOOR, top: int = TOP) -> DataFrame
     groups = counts.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = cut(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "all")]), "divergence-groups")
 
-    sums = cut(_pair_sums(groups.select("lang", "source", "total", "kept"), bitmaps(terms)), "divergence-pairs")
+    sums = cut(_pair_sums(groups.select("lang", "source", "total", "kept"), bitmaps(terms, chunk), chunk, block), "divergence-pairs")
     pairs = sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(sums.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     both = terms.filter("n > 0").join(groups, ["lang", "source"])
