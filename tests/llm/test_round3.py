@@ -133,23 +133,21 @@ def near_texts(rng):
                 copy[at] = rng.choice(words)
             texts.append(" ".join(copy))
     crowd = rng.choices(words, k=120)
-    for _ in range(150):
+    for _ in range(150):  # most pairs are just below the similarity
         copy = list(crowd)
-        for at in rng.sample(range(len(copy)), rng.randint(1, 5)):
+        for at in rng.sample(range(len(copy)), rng.randint(1, 6)):
             copy[at] = rng.choice(words)
         texts.append(" ".join(copy))
     texts.append(" ".join(rng.choices(words, k=4000)))
     return texts + [texts[-1] + " end", texts[20], texts[20]]
 
 
-@pytest.mark.parametrize("part", [2048, 16])
-def test_op12_components(spark, monkeypatch, part):
-    monkeypatch.setattr(minmax, "PART", part)
-    monkeypatch.setattr(minmax, "FAN", 4 if part == 16 else 64)
+@pytest.mark.parametrize(("part", "followed"), [(512, 4), (16, 0)])
+def test_op12_components(spark, part, followed):
     texts = near_texts(random.Random(4))
     rows = list(enumerate(texts)) + [(3, texts[30]), (None, texts[40]), (None, "nobody else says this here"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "h", "keys", "key", "least", "node")}).repartition(4)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minmax.near_duplicates(docs).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minmax.near_duplicates(docs, part=part, followed=followed).collect())
     assert got == brute_components(rows)
     assert minmax.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 

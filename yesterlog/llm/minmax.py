@@ -5,13 +5,14 @@
   and since one shingle can't spoil both, the share of equal values has a lower variance than that of as many minima.
 * Bands: BAND successive values (16 bits each) are one band's key. A pair at the similarity shares no band with a probability of
   (1 - 0.8^4)^32, 5 in 10^8. Only distinct sets enter the bands, and only keys with two sets or more leave the first shuffle.
-* Rounds: sets that share a key are candidates. First each set is held against one partner, the one with most keys in common,
-  from a chain of heads in its buckets that gives no set more than FAN followers a bucket and step. Then, in buckets that still
-  have several groups, each set is held against its BEST nearest sets of other groups by signature, and last against all of them
-  that share at least SKETCH of the values (a pair at the similarity has fewer with a probability of about 1 in 10^8).
-  So a group of thousands of copies costs a few comparisons a set, and every pair between groups that remain has been decided.
-* Parts: a bucket's sets outside its largest group are dealt into parts of PART sets, those of that group too, and each two parts
-  of which one is outside it meet in a task. The largest group isn't compared within itself.
+* First partners: sets that share a key are candidates. Each set is first held against one other, the one with most keys in common,
+  from a chain of heads in its buckets that gives no set more than FAN followers a bucket and step. So a group of thousands of
+  copies costs a comparison a set, and most of its sets are one group from then on.
+* All others: in buckets that still have several groups all pairs of different groups meet, each in the first band it shares. They
+  are candidates if they share at least SKETCH of the values (a pair at the similarity has fewer with a probability of about 1 in
+  10^8). A bucket's sets outside its largest group are dealt into parts of PART sets, those of that group too, and each two parts of
+  which one is outside it meet in a task; the largest group isn't compared within itself. A task that would make more than FOLLOWED
+  pairs for each of its sets gets the full sets instead, decides there and emits a spanning forest of its links.
 * Decision: exact, on the full sets of 64-bit shingle hashes. Groups are the connected components of the links found.
 
 Defined results: A-Z are lower-cased, words are separated by space and \\x09-\\x0D; a text with fewer words than a shingle has one
@@ -36,7 +37,7 @@ from .near_copies import shingles
 
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 PERMUTATIONS, BAND, SKETCH = 64, 4, 72
-FAN, PART, BEST = 64, 2048, 4
+FAN, PART, FOLLOWED = 64, 512, 4
 _CHUNK = 2048
 _RANDOM = np.random.default_rng(12)
 _XOR = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -75,15 +76,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, h, head for every set that shares the key with another: head is the set before it in the bucket's chain, null for the first."""
+    """key, band, h, head for every set that shares the key with another: head is the set before it in the bucket's chain, null for the first."""
 
     def run(frames: Iterator[pa.RecordBatch]):
-        names = ["key", "h", "head"]
+        names = ["key", "h", "band", "head"]
         waiting, number_of, heads = None, 0, [0, 0, 0]  # the last row, its number, and the heads of its steps by FAN^0, FAN, FAN^2...
         for f in frames:
-            key, h = (f.column(i).to_numpy() for i in range(2))
+            key, h, band = (f.column(i).to_numpy() for i in range(3))
             if waiting is not None:
-                key, h = (np.concatenate([x, y]) for x, y in zip(waiting, (key, h), strict=True))
+                key, h, band = (np.concatenate([x, y]) for x, y in zip(waiting, (key, h, band), strict=True))
             equal, at = key[1:] == key[:-1], np.arange(len(key))
             first = np.maximum.accumulate(np.where(np.append(True, ~equal), at, 0))
             number = at - first + np.where(first == 0, number_of, 0)
@@ -93,15 +94,15 @@ def _buckets(classes: DataFrame) -> DataFrame:
             head = np.where(back >= 0, h[np.maximum(back, 0)], np.choose(level, heads))
             shared = np.append(number[:-1] > 0, False) | np.append(equal, False)
             none = number == 0
-            yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(h[shared]), pa.array(head[shared], mask=none[shared])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(h[shared]), pa.array(band[shared]), pa.array(head[shared], mask=none[shared])], names=names)
             last = [at[-1] - int(r[-1]) for r in reach]
             heads = [int(h[x]) if x >= 0 else old for x, old in zip(last, heads, strict=True)]
-            waiting, number_of, before = (key[-1:], h[-1:]), int(number[-1]), head[-1:]
+            waiting, number_of, before = (key[-1:], h[-1:], band[-1:]), int(number[-1]), head[-1:]
         if waiting is not None and number_of:
-            yield pa.RecordBatch.from_arrays([pa.array(waiting[0]), pa.array(waiting[1]), pa.array(before)], names=names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, waiting), pa.array(before)], names=names)
 
-    keyed = classes.select(F.posexplode("keys").alias("band", "value"), "h").select(F.xxhash64("band", "value").alias("key"), "h")
-    return keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, head long")
+    keyed = classes.select(F.posexplode("keys").alias("band", "value"), "h").select(F.xxhash64("band", "value").alias("key"), "h", "band")
+    return keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, band int, head long")
 
 
 def _ordered(a, b):
@@ -124,10 +125,16 @@ def _first_partners(met: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _groups(frames: Iterator[pa.RecordBatch], keys: int):
-    """Consecutive rows of equal first columns, as lists of numpy columns; the last column is signatures."""
+    """Consecutive rows of equal first columns, as lists of columns: numpy, signatures for `keys`, lists of bytes for binary ones."""
+
+    def plain(x):
+        if pa.types.is_list(x.type):
+            return x.flatten().to_numpy().view(np.uint16).reshape(-1, 2 * PERMUTATIONS)
+        return np.array(x.to_pylist(), dtype=object) if pa.types.is_binary(x.type) else x.to_numpy()
+
     parts: list[list[np.ndarray]] = []
     for f in frames:
-        rows = [f.column(i).to_numpy() for i in range(f.num_columns - 1)] + [f.column(f.num_columns - 1).flatten().to_numpy().view(np.uint16).reshape(-1, 2 * PERMUTATIONS)]
+        rows = [plain(x) for x in f.columns]
         new = np.zeros(len(rows[0]), dtype=bool)
         for x in rows[:keys]:
             new[1:] |= x[1:] != x[:-1]
@@ -144,48 +151,88 @@ def _groups(frames: Iterator[pa.RecordBatch], keys: int):
         yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _between(met: DataFrame, classes: DataFrame, groups: DataFrame, best: int | None, similarity: int) -> DataFrame:
-    """a, b: pairs of a bucket's sets of different groups with near signatures; of each set the `best` nearest, or all."""
-    rows = met.select("key", "h").join(groups, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+_TASK = ["key", "i", "j"]
+
+
+def _dealt(met: DataFrame, classes: DataFrame, groups: DataFrame, part: int) -> DataFrame:
+    """The sets of buckets with several groups, for each two parts that meet: key, i, j, band, own, h, root, n, keys."""
+    rows = met.join(groups, F.col("h") == F.col("node"), "left").select("key", "band", "h", F.coalesce("root", "h").alias("root"))
     roots = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
-    roots = roots.filter("roots > 1").select("key", "top", F.ceil((F.col("all") - F.col("inside")) / PART).alias("outer"), F.ceil(F.col("inside") / PART).alias("inner"))
-    rows = rows.join(roots, "key")
+    roots = roots.filter("roots > 1").select("key", "top", F.ceil((F.col("all") - F.col("inside")) / part).alias("outer"), F.ceil(F.col("inside") / part).alias("inner"))
     own = F.when(F.col("root") == F.col("top"), F.col("outer") + F.pmod(F.xxhash64("h"), "inner")).otherwise(F.pmod(F.xxhash64("h"), "outer"))
-    rows = rows.withColumn("own", own)
+    rows = rows.join(roots, "key").withColumn("own", own)
     # a part of the largest group meets the parts outside it; these meet all parts
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("own") >= F.col("outer"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
-    rows = rows.select("key", "h", "root", "own", F.explode(others).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "root").join(classes.select("h", "n", "keys"), "h")
+    rows = rows.select("key", "band", "h", "root", "own", F.explode(others).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "h", "root")
+    return rows.join(classes.select("h", "n", "keys"), "h").select(*_TASK, "band", "own", "h", "root", "n", "keys")
+
+
+def _near(group: list[np.ndarray], similarity: int):
+    """Yields x, ys: rows of a task's sets and the later ones of other groups near them by size and signature. A pair that shares
+    several bands is met in the first of them only."""
+    _, i, j, band, own, _, root, n, sign = group[:9]
+    x, y = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+    bands = sign.view(np.int64)
+    for k, a in enumerate(x):
+        b = y[k + 1 :] if i[0] == j[0] else y
+        b = b[(root[b] != root[a]) & (np.minimum(n[a], n[b]) * 100 >= similarity * np.maximum(n[a], n[b]))]
+        b = b[(bands[b, : band[0]] != bands[a, : band[0]]).all(axis=1)]
+        b = b[(sign[b] == sign[a]).sum(axis=1) >= SKETCH]
+        if len(b):
+            yield a, b
+
+
+def _between(dealt: DataFrame, similarity: int, followed: int) -> DataFrame:
+    """Pairs a, b of near sets; or key, i, j of a task that would make more than `followed` pairs for each of its sets."""
 
     def run(frames: Iterator[pa.RecordBatch]):
-        for _, i, j, own, h, root, n, sign in _groups(frames, 3):
-            sides = [np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])]
-            out = []
-            for x, y in (sides, sides[::-1]) if i[0] != j[0] else (sides,):
-                for at in range(0, len(x), 64):
-                    c = x[at : at + 64]
-                    same = (sign[c][:, None, :] == sign[y][None, :, :]).sum(axis=2)
-                    size = np.minimum(n[c][:, None], n[y][None]) * 100 >= similarity * np.maximum(n[c][:, None], n[y][None])
-                    same[(root[c][:, None] == root[y][None]) | ~size | (same < SKETCH)] = 0
-                    if best is not None and same.shape[1] > best:
-                        least = np.partition(same, -best, axis=1)[:, -best]
-                        same[same < least[:, None]] = 0
-                        full = np.cumsum(same > 0, axis=1) > best  # of equally near ones the first
-                        same[full] = 0
-                    p, q = np.nonzero(same)
-                    out.append(np.stack([h[c[p]], h[y[q]]]))
-            if out:
+        for group in _groups(frames, 3):
+            h, out, pairs = group[5], [], 0
+            for a, b in _near(group, similarity):
+                out.append(np.stack([np.full(len(b), h[a]), h[b]]))
+                pairs += len(b)
+                if pairs > followed * len(h):
+                    break
+            if pairs > followed * len(h):
+                columns = [pa.nulls(1, pa.int64())] * 2 + [pa.array(x[:1]) for x in group[:3]]
+            elif pairs:
                 a, b = np.concatenate(out, axis=1)
-                if len(a):
-                    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))] + [pa.nulls(pairs, pa.int64())] * 3
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", *_TASK])
 
-    dealt = rows.select("key", "i", "j", "own", "h", "root", "n", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, "a long, b long, key long, i long, j long")
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs a, b whose full sets have the similarity."""
+def _crowded(dealt: DataFrame, own: DataFrame, similarity: int) -> DataFrame:
+    """a, b: links that join all groups of a task that have one; own: h, own (the full set). Nothing but such a forest leaves the task."""
+
+    def run(frames: Iterator[pa.RecordBatch]):
+        for group in _groups(frames, 3):
+            h, root, sets, out = group[5], group[6].copy(), [np.frombuffer(x, dtype=np.uint64) for x in group[9]], []
+            for a, near in _near(group, similarity):
+                near = near[root[near] != root[a]]
+                if not len(near):
+                    continue
+                size = np.array([len(sets[b]) for b in near])
+                every = np.concatenate([sets[b] for b in near])
+                at = np.searchsorted(sets[a], every)
+                same = sets[a][np.minimum(at, len(sets[a]) - 1)] == every
+                common = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size)
+                for b in near[100 * common >= similarity * (len(sets[a]) + size - common)]:
+                    if root[a] != root[b]:
+                        out.append((int(h[a]), int(h[b])))
+                        root[root == root[b]] = root[a]
+            yield from batches(out, ["a", "b"], [pa.int64(), pa.int64()])
+
+    rows = dealt.join(own, "h").select(*dealt.columns, "own_set")
+    return rows.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """h, own: the full sets, as sorted 64-bit hashes, of the wanted h."""
 
     def sets(frames: Iterator[pa.RecordBatch]):
         for f in frames:
@@ -193,6 +240,14 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
             h = np.array([xxhash.xxh64_intdigest(s) for s in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found, pa.binary())], names=["h", "own"])
 
+    texts = classes.join(wanted, "h", "left_semi").select("t")
+    own = _texts(docs).join(texts, "t", "left_semi").select("t", "text").dropDuplicates(["t"]).select("text").mapInArrow(sets, "h long, own binary")
+    return cut(own.dropDuplicates(["h"]), "minmax-sets")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs a, b whose full sets have the similarity."""
+
     def decide(frames: Iterator[pa.RecordBatch]):
         for f in frames:
             out = []
@@ -204,28 +259,27 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
             yield from batches(out, ["a", "b"], [pa.int64(), pa.int64()])
 
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = classes.join(wanted, "h", "left_semi").select("t")
-    own = _texts(docs).join(texts, "t", "left_semi").select("t", "text").dropDuplicates(["t"]).select("text").mapInArrow(sets, "h long, own binary")
-    own = cut(own.dropDuplicates(["h"]), "minmax-sets")
+    own = _sets(docs, classes, wanted, shingle)
     both = pairs.join(own.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, part: int = PART, followed: int = FOLLOWED) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; similarity is in per cent."""
     marked = cut(_marked(docs, shingle), "minmax-marked")
     some = marked.filter("n > 0")
     classes = cut(some.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min_by("t", "t").alias("t"), F.any_value("keys").alias("keys")), "minmax-classes")
     met = cut(_buckets(classes), "minmax-buckets")
-    rounds = [lambda: _first_partners(met, classes), lambda: _between(met, classes, groups, BEST, similarity), lambda: _between(met, classes, groups, None, similarity)]
-    edges, tried, groups = None, None, None
-    for candidates in rounds:
-        pairs = candidates()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "minmax-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(_linked(docs, classes, pairs, shingle, similarity), "minmax-links")
-        edges = found if edges is None else edges.unionByName(found)
-        groups = connected(edges)
+    edges = cut(_linked(docs, classes, cut(_first_partners(met, classes), "minmax-pairs"), shingle, similarity), "minmax-links")
+    dealt = _dealt(met, classes, connected(edges), part)
+    near = cut(_between(dealt, similarity, followed), "minmax-near")
+    edges = edges.unionByName(cut(_linked(docs, classes, near.filter("a is not null").select("a", "b"), shingle, similarity), "minmax-links"))
+    crowded = near.filter("key is not null").select(*_TASK)
+    if not crowded.isEmpty():
+        dealt = cut(dealt.join(crowded, _TASK, "left_semi").select(*dealt.columns), "minmax-crowded")
+        own = _sets(docs, classes, dealt.select("h").distinct(), shingle).withColumnRenamed("own", "own_set")
+        edges = edges.unionByName(cut(_crowded(dealt, own, similarity), "minmax-links"))
+    groups = connected(edges)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     of = classes.join(groups, F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = of.filter("linked").groupBy("root").agg(F.min("least").alias("first"))
