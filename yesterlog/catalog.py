@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .plans import aggregates, features, geometry, joins, labels, matching, models, scoring, shrinkage, sources, streams, wide, windows  # noqa: F401  (each registers its queries)
+from .plans import aggregates, boosting, features, geometry, joins, labels, matching, models, scoring, shrinkage, sources, streams, wide, windows  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

@@ -40,6 +40,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes a table that `keep` wrote, once no later step reads it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, floats: bool = False) -> DataFrame:
     """A CSV with a header that may start with a byte order mark; floats stores doubles as 32-bit floats."""
     # the header is checked by place, not by name, since a mark would be part of the first name
