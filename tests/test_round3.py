@@ -100,3 +100,104 @@ def test_ordered_rates_see_earlier_rows_only(spark):
     for i, k, _ in rows:
         before = [t for j, q, t in rows if j < i and q == k]
         assert abs(got[i] - (sum(before) + 2) / (len(before) + 4)) < 1e-12
+
+
+def test_student_equals_newton(spark):
+    """Coefficients of every fold's model equal those of a plain reweighted fit on the other folds; no segment is on both sides."""
+    from yesterlog.operators import distill
+
+    rng = np.random.default_rng(5)
+    n = 600
+    x, seg = rng.normal(size=(n, 2)), rng.integers(0, 40, n)
+    y = 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0]))) * 0.9 + 0.1 * rng.random(n)
+    rows = [(i, None if i == 7 else int(seg[i]), None if i == 9 else float(y[i]), None if i == 11 else float(x[i, 0]), float(x[i, 1])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, seg int, y double, a double, b double").repartition(4).withColumn("fold", distill.fold_of(F.col("seg"), 3))
+    assert df.groupBy("seg").agg(F.count_distinct("fold").alias("k")).filter("k > 1").count() == 0
+    betas = distill.fit(df, "y", "fold", ["a", "b"], 3, steps=4, ridge=0.5)
+    fold = {r.id: r.fold for r in df.collect()}
+    x[11, 0] = 0
+    full = np.column_stack([np.ones(n), x])
+    for k in range(3):
+        use = np.array([fold[i] is not None and fold[i] != k and i != 9 for i in range(n)])
+        beta = np.zeros(3)
+        for _ in range(4):
+            eta = full[use] @ beta
+            p = 1 / (1 + np.exp(-eta))
+            w = p * (1 - p)
+            beta = np.linalg.solve((full[use] * w[:, None]).T @ full[use] + np.diag([0, 0.5, 0.5]), (full[use] * w[:, None]).T @ (eta + (y[use] - p) / w))
+        assert np.allclose(beta, betas[k], atol=1e-8)
+    got = {r.id: r.p for r in distill.scored(df, "id", "fold", ["a", "b"], betas).collect()}
+    assert len(got) == n and abs(got[0] - 1 / (1 + np.exp(-(full[0] @ betas[fold[0]])))) < 1e-9
+
+
+def test_additive_shapes(spark):
+    """Shapes follow the truth, a pair is found where two features work together only, and scores are lookups."""
+    from yesterlog.operators import additive
+
+    rng = np.random.default_rng(6)
+    n = 4000
+    x = rng.normal(size=(n, 4))
+    p = 1 / (1 + np.exp(-(1.5 * np.sign(x[:, 0]) + 2.0 * np.sign(x[:, 1] * x[:, 2]))))
+    rows = [(i, int(rng.random() < p[i]), *[None if i % 97 == 0 and k == 3 else float(v) for k, v in enumerate(x[i])]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double, c double, e double").repartition(3)
+    f = ["a", "b", "c", "e"]
+    shapes = additive.fit(df, "y", f, cycles=3, pairs=1)
+    assert [t for t in shapes.terms if len(t) == 2] == [(1, 2)]
+    got = {r.id: r.p for r in additive.scored(df, "id", shapes).collect()}
+    loss = lambda q: -np.mean([np.log(q[r[0]] if r[1] else 1 - q[r[0]]) for r in rows])
+    single = {r.id: r.p for r in additive.scored(df, "id", additive.fit(df, "y", f, cycles=3, pairs=0)).collect()}
+    assert loss(got) < loss(single) - 0.1 < np.log(2) - 0.1
+    table = {(r.term, r.cell): r["shape"] for r in additive.to_table(spark, shapes).collect()}
+    for i, _, *values in rows[:60]:
+        at = [0 if v is None else 1 + int(np.searchsorted(shapes.edges[k], v)) for k, v in enumerate(values)]
+        pair = int(shapes.coarse(1)[at[1]]) * 9 + int(shapes.coarse(2)[at[2]])
+        logit = table["", 0] + sum(table.get((f[k], c), 0.0) for k, c in enumerate(at)) + table.get(("b*c", pair), 0.0)
+        assert abs(1 / (1 + np.exp(-logit)) - got[i]) < 1e-9
+
+
+def plain_sessions(rows, gap, expiry):
+    out, state = [], {}
+    for event, key, us, y in sorted(rows):
+        s = state.get(key)
+        if s and us - s["last"] > gap:
+            out.append((key, *s["close"]()))
+            if us - s["last"] > expiry:
+                s = None
+        if s is None or us - s["last"] > gap:
+            done = s["done"] if s else []
+            s = state[key] = {"done": done, "since": us, "first": event, "n": 0, "y": 0}
+
+            def close(s=s):
+                ring = s["done"][-5:]
+                before = [sum(x[k] for x in s["done"]) for k in (0, 1)]
+                last = [sum(x[k] for x in ring) if len(ring) == 5 else None for k in (0, 1)]
+                row = (len(s["done"]) + 1, s["first"], s["n"], s["y"], s["last"] - s["since"], *before, *last)
+                s["done"] = [*s["done"], (s["n"], s["y"])]
+                return row
+
+            s["close"] = close
+        s["last"], s["n"], s["y"] = us, s["n"] + 1, s["y"] + y
+    return sorted(out + [(k, *s["close"]()) for k, s in state.items()], key=str)
+
+
+def test_composite_state_over_restarts(spark):
+    """Sessions that batches split, a ring that fills, and a key whose state expires, held against a plain version."""
+    from yesterlog.streaming import asof, sessions
+
+    rng, us, rows = random.Random(9), 10**15, []
+    for event in range(400):
+        us += rng.choice([1, 1, 1, 3, 20]) * 60 * 10**6
+        rows.append((event, rng.choice([1, 2, 3] if event % 200 < 120 else [1, 2]), us, rng.randint(0, 1)))
+    gap, expiry = 30 * 60 * 10**6, 300 * 60 * 10**6
+    end = (400, -1, us + 2 * expiry, 0)
+    df = spark.createDataFrame([*rows, end], "event_id long, user long, us long, y int").withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+
+    def make(path):
+        stream = asof.read_events(spark, path, "1 minute")
+        return sessions.closed_sessions(stream, "user", "event_id", "y", "ts", gap, expiry)
+
+    turns = [df.filter((F.col("event_id") >= a) & (F.col("event_id") < b)) for a, b in ((0, 97), (97, 98), (98, 260), (260, 400), (400, 401))]
+    with sessions.rocksdb(spark):
+        got = asof.resumed(make, turns, "session-test").filter("key > 0").collect()
+    assert sorted(map(tuple, got), key=str) == plain_sessions(rows, gap, expiry)
+    assert any(r.n_last is not None for r in got) and any(r.session == 1 and r.first_event > 150 for r in got)
