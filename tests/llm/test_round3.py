@@ -195,3 +195,28 @@ def test_op11_divergence(spark, chunk, block):
     got = sorted(map(tuple, divergence.divergence(docs, 5, chunk=chunk, block=block).collect()))
     assert got == brute_divergence(rows, 5)
     assert divergence.divergence(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+HELPERS = ["__none", "__id", "__h", "__of_id", "__of_h", "__marks", "none", "id", "h", "row", "of_id", "of_h", "marks", "k", "root", "fp", "sketch", "hit", "start", "stop", "kind", "part", "score", "p", "words", "spans"]
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_stages_keep_columns_of_any_name(spark, upper):
+    """Every stage that returns documents leaves the values of columns named like its helpers alone; rows may be null or repeated."""
+    import corpus_pipeline
+
+    names = [n.upper() if upper else n for n in HELPERS]
+    texts = ["write to someone@example.com or call +1 555 010 9999 today", "a quiet walk by the river in the long evening of may", "a quiet walk by the river in the long evening of may", "", None]
+    rows = [(i if i < 4 else None, t, *[i * 100 + k for k in range(len(names))]) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(n).cast("long") for n in names])
+    kept = {r[0]: r[2:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(tuple(r)[2:] == kept[r.doc_id] for r in found), name
+        if name == "personal_data":
+            assert len(found) == len(rows) and any("[EMAIL]" in (r.text or "") for r in found)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0

@@ -55,10 +55,12 @@ def lower_ascii(c: Column) -> Column:
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """groups: doc_id, h (xxhash64 of the text), root. The row of docs with the least doc_id (null last) of each root, once if it is repeated."""
-    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__h": F.xxhash64(F.coalesce("text", F.lit("")))}
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__h"))).alias("k")
+    # a row is carried as one struct, so that no name of its columns can clash
+    key = {"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "h": F.xxhash64(F.coalesce("text", F.lit("")))}
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h").alias("h"))).alias("k")
     first = groups.groupBy("root").agg(least).select("k.*")
-    return docs.withColumns(key).join(first, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in key.items()])
+    return rows.join(first, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

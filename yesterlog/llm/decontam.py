@@ -360,8 +360,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that share no verbatim match of a window or a whole shorter item with the benchmark, with all their columns. Texts are judged by their hash, whatever the doc_id."""
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    hit = contaminated_spans(docs.select(own.alias("doc_id"), "text"), benchmark, window).filter("longest > 0").select(F.col("doc_id").alias("__h")).distinct()
-    return docs.withColumn("__h", own).join(hit, "__h", "left_anti").select(*docs.columns)
+    hit = contaminated_spans(docs.select(own.alias("doc_id"), "text"), benchmark, window).filter("longest > 0").select(F.col("doc_id").alias("h")).distinct()
+    # a row is carried as one struct, so that no name of its columns can clash
+    return docs.select(F.struct("*").alias("row"), own.alias("h")).join(hit, "h", "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -166,16 +166,20 @@ def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
     reach = F.max("stop").over(near.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(near))
     islands = islands.groupBy("doc_id", "h", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("kind", F.struct("start", "stop", "kind")).alias("kind"))
-    lists = islands.groupBy(F.col("doc_id").alias("__of_id"), F.col("h").alias("__of_h")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("__marks"))
-    both = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).join(lists, F.col("doc_id").eqNullSafe(F.col("__of_id")) & (F.col("__h") == F.col("__of_h")), "left")
-    cut_at = lambda i: F.when(i > 0, F.get("__marks", i - 1)["stop"]).otherwise(F.lit(0))
-    parts = F.transform("__marks", lambda m, i: F.concat(F.substring(F.col("text"), (cut_at(i) + 1).cast("int"), (m["start"] - cut_at(i)).cast("int")), F.lit("["), F.upper(m["kind"]), F.lit("]")))
-    tail = F.substring(F.col("text"), (F.element_at("__marks", -1)["stop"] + 1).cast("int"), F.char_length("text"))
-    text = F.when(F.col("__marks").isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    both = both.withColumn("text", text)
+    lists = islands.groupBy(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("marks"))
+    # a row is carried as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    both = rows.join(lists, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left")
+    whole = F.col("row")["text"]
+    cut_at = lambda i: F.when(i > 0, F.get("marks", i - 1)["stop"]).otherwise(F.lit(0))
+    parts = F.transform("marks", lambda m, i: F.concat(F.substring(whole, (cut_at(i) + 1).cast("int"), (m["start"] - cut_at(i)).cast("int")), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+    tail = F.substring(whole, (F.element_at("marks", -1)["stop"] + 1).cast("int"), F.char_length(whole))
+    marked = F.col("marks").isNotNull()
+    row = F.col("row").withField("text", F.when(marked, F.concat(F.array_join(parts, ""), tail)).otherwise(whole))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__marks").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        both = both.withColumn("row", row)
+        row = F.col("row").withField("n_chars", F.when(marked, F.char_length(F.col("row")["text"]).cast("long")).otherwise(F.col("row")["n_chars"]))
+    return both.select(row.alias("row")).select("row.*")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
