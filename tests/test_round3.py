@@ -201,3 +201,63 @@ def test_composite_state_over_restarts(spark):
         got = asof.resumed(make, turns, "session-test").filter("key > 0").collect()
     assert sorted(map(tuple, got), key=str) == plain_sessions(rows, gap, expiry)
     assert any(r.n_last is not None for r in got) and any(r.session == 1 and r.first_event > 150 for r in got)
+
+
+def test_factors_equal_numpy(spark):
+    """Rank 3 with biases against plain normal equations; the penalised loss never rises."""
+    from yesterlog.operators import factors
+
+    rng = np.random.default_rng(4)
+    pairs = [(i, j, float(v), float(w)) for i in range(12) for j in range(9) if rng.random() < 0.7 for v, w in [(rng.normal(), rng.integers(1, 5))]]
+    df = spark.createDataFrame([*pairs, (None, 1, 0.5, 1.0), (1, 1, None, 1.0), (1, 1, 0.5, 0.0)], "x long, y long, v double, w double").repartition(3)
+    clean = df.na.drop().filter("w > 0")
+    losses = []
+    for rounds in (1, 2, 4):
+        got = factors.fit(df, "x", "y", "v", "w", 3, rounds, 0.5)
+        losses.append(factors.penalised_loss(clean, "x", "y", "v", "w", got, 0.5))
+    assert losses == sorted(losses, reverse=True)
+    right = {r.y: np.array([r.bias, *r.factors]) for r in factors._start(clean, "y", 3).collect()}
+    total = sum(w for *_, w in pairs)
+    mean = sum(v * w for *_, v, w in pairs) / total
+
+    def solve(side, k):
+        out = {}
+        for key in {p[k] for p in pairs}:
+            mine = [p for p in pairs if p[k] == key]
+            x = np.array([[1.0, *side[p[1 - k]][1:]] for p in mine])
+            t = np.array([p[2] - mean - side[p[1 - k]][0] for p in mine])
+            w = np.array([p[3] for p in mine])
+            out[key] = np.linalg.solve((x * w[:, None]).T @ x + 0.5 * np.eye(4), (x * w[:, None]).T @ t)
+        return out
+
+    for _ in range(4):
+        left = solve(right, 0)
+        right = solve(left, 1)
+    for r in got.left.collect():
+        assert np.allclose([r.bias, *r.factors], left[r.x], atol=1e-8)
+    for r in got.right.collect():
+        assert np.allclose([r.bias, *r.factors], right[r.y], atol=1e-8)
+
+
+def test_components_are_refused_by_name(spark):
+    from yesterlog.operators.component import Registry
+
+    ids = spark.range(20)
+    r = Registry("id")
+    r.register("good", ("ids",), {"p": "double"}, {"share": F.col("p").between(0, 1)})(lambda t: t.select("id", (F.col("id") / 20).alias("p")))
+    r.register("few", ("ids",), {"q": "bigint"})(lambda t: t.filter("id > 3").select("id", F.col("id").alias("q")))
+    r.register("many", ("ids",), {"m": "bigint"})(lambda t: t.union(t.filter("id = 5")).select("id", F.col("id").alias("m")))
+    r.register("more", ("ids",), {"x": "bigint"})(lambda t: spark.range(21).select("id", F.col("id").alias("x")))
+    r.register("high", ("ids",), {"h": "double"}, {"any": F.lit(True), "share": F.col("h") <= 1})(lambda t: t.select("id", (F.col("id") / 10).alias("h")))
+    r.register("other", ("ids",), {"o": "double"})(lambda t: t.select("id", F.col("id").alias("o")))
+    assert sorted(map(tuple, r.run(ids, {"ids": ids}, ["good"]).collect())) == [(i, i / 20) for i in range(20)]
+    for name, text in {"few": "component few lacks id 0", "many": "component many repeats id 5", "more": "component more has an extra id 20", "high": "component high breaks guard share"}.items():
+        with pytest.raises(Exception, match=text.rsplit(" ", 1)[0] if name == "few" else text):
+            r.run(ids, {"ids": ids}, ["good", name]).collect()
+    with pytest.raises(ValueError, match="component other"):
+        r.run(ids, {"ids": ids}, ["other"])
+    with pytest.raises(ValueError, match="not given"):
+        r.run(ids, {}, ["good"])
+    with pytest.raises(ValueError, match="taken"):
+        r.register("again", ("ids",), {"p": "double"})
+        r.register("again", ("ids",), {"p": "double"})(lambda t: t)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import eb, logit
 from ..operators import contract as C
+from ..operators import factors
 from ..operators import model as M
+from ..operators.component import Registry
 from ..sources.io import keep
 from .features import _FORM, form
-from .registry import EVENTS, ITEMS, events, items, over, query
+from .registry import EVENTS, ITEMS, events, items, over, query, table
 
 _FEATURES = ["n", "smooth", "r1", "r3", "r5", "balls", "strikes", "outs", "hand", "k"]
 
@@ -145,6 +147,25 @@ def pair_factors(spark, d):
     return left
 
 
+@query("pair_factors_ranked")
+def pair_factors_ranked(spark, d):
+    """Supplier-part rates by factors of rank 4 and biases of both sides, six rounds; each aggregated pair with its prediction."""
+    pairs = items(spark, d).groupBy("supplier", "part").agg(F.avg("y").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+    pairs = keep(pairs, "factor-rates")
+    return factors.predicted(pairs, "supplier", "part", factors.fit(pairs, "supplier", "part", "v", "w", 4, 6, 5.0))
+
+
+@query("component_run", over(EVENTS, "SELECT event_id, (s + 200.0::DOUBLE * 0.2::DOUBLE) / (n + 200.0::DOUBLE) AS steady, (s + 20.0::DOUBLE * 0.2::DOUBLE) / (n + 20.0::DOUBLE) AS quick, n >= 20 AS known FROM ev"))
+def component_run(spark, d):
+    """Two registered components with guards, aligned with the ids of the log in one plan."""
+    share = lambda c: {"share": F.col(c).between(0, 1)}
+    parts = Registry("event_id")
+    parts.register("steady", ("state",), {"steady": "double"}, share("steady"))(lambda t: t.select("event_id", eb("s", "n", 0.2, 200).alias("steady")))
+    parts.register("quick", ("state",), {"quick": "double", "known": "boolean"}, share("quick"))(lambda t: t.select("event_id", eb("s", "n", 0.2, 20).alias("quick"), (F.col("n") >= 20).alias("known")))
+    ev = events(spark, d)
+    return parts.run(table(spark, d, "events").select("event_id"), {"state": ev})
+
+
 @query("output_contract", over(EVENTS, "SELECT count(*) AS n, 0::BIGINT AS repeated, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS outside FROM ev"))
 def output_contract(spark, d):
     ev = events(spark, d)
