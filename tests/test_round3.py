@@ -261,3 +261,23 @@ def test_components_are_refused_by_name(spark):
     with pytest.raises(ValueError, match="taken"):
         r.register("again", ("ids",), {"p": "double"})
         r.register("again", ("ids",), {"p": "double"})(lambda t: t)
+
+
+def test_low_rank_equals_numpy(spark):
+    from yesterlog.operators import model
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(40, 5)), 3)
+    rows = [(i, "odd" if i % 2 else None, *map(float, x[i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, part string, a double, b double, c double, d double, e double").repartition(3)
+    names = list("abcde")
+
+    def plain(m, rank):
+        u, s, v = np.linalg.svd(m, full_matrices=False)
+        return (u[:, :rank] * s[:rank]) @ v[:rank]
+
+    got = {r.id: tuple(r)[1:] for r in model.low_rank(df, "id", names, 2).collect()}
+    assert np.allclose([got[i] for i in range(40)], plain(x, 2))
+    got = {r.id: tuple(r)[1:] for r in model.low_rank_by(df, "part", "id", names, 2).collect()}
+    for k in (0, 1):
+        assert np.allclose([got[i] for i in range(k, 40, 2)], plain(x[k::2], 2))

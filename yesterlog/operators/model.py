@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import clip
 
@@ -69,28 +71,47 @@ def stack(intercept: float, weights: dict[str, float]) -> Column:
 def low_rank(cells: DataFrame, entity: str, columns: list[str], rank: int) -> DataFrame:
     """Each entity's row of the matrix projected on the strongest `rank` directions.
 
-    The Gram matrix of the columns is one aggregation; only it, columns x columns, comes to the driver.
+    Tasks sum products of their rows; only the Gram matrix of the columns comes to the driver, and the projection goes back with
+    the tasks that multiply it. Null counts as 0.
     """
-    from .blend import gram
-
-    return _projected(cells, entity, columns, rank, gram(cells, columns, columns[0])[0])
+    return low_rank_by(cells.withColumn("_part", F.lit(0)), "_part", entity, columns, rank)
 
 
 def low_rank_by(cells: DataFrame, part: str, entity: str, columns: list[str], rank: int) -> DataFrame:
     """The same for each value of `part` by itself, of which there must be few: one aggregation gives all Gram matrices."""
-    from .blend import grams
-
-    names = [r[0] for r in cells.select(part).distinct().orderBy(part).collect()]
-    out = [_projected(cells.filter(F.col(part).eqNullSafe(F.lit(n))), entity, columns, rank, m) for n, (m, _, _) in zip(names, grams(cells, part, columns, columns[0]), strict=True)]
-    return reduce(DataFrame.unionByName, out)
+    types, d = dict(cells.dtypes), len(columns)
+    rows = cells.select(part, entity, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    matrix = lambda f: np.column_stack([f.column(2 + k).to_numpy() for k in range(d)]) if f.num_rows else np.empty((0, d))
 
+    def products(frames: Iterator[pa.RecordBatch]):
+        total: dict = {}
+        for f in frames:
+            x, of = matrix(f), np.array(f.column(0).to_pylist(), dtype=object)
+            for p in set(of.tolist()):
+                mine = x[of == p]
+                total[p] = total.get(p, 0) + mine.T @ mine
+        keys = [p for p in total for _ in range(d * d)]
+        values = np.concatenate([m.reshape(-1) for m in total.values()] or [np.empty(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(np.tile(np.arange(d * d, dtype=np.int32), len(total))), pa.array(values)], names=[part, "place", "value"])
+
+    kind = to_arrow_type(cells.schema[part].dataType)
+    sums = rows.mapInArrow(products, f"{part} {types[part]}, place int, value double").groupBy(part, "place").agg(F.sum("value").alias("value"))
+    found: dict = {}
+    for p, place, value in sums.collect():
+        found.setdefault(p, np.zeros(d * d))[place] = value
+    onto = {}
+    for p, m in found.items():
+        v = np.linalg.eigh(m.reshape(d, d))[1][:, -rank:]
+        onto[p] = v @ v.T
+
+    def project(frames: Iterator[pa.RecordBatch]):
+        for f in frames:
+            x, of = matrix(f), np.array(f.column(0).to_pylist(), dtype=object)
+            for p in set(of.tolist()):
+                x[of == p] = x[of == p] @ onto[p]
+            yield pa.RecordBatch.from_arrays([f.column(1), *map(pa.array, np.ascontiguousarray(x.T))], names=[entity, *columns])
 
-def _projected(cells: DataFrame, entity: str, columns: list[str], rank: int, m: np.ndarray) -> DataFrame:
-    _, vectors = np.linalg.eigh(m)
-    v = vectors[:, -rank:]
-    project = v @ v.T
-    value = lambda j: sum((F.lit(float(project[i, j])) * F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(columns)), F.lit(0.0))
-    return cells.select(entity, *[value(j).alias(c) for j, c in enumerate(columns)])
+    return rows.mapInArrow(project, ", ".join([f"{entity} {types[entity]}", *[f"{c} double" for c in columns]]))
 
 
 def without_bias(pairs: DataFrame, a: str, b: str, value: str, weight: str, strength: float) -> DataFrame:
