@@ -108,14 +108,19 @@ def vertex(x: tuple[float, float, float], y: tuple[float, float, float]) -> tupl
     return float(at), float(a * at * at + b * at + c)
 
 
-def poisson_draw(key: Column, draw: Column) -> Column:
-    """A number of copies with the probabilities of Poisson(1), from an integer hash of key and draw that any engine can repeat.
+def hash_draw(key: Column, draw: Column) -> Column:
+    """A number from 0 to PRIME - 1 from an integer hash of key and draw that any engine can repeat.
 
     Squares modulo a prime between the linear steps keep one draw from being another's shifted copy."""
     k, d = (key.cast("long") + 1) % PRIME, draw.cast("long") + 1
     x = (k * 7919 + d * 104729) % PRIME
     x = (x * x % PRIME + k * d) % PRIME * 48271 % PRIME
-    u = x * x % PRIME % 10000
+    return x * x % PRIME
+
+
+def poisson_draw(key: Column, draw: Column) -> Column:
+    """A number of copies with the probabilities of Poisson(1), from the hash of key and draw."""
+    u = hash_draw(key, draw) % 10000
     copies = F.when(u < POISSON[0], 0)
     for n, limit in enumerate(POISSON[1:], 1):
         copies = copies.when(u < limit, n)
@@ -127,7 +132,8 @@ PRIME = 2147483647
 POISSON = (3679, 7358, 9197, 9810, 9963, 9994, 9999)
 _X = f"((({{k}} + 1) % {PRIME} * 7919 + ({{d}} + 1) * 104729) % {PRIME})"
 _Y = f"(({_X} * {_X} % {PRIME} + ({{k}} + 1) % {PRIME} * ({{d}} + 1)) % {PRIME} * 48271 % {PRIME})"
-#: SQL of the hash, and of the copies by the hash u.
+#: SQL of the hash, of its ten thousandths, and of the copies by those.
+DRAW_SQL = f"({_Y} * {_Y} % {PRIME})"
 HASH_SQL = f"({_Y} * {_Y} % {PRIME} % 10000)"
 POISSON_SQL = "(CASE " + " ".join(f"WHEN {{u}} < {limit} THEN {n}" for n, limit in enumerate(POISSON)) + f" ELSE {len(POISSON)} END)"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.blend import DRAW_SQL, PRIME
 from ..sources import io
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
@@ -65,11 +66,12 @@ def report_lock(spark, d):
     return spark.createDataFrame([tuple(io.write_once(spark, path, row)[k] for k in ("n", "cents"))], "n long, cents long")
 
 
-@query("load_generator")
+@query("load_generator", f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n, min(c_acctbal) OVER () AS low, max(c_acctbal) OVER () AS high FROM customer), r AS (SELECT unnest(range(3 * (SELECT count(*) FROM customer))) AS id)
+  SELECT id AS c_custkey, c_nationkey, c_mktsegment, round(low + {DRAW_SQL.format(k="id", d="42")} / {PRIME} * (high - low), 6) AS c_acctbal FROM r JOIN c ON id % n = i""")
 def load_generator(spark, d):
     """Three times the customers, with balances drawn anew and nation and segment kept together."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    return io.generate_load(c, "c_custkey", 3 * c.count(), ["c_nationkey", "c_mktsegment"])
+    return io.generate_load(c, "c_custkey", 3 * c.count(), ["c_nationkey", "c_mktsegment"]).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
 @query("table_inventory", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "supplier", "customer", "part", "orders")))

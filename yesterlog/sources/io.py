@@ -132,16 +132,18 @@ def write_once(spark: SparkSession, path: str, value: dict) -> dict:
 def generate_load(seed_rows: DataFrame, key: str, rows: int, guarded: list[str], seed: int = 42) -> DataFrame:
     """`rows` rows made of the seed rows in turn, with new ids; guarded columns stay together, numeric others are drawn from their range.
 
-    The seed rows are numbered by a join with their ranks; only a table of two figures for each column is sent to all tasks.
+    Draws are a hash of the new id and the column's place, so they depend neither on partitions nor on the engine. The seed is
+    numbered by ranges of its key; only a table of two figures for each column is sent to all tasks.
     """
+    from ..operators.blend import PRIME, hash_draw
+    from ..operators.ranked import running
+
     spark = seed_rows.sparkSession
     free = [c for c, t in seed_rows.dtypes if c not in (key, *guarded) and t in ("int", "bigint", "double")]
     ranges = seed_rows.agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in free for n, f in (("low", F.min), ("high", F.max))])
     n = ranges.first()._n
-    from pyspark.sql import Window
-
-    numbered = seed_rows.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)  # the seed is small: it fits one task
-    out = spark.range(rows).withColumn("_i", F.col("id") % n).join(F.broadcast(numbered.drop(key)) if n <= 100_000 else numbered.drop(key), "_i").crossJoin(F.broadcast(ranges))
+    numbered = running(seed_rows, [], [key], {"_i": F.lit(1)}).drop(key)
+    out = spark.range(rows).withColumn("_i", F.col("id") % n).join(numbered, "_i").crossJoin(F.broadcast(ranges))
     types = dict(seed_rows.dtypes)
-    drawn = {c: (F.col(f"_low_{c}") + F.rand(seed + i) * (F.col(f"_high_{c}") - F.col(f"_low_{c}"))).cast(types[c]) for i, c in enumerate(free)}
+    drawn = {c: (F.col(f"_low_{c}") + hash_draw(F.col("id"), F.lit(seed + i)) / PRIME * (F.col(f"_high_{c}") - F.col(f"_low_{c}"))).cast(types[c]) for i, c in enumerate(free)}
     return out.select(F.col("id").alias(key), *[drawn.get(c, F.col(c)).alias(c) for c in seed_rows.columns if c != key])
