@@ -220,3 +220,39 @@ def test_stages_keep_columns_of_any_name(spark, upper):
         if name == "personal_data":
             assert len(found) == len(rows) and any("[EMAIL]" in (r.text or "") for r in found)
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_copies_recall(spark):
+    """Against all pairs of 10,000 documents whose 5-word shingles have a similarity of 0.8 or more: at least 46 of 48 are joined, and nothing else is."""
+    from itertools import combinations
+
+    from yesterlog.llm import near_copies
+
+    docs = spark.read.parquet(SMALL.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text").repartition(8)
+    texts = sorted({(r.text or "") for r in docs.collect()})
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    places, common = defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for g in s.tolist():
+            places[g].append(i)
+    for found in places.values():
+        if len(found) > 1:
+            common.update(combinations(found, 2))
+    pairs = [p for p, n in common.items() if 10 * n >= 8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    number = {t: i for i, t in enumerate(texts)}
+    of = {r.doc_id: r.root for r in near_copies.near_copies(docs).collect()}
+    got = {number[r.text or ""]: of[r.doc_id] for r in docs.collect()}
+    assert len(pairs) == 48 and sum(got[a] == got[b] for a, b in pairs) >= 46
+    members = defaultdict(set)
+    for i, g in got.items():
+        members[g].add(root(i))
+    assert all(len(m) == 1 for m in members.values())
