@@ -2,7 +2,9 @@
 
 Base spans (email, ip, card, phone) are seeds. Candidates are the sequences of one to GRAM tokens with a digit each that overlap
 no base span: identifiers of other forms, and those that a base match swallowed together with its neighbour and then lost.
-A lexical pattern is the word before an instance, the word after it, or its shape (letters and digits replaced by classes). An
+A lexical pattern is the word before an instance, the word after it, or its shape (letters and digits replaced by classes). The words
+are looked for in the CONTEXT_CHARS characters on either side; of a word before the last 24 characters count, of one after the first
+24, so a pattern's length is bounded while no instance is left out. An
 instance of a kind must pass the kind's own check, so a number that fails Luhn is never a card.
 
 The bipartite graph of patterns and instances is scored in ROUNDS rounds, for each kind: a pattern's confidence is the mean score
