@@ -1,6 +1,8 @@
 """What a review found missing: each test fails on the code before it."""
 
+import pickle
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -122,8 +124,22 @@ def test_longest_matches_have_no_cap(spark):
     for size in (1 << 24, 300):
         got = {(r.item_id, r.start): (r.length, r.doc_id, r["at"]) for r in decontam.longest_matches(docs, bench, 4, size).collect()}
         assert got == brute_longest(texts, items, 4)
-    longest = decontam.contaminated_spans(docs, bench, 4).filter("doc_id = 1").first().longest
-    assert longest == max(n for n, *_ in brute_longest(texts[1:2], items, 4).values())
+        found = decontam.contaminated_spans(docs, bench, 4, size).filter("doc_id = 1").first()
+        best = [(-n, at) for n, _, at in brute_longest(texts[1:2], items, 4).values()]
+        assert (-found.longest, found["at"]) == min(best)
+
+
+def test_op4_windows_are_small_and_made_fast():
+    rng = random.Random(4)
+    items = [(str(k), " ".join(f"{rng.getrandbits(28):x}" for _ in range(500)).encode()) for k in range(1200)]
+    start = time.process_time()
+    test = decontam.Windows(items, 10)
+    data = pickle.dumps(test)
+    made = time.process_time() - start
+    assert len(test) == 1200 * 491 and len(data) < 100 * len(test) and made < 10
+    start = time.process_time()
+    back = pickle.loads(data)
+    assert time.process_time() - start < 2 and back.numbers([b"absent", *decontam.words(items[3][1])[:2]]).tolist() == [0, *test.numbers(decontam.words(items[3][1])[:2])]
 
 
 def test_op4_blocks_keep_their_bound(spark):

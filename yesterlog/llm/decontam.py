@@ -9,8 +9,9 @@ a test suffix's neighbours give its longest verbatim match, however long, and th
 a place's neighbours give the longest match that starts there, by which `longest` and `longest_matches` are found.
 
 The benchmark is sent to the tasks in blocks of at most `block_bytes`; tasks number the blocks of a larger benchmark and write
-them to the shared folder. It takes a pass for each, for which the driver reads that block alone; each pass is written, and the
-passes are merged by a key that every document row got once.
+them to the shared folder. The driver makes a block's windows once, as arrays, and broadcasts them; worker processes read them once.
+It takes a pass for each block, for which the driver reads that block alone; each pass is written, and the passes are merged by a
+key that every document row got once.
 
 Words: A-Z lower-cased, runs of [0-9a-z] and of all characters from U+0080. A window is `window` consecutive words of an item;
 an item with fewer words, but at least one, is one window. A document word inside any occurrence is hit.
@@ -24,12 +25,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,9 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Vocabulary numbers gathered before a suffix array is built, which bounds a task's memory.
 SHARD_WORDS = 2_000_000
+#: The columns of contaminated_spans.
+_SPANS = "doc_id n_words spans items longest at"
+_SPANS_TYPE = "doc_id long, n_words long, spans array<array<bigint>>, items array<string>, longest long, at long"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -47,36 +50,56 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: keys for binary search, by number of words."""
+    """The test suffixes of a block of items as arrays: windows in ascending order as keys for binary search, their lengths and items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window, self.vocabulary = window, {}
-        found: dict[tuple, set[str]] = {}
-        numbers: dict[tuple, int] = {}
+        self.window = window
+        split = [words(text) for _, text in items]
+        coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
+        self.vocabulary = coded.dictionary  # a word's number is its place here, from 1
+        count = np.array([len(ws) for ws in split], dtype=np.int64)
+        del split
+        # items follow each other with `window` zeros between, so that a shorter item's key ends in zeros
+        begin = np.cumsum(count + window) - (count + window)
+        ids = np.zeros(int((count + window).sum()), dtype=">u4")
+        ids[np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)] = coded.indices.to_numpy(zero_copy_only=False) + 1
+        suffixes = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        ends = np.cumsum(suffixes)
         #: Every test suffix: its item and first word, the number of its window, and whether the next one is the same item's.
-        self.suffixes: list[tuple[str, int]] = []
-        number, follows = [], []
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = max(1, len(ids) - window + 1) if ids else 0
-            for i in range(n):
-                key = tuple(ids[i : i + window])
-                found.setdefault(key, set()).add(item)
-                number.append(numbers.setdefault(key, len(numbers)))
-                self.suffixes.append((item, i))
-                follows.append(i + 1 < n)
-        self.number, self.follows = np.array(number, dtype=np.int64), np.array(follows, dtype=bool)
-        self.items = list(found.values())
-        self.lengths = np.array([len(k) for k in found], dtype=np.int64)
-        padded = np.zeros((len(found), window), dtype=">u4")
-        for row, k in zip(padded, found, strict=True):
-            row[: len(k)] = k
-        self.low = padded.reshape(-1).view(f"S{4 * window}")[: len(found)]
-        high = padded.copy()
-        for row, k in zip(high, found, strict=True):
-            row[len(k) :] = 0xFFFFFFFF
-        self.high = high.reshape(-1).view(f"S{4 * window}")[: len(found)]
-        self.least = int(self.lengths.min()) if found else 0
+        self.names, of_name = np.unique(np.array([i for i, _ in items], dtype=object), return_inverse=True) if items else (np.empty(0, dtype=object), np.empty(0, dtype=np.int64))
+        which = np.repeat(np.arange(len(items), dtype=np.int32), suffixes)
+        self.item = of_name[which].astype(np.int32)
+        self.first = (np.arange(len(which)) - np.repeat(ends - suffixes, suffixes)).astype(np.int32)
+        self.follows = np.ones(len(which), dtype=bool)
+        self.follows[ends[suffixes > 0] - 1] = False
+        keys = np.lib.stride_tricks.sliding_window_view(ids, window)[begin[which] + self.first] if len(which) else np.zeros((0, window), dtype=">u4")
+        self.low, one, number = np.unique(np.ascontiguousarray(keys).reshape(-1).view(f"S{4 * window}"), return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.lengths = np.minimum(count[which[one]], window).astype(np.int32)
+        self.least = int(self.lengths.min()) if len(self.low) else 0
+        #: Windows of shorter items, and the last key that begins with each.
+        self.short = np.flatnonzero(self.lengths < window)
+        high = keys[one[self.short]]
+        high[np.arange(window) >= self.lengths[self.short, None]] = 0xFFFFFFFF
+        self.high = np.ascontiguousarray(high).reshape(-1).view(f"S{4 * window}")
+        pairs = np.unique(self.number.astype(np.int64) * max(1, len(self.names)) + self.item)
+        self.items_of = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.low) + 1)).astype(np.int32)
+        self.items = (pairs % max(1, len(self.names))).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word, 0 for words outside of the vocabulary."""
+        coded = pa.array(found, pa.binary()).dictionary_encode()
+        known = pc.fill_null(pc.index_in(coded.dictionary, self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        return (known + 1).astype(np.uint32)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the suffix array `keys` for each window."""
+        low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.low, "right")
+        high[self.short] = np.searchsorted(keys, self.high, "right")
+        return low, high
 
 
 def suffix_array(ids: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,29 +112,33 @@ def suffix_array(ids: np.ndarray, window: int, least: int) -> tuple[np.ndarray,
     return starts[order], keys[order]
 
 
-def _shards(window: int, items: list[tuple[str, bytes]], found_in):
-    """A mapInArrow function that numbers words and calls found_in(test, rows, starts, keys, bounds) for each shard."""
+def _shards(index: Broadcast, found_in):
+    """A mapInArrow function that numbers words and calls found_in(test, rows, starts, keys, bounds) for each shard.
+
+    The block's windows are made once, by the driver, and each worker process reads them once: their size is bounded by the block's.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]):
-        test = Windows(items, window)
-        get, rows, parts, size = test.vocabulary.get, [], [], 0
-        gap = np.zeros(window, dtype=np.uint32)  # no suffix runs into the next document
+        test, rows, found, size = index.value, [], [], 0
+        window = test.window
 
         def flush():
-            bounds = np.cumsum([0] + [len(p) + window for p in parts])
-            ids = np.concatenate([x for p in parts for x in (p, gap)])
-            starts, keys = suffix_array(ids, window, test.least) if test.items else (np.empty(0, np.int64), np.empty(0, "S1"))
+            count = np.array([n for _, n in rows], dtype=np.int64)
+            bounds = np.append(0, np.cumsum(count + window))
+            ids = np.zeros(bounds[-1], dtype=np.uint32)  # gaps, so that no suffix runs into the next document
+            ids[np.arange(int(count.sum())) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)] = test.numbers(found)
+            starts, keys = suffix_array(ids, window, test.least) if len(test) else (np.empty(0, np.int64), np.empty(0, "S1"))
             return found_in(test, rows, starts, keys, bounds)
 
         for frame in frames:
             for doc, text in zip(frame.column(0).to_pylist(), text_bytes(frame.column(1)), strict=True):
                 w = words(text)
-                parts.append(np.fromiter(map(get, w, repeat(0)), dtype=np.uint32, count=len(w)))
+                found.extend(w)
                 rows.append((doc, len(w)))
                 size += len(w) + window
                 if size >= SHARD_WORDS:
                     yield from flush()
-                    rows, parts, size = [], [], 0
+                    rows, found, size = [], [], 0
         if rows:
             yield from flush()
 
@@ -187,7 +214,7 @@ class Hits:
     """All places of a shard where a window occurs, and their joint order with the test suffixes."""
 
     def __init__(self, test: Windows, starts, keys, bounds):
-        lo, hi = (np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")) if len(starts) else (np.zeros(len(test.items), dtype=np.int64),) * 2
+        lo, hi = test.find(keys) if len(starts) else (np.zeros(len(test), dtype=np.int64),) * 2
         count = np.maximum(hi - lo, 0)
         self.window = np.repeat(np.arange(len(count)), count)
         self.place = starts[np.arange(len(self.window)) + np.repeat(lo - (np.cumsum(count) - count), count)]
@@ -222,13 +249,21 @@ def _spans(test: Windows, rows, starts, keys, bounds):
     spans: dict[int, list] = {}
     for d, a, b in zip(hits.doc[first].tolist(), (hits.place[first] - bounds[hits.doc[first]]).tolist(), (reach[last] - bounds[hits.doc[first]]).tolist(), strict=True):
         spans.setdefault(d, []).append([a, b])
-    longest = np.zeros(len(rows), dtype=np.int64)
-    np.maximum.at(longest, hits.doc, hits.longest())
-    items: dict[int, set] = {}
-    for d, k in np.unique(np.stack([hits.doc, hits.window]), axis=1).T.tolist():
-        items.setdefault(d, set()).update(test.items[k])
-    out = [(doc, n, spans.get(d, []), sorted(items.get(d, ())), int(longest[d])) for d, (doc, n) in enumerate(rows)]
-    yield from batches(out, ["doc_id", "n_words", "spans", "items", "longest"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64()])
+    longest, at = np.zeros(len(rows), dtype=np.int64), {}
+    match = hits.longest()
+    np.maximum.at(longest, hits.doc, match)
+    best = np.flatnonzero(match == longest[hits.doc])[::-1]  # places ascend, so the first one of a document is set last
+    at.update(zip(hits.doc[best].tolist(), (hits.place[best] - bounds[hits.doc[best]]).tolist(), strict=True))
+    # documents and items in pairs: a window's items are dealt to all documents where it occurs
+    pair = np.unique(hits.doc * max(1, len(test)) + hits.window)
+    doc, k = pair // max(1, len(test)), pair % max(1, len(test))
+    n = (test.items_of[k + 1] - test.items_of[k]).astype(np.int64)
+    of = test.items[np.arange(int(n.sum())) + np.repeat(test.items_of[k] - (np.cumsum(n) - n), n)]
+    items: dict[int, list] = {}
+    for d, i in np.unique(np.stack([np.repeat(doc, n), of.astype(np.int64)]), axis=1).T.tolist():
+        items.setdefault(d, []).append(test.names[i])
+    out = [(doc, n, spans.get(d, []), items.get(d, []), int(longest[d]), at.get(d)) for d, (doc, n) in enumerate(rows)]
+    yield from batches(out, _SPANS.split(), [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64(), pa.int64()])
 
 
 def merge(spans: list) -> list[list[int]]:
@@ -276,28 +311,35 @@ def _only_hits(test: Windows, rows, starts, keys, bounds):
         yield f.filter(pc.greater(pc.list_value_length(f.column(2)), 0))
 
 
+def _pass(texts: DataFrame, block: list[tuple[str, bytes]], window: int, found_in, schema: str) -> tuple[DataFrame, Broadcast]:
+    """texts through found_in with one block of the benchmark, and the broadcast of its windows."""
+    index = texts.sparkSession.sparkContext.broadcast(Windows(block, window))
+    return texts.mapInArrow(_shards(index, found_in), schema), index
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), longest (words of the longest verbatim match, 0 without one), for every row of docs."""
+    """doc_id, n_words, spans (word ranges [start, stop) that benchmark windows cover, merged), items (ids whose windows occur), longest (words of the longest verbatim match, 0 without one) and at (its first word, the least of equally long ones, null without one), for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, spans array<array<bigint>>, items array<string>, longest long"
     n, blocks = _blocks(benchmark, block_bytes)
     if n == 1:
-        return texts.mapInArrow(_shards(window, next(blocks), _spans), schema)
+        return _pass(texts, next(blocks), window, _spans, _SPANS_TYPE)[0]
     # rows get a key that is written once; the first pass keeps every row, the others those that are hit
     rows = cut(texts.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
     folder = table_path(docs.sparkSession, "decontam-passes")
     for k, block in enumerate(blocks):
-        found = rows.select("row", "text").mapInArrow(_shards(window, block, _only_hits if k else _spans), schema)
+        found, index = _pass(rows.select("row", "text"), block, window, _only_hits if k else _spans, _SPANS_TYPE)
         found.withColumnRenamed("doc_id", "row").write.parquet(f"{folder}/pass={k}")
-    every = docs.sparkSession.read.schema(schema.replace("doc_id", "row")).parquet(folder)
-    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    every = rows.select("row", "doc_id").join(every, "row").select("doc_id", "n_words", "spans", "items", "longest")
+        index.destroy()
+    every = docs.sparkSession.read.schema(_SPANS_TYPE.replace("doc_id", "row")).parquet(folder)
+    at = F.min_by("at", F.struct(-F.col("longest"), F.col("at"))).alias("at")
+    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), at)
+    every = rows.select("row", "doc_id").join(every, "row").select(*_SPANS.split())
 
     def together(frames):
         for f in frames:
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array([merge(x) for x in f.column(2).to_pylist()], pa.list_(pa.list_(pa.int64()))), f.column(3), f.column(4)], names=["doc_id", "n_words", "spans", "items", "longest"])
+            yield pa.RecordBatch.from_arrays([*f.columns[:2], pa.array([merge(x) for x in f.column(2).to_pylist()], pa.list_(pa.list_(pa.int64()))), *f.columns[3:]], names=_SPANS.split())
 
-    return every.mapInArrow(together, schema)
+    return every.mapInArrow(together, _SPANS_TYPE)
 
 
 def _suffix_matches(test: Windows, rows, starts, keys, bounds):
@@ -309,7 +351,7 @@ def _suffix_matches(test: Windows, rows, starts, keys, bounds):
     weight = np.empty(len(order), dtype=np.int64)
     weight[order] = np.arange(len(order))
     out = []
-    add = lambda suffix, n, h: out.append((*test.suffixes[suffix], n, rows[hits.doc[h]][0], int(word[h])))
+    add = lambda suffix, n, h: out.append((test.names[test.item[suffix]], int(test.first[suffix]), n, rows[hits.doc[h]][0], int(word[h])))
     if len(hits.full):
         none = len(order)
         length = hits.suffixes.longest(~hits.training, hits.training)
@@ -332,29 +374,33 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema, (n, blocks) = "item_id string, start long, length long, doc_id long, at long", _blocks(benchmark, block_bytes)
     if n == 1:
-        out = texts.mapInArrow(_shards(window, next(blocks), _suffix_matches), schema)
+        out = _pass(texts, next(blocks), window, _suffix_matches, schema)[0]
     else:
         folder = table_path(docs.sparkSession, "decontam-matches")
         for k, block in enumerate(blocks):
-            texts.mapInArrow(_shards(window, block, _suffix_matches), schema).write.parquet(f"{folder}/pass={k}")
+            found, index = _pass(texts, block, window, _suffix_matches, schema)
+            found.write.parquet(f"{folder}/pass={k}")
+            index.destroy()
         out = docs.sparkSession.read.schema(schema).parquet(folder)
     best = F.min_by(F.struct("length", "doc_id", "at"), F.struct(-F.col("length"), F.col("doc_id").isNull(), "doc_id", "at")).alias("m")
     return out.groupBy("item_id", "start").agg(best).select("item_id", "start", "m.length", "m.doc_id", "m.at")
 
 
+_REPORT_TYPE = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long"
+
+
 def _report(frames):
     for f in frames:
         spans, items = f.column(2).to_pylist(), f.column(3).to_pylist()
         n_hit = [sum(b - a for a, b in s) for s in spans]
         yield pa.RecordBatch.from_arrays(
-            [f.column(0), f.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit]), f.column(4)],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
+            [f.column(0), f.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit]), f.column(4), f.column(5)],
+            names=[c.split()[0] for c in _REPORT_TYPE.split(", ")],
         )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-    return contaminated_spans(docs, benchmark, window).mapInArrow(_report, schema)
+    return contaminated_spans(docs, benchmark, window).mapInArrow(_report, _REPORT_TYPE)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -381,7 +427,7 @@ d AS (SELECT id AS doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE k
 hit AS (SELECT doc_id, i, d.n, item_id, k, j FROM (SELECT doc_id, i, n, array_to_string(ws[i:i+n-1], ' ') AS win FROM d, ns WHERE i + n - 1 <= len(ws)) d JOIN t USING (n, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id),
-run AS (SELECT doc_id, max(m) AS longest_match FROM (SELECT doc_id, count(*) + n - 1 AS m FROM (SELECT doc_id, n, k, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, k, n, i - j ORDER BY i) AS island FROM hit) GROUP BY doc_id, n, k, diag, island) GROUP BY doc_id)
-SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0) AS longest_match
+run AS (SELECT doc_id, max(m) AS longest_match, arg_min(p0, -m * 1000000000 + p0) AS longest_at FROM (SELECT doc_id, count(*) + n - 1 AS m, min(i) - 1 AS p0 FROM (SELECT doc_id, n, k, i, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, k, n, i - j ORDER BY i) AS island FROM hit) GROUP BY doc_id, n, k, diag, island) GROUP BY doc_id)
+SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0) AS longest_match, longest_at
 FROM w LEFT JOIN run ON run.doc_id = w.id LEFT JOIN pos ON pos.doc_id = w.id LEFT JOIN it ON it.doc_id = w.id WHERE kind = 'd'
 """
