@@ -141,3 +141,59 @@ POISSON_SQL = "(CASE " + " ".join(f"WHEN {{u}} < {limit} THEN {n}" for n, limit
 def hash_order(key: Column) -> Column:
     """An order that looks random and that any engine can repeat, for deterministic samples."""
     return (key.cast("long") + 1) * 48271 % 2147483647
+
+
+def newton(equations, x: np.ndarray, steps: int = 60, enough: float = 1e-10) -> tuple[np.ndarray, float]:
+    """Damped Newton steps on equations(x) = (values, Jacobian): a step is halved until the values shrink. Returns the point and its largest value."""
+    f, j = equations(x)
+    for _ in range(steps):
+        if np.abs(f).max() <= enough:
+            break
+        step, size = np.linalg.lstsq(j, -f, rcond=None)[0], 1.0
+        while size > 1e-6 and not np.abs(equations(x + size * step)[0]).max() < np.abs(f).max():
+            size /= 2
+        if size <= 1e-6:
+            break
+        x = x + size * step
+        f, j = equations(x)
+    return x, float(np.abs(f).max())
+
+
+def exact_geometry(first: float, second: float, half: float, below: float, above: float, by: float, probes: list[tuple[float, float, float, float]]) -> dict | None:
+    """All moments of two predictions from scores of their blends alone, without a look at the outcomes.
+
+    A score is 100000 (1 - squared error / variance of the outcome). first: of a prediction whose affine form is optimal; second: of the
+    other; half: of their mean; below, above: of the other moved by -by and +by; probes: (weight of the first, weight of the second,
+    shift, score), at least two whose weights do not sum to 1. The shifts give the scale and the other's bias in closed form, the mean
+    gives the covariance of both; what is left, the other's covariance with the outcome and the base rate, solves the probes' equations.
+    Of several solutions the one whose base rate fits the scale best counts. None where no start converges.
+    """
+    scale = (2 * second - above - below) / (2 * by * by)
+    if not scale > 0:
+        return None
+    bias = (below - above) / (4 * scale * by)
+
+    def moments(a: float) -> tuple[float, float]:
+        b22 = 2 * a - second - scale * bias**2
+        return 2 * (first + a - half) - scale * bias**2 / 2 - (first + b22) / 2, b22
+
+    def equations(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (a, rate), values, slopes = x, [], []
+        b12, b22 = moments(a)
+        for u, v, shift, score in probes:
+            off = shift + rate * (u + v - 1) + v * bias
+            values.append(2 * (u * first + v * a) - u * u * first - 2 * u * v * b12 - v * v * b22 - scale * off**2 - score)
+            slopes.append([2 * v * (1 - u - v), -2 * scale * off * (u + v - 1)])
+        return np.array(values), np.array(slopes)
+
+    found = [newton(equations, np.array([second, start])) for start in (0.05, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95)]
+    gap = lambda rate: abs(scale * rate * (1 - rate) - 100000)
+    found = [(gap(x[1]), left, x) for x, left in found if left < 1e-6 and 0 < x[1] < 1]
+    if not found:
+        return None
+    _, left, (a, rate) = min(found, key=lambda f: f[:2])
+    b12, b22 = moments(a)
+    det = first * b22 - b12 * b12
+    feasible = bool(det >= 0 and b22 >= 0 and a * a <= 100000 * b22 and gap(rate) < 1e-2)
+    best = (first * first * b22 - 2 * first * a * b12 + a * a * first) / det if det > 0 else None
+    return {"a1": first, "a2": float(a), "b12": float(b12), "b22": float(b22), "rate": float(rate), "bias": float(bias), "best_score": best and float(best), "residual": left, "feasible": feasible}

@@ -36,6 +36,33 @@ def feasible_region(spark, d):
     return cells.groupBy("a").agg(F.count(F.lit(1)).alias("cells"), F.min("b").alias("low"), F.max("b").alias("high"), F.round(F.min("gain"), 4).alias("least_gain"), F.round(F.max("gain"), 4).alias("most_gain"))
 
 
+_GEOMETRY = "a1 double, a2 double, b12 double, b22 double, rate double, bias double, best_score double, feasible boolean, solved boolean"
+#: Scores that are asked for: weight of the calibrated first prediction, weight of the second, shift.
+_ASKED = {"first": (1, 0, 0), "second": (0, 1, 0), "half": (0.5, 0.5, 0), "below": (0, 1, -0.1), "above": (0, 1, 0.1), "low": (0.4, 0.4, 0), "high": (0.6, 0.7, 0.02), "mixed": (0.9, 0.3, -0.05)}
+
+
+@query("exact_geometry", over(_PRED, """, m AS (SELECT avg(y) AS rate, 100000 / (avg(y) * (1 - avg(y))) AS scale, covar_pop(p, y) AS py, var_pop(p) AS pp, covar_pop(q, y) AS qy, covar_pop(p, q) AS pq, var_pop(q) AS qq, avg(q) AS mq FROM pr)
+  SELECT round(scale * py * py / pp, 3) AS a1, round(scale * qy, 3) AS a2, round(scale * py / pp * pq, 3) AS b12, round(scale * qq, 3) AS b22, round(rate, 6) AS rate, round(mq - rate, 6) AS bias,
+    round(scale * (py * py * qq - 2 * py * qy * pq + qy * qy * pp) / (pp * qq - pq * pq), 3) AS best_score, true AS feasible, true AS solved FROM m"""))
+def exact_geometry(spark, d):
+    """The moments of two predictions solved from eight scores of their blends, equal to those computed from the outcomes; one aggregation makes all scores."""
+    pr = predictions(spark, d)
+    m = pr.agg(F.avg("y").alias("r"), F.avg("p").alias("mp"), (F.covar_pop("p", "y") / F.nullif(F.var_pop("p"), F.lit(0.0))).alias("slope")).first()
+    if m.slope is None or not 0 < m.r < 1:
+        return spark.createDataFrame([], _GEOMETRY)
+    calibrated = F.lit(m.r) + F.lit(m.slope) * (F.col("p") - F.lit(m.mp))
+    # as the gain over the base rate of all rows, which keeps digits
+    square = lambda x: (x - F.col("y")) * (x - F.col("y"))
+    gain = lambda u, v, c: 100000 * F.avg(square(F.lit(m.r)) - square(u * calibrated + v * F.col("q") + c)) / F.lit(m.r * (1 - m.r))
+    s = pr.agg(*[gain(*map(F.lit, map(float, w))).alias(n) for n, w in _ASKED.items()]).first()
+    out = B.exact_geometry(s["first"], s.second, s.half, s.below, s.above, 0.1, [(*_ASKED[n], s[n]) for n in ("low", "high", "mixed")])
+    if out is None:
+        return spark.createDataFrame([], _GEOMETRY)
+    digits = {"rate": 6, "bias": 6}
+    row = [round(out[n], digits.get(n, 3)) for n in ("a1", "a2", "b12", "b22", "rate", "bias", "best_score")]
+    return spark.createDataFrame([(*row, out["feasible"], out["residual"] < 1e-9)], _GEOMETRY)
+
+
 @query("span_stress")
 def span_stress(spark, d):
     """Weights of three directions on the whole, in the box, without one of them, and from every three tenths of the rows; each is scored on the whole.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.blend import DRAW_SQL, PRIME
-from ..sources import io
+from ..sources import arrays, io
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
 
@@ -48,6 +48,16 @@ def bundle_round_trip(spark, d):
     return io.load_bundle(spark, path)[0]["rates"]
 
 
+@query("array_round_trip", over(ITEMS, "SELECT supplier, count(*) AS n, sum(y)::BIGINT AS total FROM items GROUP BY supplier"))
+def array_round_trip(spark, d):
+    """Written as array files, a file for each task, and read in ranges of rows; the member that isn't asked for is never touched."""
+    path = io.scratch(spark, "arrays")
+    rates = items(spark, d).groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.avg("y").alias("rate"))
+    arrays.register(spark)
+    rates.write.format("arrays").mode("append").save(path)
+    return spark.read.format("arrays").option("members", "supplier,n,total").option("rowsPerPartition", 10_000).load(path).drop("row")
+
+
 @query("cache_read_through", over(EVENTS, "SELECT user_id, count(*) AS n, true AS reused FROM ev GROUP BY user_id"))
 def cache_read_through(spark, d):
     """The second call finds the rows unchanged and reads what the first wrote."""
