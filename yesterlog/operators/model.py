@@ -64,6 +64,23 @@ def add_residual(base: Column, residual: Column, cap: float, scale: float) -> Co
     return clip(base + F.lit(scale) * clip(residual, -cap, cap), 0, 1)
 
 
+def residual_family(families: dict[str, object], train: DataFrame, rows: DataFrame, label: str, base: str, keys: list[str], name: str = "p", edge: float = 1e-6) -> DataFrame:
+    """Regressors of label - base, one for each family: base plus each family's effect as a probability off 0 and 1, and the mean of these.
+
+    Every family is fitted on all of train and bounded before the mean, so that one that leaves the unit interval can't outvote the
+    others. Rows without a base get no prediction; rows to learn from need label and base. All families transform one table in turn.
+    """
+    known = train.withColumn("_residual", F.col(label) - F.col(base)).filter("_residual is not null")
+    out = rows
+    for family, estimator in families.items():
+        fitted = estimator.copy({estimator.labelCol: "_residual", estimator.predictionCol: f"_e_{family}"}).fit(known)
+        out = fitted.transform(out)
+    # spelled out, as greatest and least skip nulls
+    member = lambda f: F.when(F.col(base).isNotNull(), clip(F.col(base) + F.col(f"_e_{f}"), edge, 1 - edge))
+    out = out.select(*keys, *[member(f).alias(f) for f in families])
+    return out.withColumn(name, reduce(lambda a, b: a + b, [F.col(f) for f in families]) / len(families))
+
+
 def stack(intercept: float, weights: dict[str, float]) -> Column:
     return clip(sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(intercept)), 0, 1)
 

@@ -61,6 +61,16 @@ def model_perceptron(spark, d):
     return M.averaged([MultilayerPerceptronClassifier(labelCol="y", layers=[len(_FEATURES), 6, 2], maxIter=15, seed=1)], train, rows, ["event_id", "y"])
 
 
+@query("model_residual_family")
+def model_residual_family(spark, d):
+    """Boosted trees, a forest and a line learn what the smoothed rate leaves; each is bounded, then their mean counts."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    families = {"boosted": GBTRegressor(maxIter=4, maxDepth=3, seed=1), "forest": RandomForestRegressor(numTrees=10, maxDepth=4, seed=1), "line": LinearRegression(regParam=0.01)}
+    train, rows = _split(spark, d)
+    return M.residual_family(families, train, rows, "y", "smooth", ["event_id", "y"])
+
+
 @query("model_residual_trees")
 def model_residual_trees(spark, d):
     """Weighted regression trees of y - smooth, bounded and added back; later seasons weigh more."""
