@@ -1,5 +1,6 @@
 """Families of regressors on residuals, against their parts."""
 
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from yesterlog import catalog
-from yesterlog.operators import model
+from yesterlog.operators import model, routed
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,37 @@ def test_query_bounds_and_mean(spark):
     out = catalog.queries()["model_residual_family"](spark, SMALL)
     bad = out.filter((F.abs(F.col("p") - (F.col("boosted") + F.col("forest") + F.col("line")) / 3) > 1e-12) | ~F.col("p").between(1e-6, 1 - 1e-6))
     assert out.count() > 0 and bad.count() == 0
+
+
+def plain_weights(logits, sure, top=2):
+    sure = sure or 0.0
+    best = sorted(range(len(logits)), key=lambda i: (-logits[i], i))[:top]
+    shares = [math.exp(x - max(logits)) if i in best else 0.0 for i, x in enumerate(logits)]
+    return [1 - sure, *[sure * x / sum(shares) for x in shares]] if logits else [1.0]
+
+
+def test_routing(spark):
+    cases = [([1.0, 2.0, 3.0], 0.5), ([0.0, 0.0, 0.0, 0.0], 1.0), ([-900.0, -901.0], 0.9), ([4.0], 0.25), ([1.0, 2.0], None), ([], 0.7)]
+    df = spark.createDataFrame(cases, "logits array<double>, sure double")
+    out = routed.with_weights(df, F.col("logits"), F.col("sure")).select(F.col("weights").alias("w"), *[routed.confidence(F.col("weights"), n).alias(f"c{n}") for n in range(1, 6)])
+    for (logits, sure), r in zip(cases, out.collect(), strict=True):
+        want, got = plain_weights(logits, sure), {s.expert: s.w for s in r.w}
+        assert [got.get(i, 0.0) for i in range(len(want))] == pytest.approx(want) and sum(got.values()) == pytest.approx(1)
+        entropy = -sum(x * math.log(x) for x in want if x)
+        assert r[f"c{len(want)}"] == pytest.approx(1 - entropy / math.log(len(want)) if len(want) > 1 else 1.0, abs=1e-12)
+
+
+def test_experts_learn_their_groups(spark):
+    rng = random.Random(6)
+    rows = [(g, g + rng.gauss(0, 0.1), 0.5 + (0.04 if g == 3 else -0.02), 0.5, 1.0) for g in (1, 3, 9) for _ in range(300)] + [(None, 3.0, 9.0, 0.5, 1.0), (3, 3.0, None, 0.5, 1.0)]
+    train = spark.createDataFrame(rows, "g int, x double, y double, base double, sure double")
+    experts = routed.fit(train, "g", ["x"], "y", "base", F.col("sure"), strength=0.0)
+    assert experts.groups == [1, 3, 9] and experts.effects[0] == 0.0
+    new = spark.createDataFrame([(1, 3.0, 0.5, 1.0), (2, 9.0, 0.5, 1.0), (3, 3.0, 0.5, None), (4, None, 0.5, 1.0), (5, 3.0, None, 1.0)], "id int, x double, base double, sure double")
+    out = {r.id: r for r in experts.apply(new, "base", F.col("sure")).collect()}
+    assert out[1].effect > 0.03 and out[2].effect < -0.015 and out[3].effect == 0.0 and out[3].weights[0].w == 1.0
+    assert out[4].weights[1].expert == 2 and out[5].p is not None
+    none = routed.fit(train.limit(0), "g", ["x"], "y", "base", F.col("sure"))
+    assert {r.effect for r in none.apply(new, "base", F.col("sure")).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        routed.fit(train, "g", ["x"], "y", "base", F.col("sure"), most=2)

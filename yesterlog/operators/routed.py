@@ -1,0 +1,89 @@
+"""Sparse routing of rows to experts, as column expressions: no row leaves the JVM.
+
+A row's logits become a softmax of which the `top` largest shares stay and are scaled to one; the less reliable a row, the more of its
+weight goes to the neutral expert, number 0. A row's effect is the weighted mean of its experts' effects, bounded, and scaled by how
+sure the routing is: one less the entropy of its weights over the largest possible.
+
+Experts are groups of the rows to learn from: their centres give the logits (less squared distance), and a weighted and shrunk mean
+residual their effects, from two aggregations whose size is the number of experts. The neutral expert has no effect.
+
+Defined results: of equal logits the lower number counts; a null feature is the mean of all centres; a null reliability is 0; rows to
+learn from without group, label or base are left out; without any of them there is the neutral expert alone, and every effect is 0.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def with_weights(rows: DataFrame, logits: Column, reliability: Column, top: int = 2) -> DataFrame:
+    """Adds `weights`, structs of expert (0: the neutral one) and w, for the neutral expert and then the nearest ones.
+
+    Few entries a row, whatever the number of experts; what a lambda uses is cheap, as Spark evaluates it for each element.
+    """
+    order = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("x"), (i + 1).alias("expert"))))
+    out = rows.withColumn("_best", F.slice(order, 1, top))
+    out = out.withColumn("_least", F.get("_best", F.lit(0))["x"]).withColumn("_total", F.aggregate("_best", F.lit(0.0), lambda a, s: a + F.exp(F.get("_best", F.lit(0))["x"] - s["x"])))
+    sure = F.coalesce(reliability, F.lit(0.0))
+    entry = lambda e, w: F.struct(e.cast("int").alias("expert"), w.alias("w"))
+    each = F.transform("_best", lambda s: entry(s["expert"], sure * F.exp(F.col("_least") - s["x"]) / F.col("_total")))
+    neutral = F.array(entry(F.lit(0), F.when(F.size("_best") > 0, 1 - sure).otherwise(1.0)))
+    return out.withColumn("weights", F.concat(neutral, each)).drop("_best", "_least", "_total")
+
+
+def confidence(w: Column, experts: int) -> Column:
+    """1 for one expert, 0 for equal weights of all experts, the neutral one included."""
+    entropy = -F.aggregate(w, F.lit(0.0), lambda a, x: a + F.when(x["w"] > 0, x["w"] * F.ln(x["w"])).otherwise(0.0))
+    return F.greatest(F.lit(0.0), 1 - entropy / math.log(experts)) if experts > 1 else F.lit(1.0)
+
+
+@dataclass
+class Experts:
+    """Groups with their centres, in ascending order, and effects, the neutral expert's 0 first. One number for each group and feature."""
+
+    features: list[str]
+    groups: list
+    centres: list[list[float]]
+    effects: list[float]
+    top: int
+    bound: float
+
+    def route(self, rows: DataFrame, reliability: Column) -> DataFrame:
+        """Adds weights; the row's features are one column, so that centres are compared by one small function."""
+        if not self.groups:
+            return with_weights(rows, F.array().cast("array<double>"), reliability, self.top)
+        middle = [sum(c[j] for c in self.centres) / len(self.centres) for j in range(len(self.features))]
+        x = [F.coalesce(F.col(f).cast("double"), F.lit(m)) for f, m in zip(self.features, middle, strict=True)]
+        square = lambda a, b: (a - b) * (a - b)
+        far = lambda c: F.aggregate(F.zip_with("_row", c, square), F.lit(0.0), lambda a, d: a + d)
+        centres = F.from_json(F.lit(json.dumps(self.centres)), "array<array<double>>")
+        return with_weights(rows.withColumn("_row", F.array(*x)), F.transform(centres, lambda c: -F.round(far(c), 9)), reliability, self.top).drop("_row")
+
+    def apply(self, rows: DataFrame, base: str, reliability: Column, name: str = "p") -> DataFrame:
+        """Adds weights, confidence, effect and the base moved by the effect, as a probability."""
+        effects = F.from_json(F.lit(json.dumps(self.effects)), "array<double>")
+        mean = F.aggregate("weights", F.lit(0.0), lambda a, s: a + s["w"] * F.get(effects, s["expert"]))
+        out = self.route(rows, reliability).withColumn("confidence", confidence(F.col("weights"), len(self.effects))).withColumn("_mean", mean)
+        moved = F.greatest(F.lit(-self.bound), F.least(F.lit(self.bound), F.col("_mean"))) * (0.5 + 0.5 * F.col("confidence"))
+        return out.withColumn("effect", moved).withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(base) + F.col("effect")))).drop("_mean")
+
+
+def fit(train: DataFrame, group: str, features: list[str], label: str, base: str, reliability: Column, strength: float = 200.0, top: int = 2, bound: float = 0.05, most: int = 256) -> Experts:
+    """Experts for the groups of train; more than `most` groups are refused, as the experts travel with the plan."""
+    known = train.filter(F.col(group).isNotNull() & F.col(label).isNotNull() & F.col(base).isNotNull())
+    centres = known.groupBy(group).agg(*[F.round(F.avg(f), 6).alias(f"c{j}") for j, f in enumerate(features)]).orderBy(group).limit(most + 1).collect()
+    if len(centres) > most:
+        raise ValueError(f"more than {most} groups in {group}")
+    plain = [[c[f"c{j}"] or 0.0 for j in range(len(features))] for c in centres]
+    out = Experts(features, [c[group] for c in centres], plain, [0.0] * (len(centres) + 1), top, bound)
+    if centres:
+        shares = out.route(known, reliability).select(F.inline("weights"), (F.col(label) - F.col(base)).alias("e")).filter("w > 0 and expert > 0")
+        sums = shares.groupBy("expert").agg((F.sum(F.col("w") * F.col("e")) / (F.sum("w") + strength)).alias("effect")).collect()
+        for s in sums:
+            out.effects[s.expert] = s.effect
+    return out
