@@ -10,11 +10,9 @@ from ..functions.expr import eb, logit
 from ..operators import contract as C
 from ..operators import factors
 from ..operators import model as M
-from ..operators import routed
 from ..operators.component import Registry
 from ..sources.io import keep
 from .features import _FORM, form
-from .scoring import _PRED, predictions
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
 _FEATURES = ["n", "smooth", "r1", "r3", "r5", "balls", "strikes", "outs", "hand", "k"]
@@ -63,23 +61,6 @@ def model_perceptron(spark, d):
     return M.averaged([MultilayerPerceptronClassifier(labelCol="y", layers=[len(_FEATURES), 6, 2], maxIter=15, seed=1)], train, rows, ["event_id", "y"])
 
 
-@query("routed_experts", over(_PRED, """, x AS (SELECT event_id, season, k, y, p, n / (n + 20.0::DOUBLE) AS sure, ln(1 + n) AS x0, k / 5.0::DOUBLE AS x1, 20 * q AS x2 FROM pr),
-  c AS (SELECT k AS g, row_number() OVER (ORDER BY k) AS expert, round(avg(x0), 6) AS c0, round(avg(x1), 6) AS c1, round(avg(x2), 6) AS c2 FROM x WHERE season < 4 AND k IS NOT NULL GROUP BY k), m AS (SELECT count(*) + 1 AS experts FROM c),
-  l AS (SELECT x.*, expert, -round((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1) + (x2 - c2) * (x2 - c2), 9) AS logit FROM x, c), t AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY logit DESC, expert) AS place FROM l),
-  w AS (SELECT *, sure * exp(logit) / sum(exp(logit)) OVER (PARTITION BY event_id) AS w FROM t WHERE place <= 2), e AS (SELECT expert, sum(w * (y - p)) / (sum(w) + 200) AS effect FROM w WHERE season < 4 AND w > 0 GROUP BY expert),
-  o AS (SELECT event_id, max(p) AS p, max(CASE WHEN place = 1 THEN expert END) AS first_expert, sum(w * coalesce(effect, 0)) AS mean, max(experts) AS experts,
-      sum(CASE WHEN w > 0 THEN -w * ln(w) ELSE 0 END) - CASE WHEN max(sure) < 1 THEN (1 - max(sure)) * ln(1 - max(sure)) ELSE 0 END AS entropy FROM w LEFT JOIN e USING (expert), m WHERE season >= 4 GROUP BY event_id),
-  f AS (SELECT *, greatest(0, 1 - entropy / ln(experts)) AS confidence, greatest(-0.05::DOUBLE, least(0.05::DOUBLE, mean)) * (0.5::DOUBLE + 0.5::DOUBLE * greatest(0, 1 - entropy / ln(experts))) AS effect FROM o)
-  SELECT event_id, first_expert, round(confidence, 6) AS confidence, round(effect, 8) AS effect, round(greatest(0, least(1, p + effect)), 7) AS p FROM f"""))
-def routed_experts(spark, d):
-    """One expert for each k, learned from the first seasons; a later event goes to its two nearest, and as far as its user is unknown to the neutral one."""
-    x = predictions(spark, d).withColumns({"x0": F.ln(1 + F.col("n")), "x1": F.col("k") / F.lit(5.0), "x2": 20 * F.col("q"), "sure": F.col("n") / (F.col("n") + F.lit(20.0))})
-    experts = routed.fit(x.filter("season < 4"), "k", ["x0", "x1", "x2"], "y", "p", F.col("sure"))
-    out = experts.apply(x.filter("season >= 4").withColumnRenamed("p", "base"), "base", F.col("sure"))
-    nearest = F.get("weights", F.lit(1))["expert"].cast("long")
-    return out.select("event_id", nearest.alias("first_expert"), F.round("confidence", 6).alias("confidence"), F.round("effect", 8).alias("effect"), F.round("p", 7).alias("p"))
-
-
 @query("model_residual_family")
 def model_residual_family(spark, d):
     """Boosted trees, a forest and a line learn what the smoothed rate leaves; each is bounded, then their mean counts."""
