@@ -62,3 +62,15 @@ def test_rounding_is_sparks(spark):
     x = [1 / 1024, 3 / 2048, 0.1234567895, 1e-10, 0.0, 1.0, 0.9999999995, 5e-10, *np.random.default_rng(1).random(500).tolist()]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").selectExpr("round(x, 9)").collect()]
     assert tiles.rounded(np.array(x), 9).tolist() == want
+
+
+def test_votes_by_classes_equal_the_join(spark, shares):
+    left, right = shares
+    met = left.select("a", "block", "season").distinct().join(right.select("b", "block", "season").distinct(), ["block", "season"])
+    rows = {}
+    for r in met.groupBy("a", "b").count().collect():
+        rows.setdefault(r.a, []).append((-r["count"], r.b))
+    want = [(a, min(v)[1], -min(v)[0], -sum(n for n, _ in v)) for a, v in rows.items()]
+    got = match.most_votes(left, right, "a", "b", ["block"], "season")
+    assert values(got) == sorted(want)
+    assert "size(array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()
