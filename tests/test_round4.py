@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from yesterlog.operators import match, tiles
+from yesterlog.streaming import sessions
 
 
 def values(df):
@@ -74,3 +75,41 @@ def test_votes_by_classes_equal_the_join(spark, shares):
     got = match.most_votes(left, right, "a", "b", ["block"], "season")
     assert values(got) == sorted(want)
     assert "size(array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_reads_and_writes_a_keys_state_once():
+    """However many sessions close in it."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        state = State()
+
+        def getValueState(self, name, schema):
+            return self.state
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    s = sessions.Sessions(10, 10**6)
+    s.init(Handle())
+    for turn in range(2):
+        f = pd.DataFrame({"event": range(50), "us": [turn * 5000 + 100 * i for i in range(50)], "y": [1] * 50})
+        out = pd.concat(s.handleInputRows((3,), iter([f]), None))
+        assert len(out) == 49 + turn and out["n_before"].tolist() == list(range(50 * turn - turn, 99 * turn + 49 * (1 - turn)))
+    assert calls == ["get", "register", "update", "get", "delete", "register", "update"]

@@ -1,10 +1,11 @@
-"""Sessions kept online: composite state of a key (running totals, the open session, a ring of closed ones, timers)."""
+"""Sessions kept online: composite state of a key (running totals, the open session, a ring of closed ones, its timer)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ def rocksdb(spark: SparkSession):
 class Sessions(StatefulProcessor):
     """Closes a session when an event comes more than `gap` microseconds after the last one, or when the watermark says that none will.
 
-    totals: n and y of all closed sessions, and their number. open: first and last time, first event, n, y of the open session.
-    timer: when the key wakes next, and its last event's time. ring: n and y of the last RING closed sessions. After `expiry` microseconds without an event all state of the key goes,
+    A key's state is one value, read once and written once in a batch however many sessions close in it: number, n and y of all closed
+    sessions; n and y of the last RING of them, in turn; first and last time, first event, n, y of the open session (null without one);
+    when the key wakes next, and its last event's time. After `expiry` microseconds without an event all state of the key goes,
     and a later event begins anew.
     """
 
@@ -41,67 +43,71 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "sessions long, n long, y long")
-        self.open = handle.getValueState("open", "since long, last long, first_event long, n long, y long")
-        self.ring = handle.getListState("ring", "n long, y long")
-        self.timer = handle.getValueState("timer", "at long, last long")
+        self.state = handle.getValueState("state", "sessions long, n long, y long, ring array<long>, open array<long>, at long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("event")
-        pieces = f.groupby((f["us"].diff() > self.gap).cumsum()).agg(since=("us", "min"), last=("us", "max"), begin=("us", "first"), first_event=("event", "first"), n=("event", "size"), y=("y", "sum"))
-        now, out = self.open.get() if self.open.exists() else None, []
-        last = self.timer.get()[1] if self.timer.exists() else None
-        for p in pieces.astype("int64").itertuples():
-            if now is not None and p.begin - now[1] > self.gap:
-                out.append(self._close(now))
+        parts = [(f["event"].to_numpy(), f["us"].to_numpy(), f["y"].to_numpy()) for f in rows]
+        event, us, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(event, kind="stable")
+        event, us, y = event[order], us[order], y[order]
+        begins = np.append(0, np.flatnonzero(np.diff(us) > self.gap) + 1)
+        pieces = [np.minimum.reduceat(us, begins), np.maximum.reduceat(us, begins), us[begins], event[begins], np.diff(np.append(begins, len(us))), np.add.reduceat(y, begins)]
+        closed, ring, now, at, last = self._read(self.state.get())
+        out = []
+        for since, latest, begin, first_event, n, of in zip(*(c.tolist() for c in pieces), strict=True):
+            if now is not None and begin - now[1] > self.gap:
+                out.append(self._close(now, closed, ring))
                 now = None
-            if last is not None and p.begin - last > self.expiry:  # the same whether or not the timer came before the event
-                self.totals.clear()
-                self.ring.clear()
-            last = p.last
+            if last is not None and begin - last > self.expiry:  # the same whether or not the timer came before the event
+                closed[:], ring[:] = [0, 0, 0], []
+            last = latest
             # what a batch splits goes on: times, counts and the first event are those of the whole session
-            now = (p.since, p.last, p.first_event, p.n, p.y) if now is None else (min(now[0], p.since), max(now[1], p.last), now[2], now[3] + p.n, now[4] + p.y)
-        self.open.update(now)
-        self._wake((now[1] + self.gap) // 1000 + 1, now[1])
-        yield self._frame(key, out)
+            now = [since, latest, first_event, n, of] if now is None else [min(now[0], since), max(now[1], latest), now[2], now[3] + n, now[4] + of]
+        self._wake(closed, ring, now, at, (now[1] + self.gap) // 1000 + 1, now[1])
+        yield from self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed, ring, now, at, _ = self._read(self.state.get())
         out = []
-        if self.open.exists():
-            now = self.open.get()
-            out.append(self._close(now))
-            self.open.clear()
-            self._wake((now[1] + self.expiry) // 1000 + 1, now[1])
+        if now is not None:
+            out.append(self._close(now, closed, ring))
+            self._wake(closed, ring, None, at, (now[1] + self.expiry) // 1000 + 1, now[1])
         else:
-            for state in (self.totals, self.ring, self.timer):
-                state.clear()
-        yield self._frame(key, out)
+            self.state.clear()
+        yield from self._frame(key, out)
 
     def close(self) -> None:
         pass
 
-    def _wake(self, at: int, last: int) -> None:
-        """A key has one timer at a time."""
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+    @staticmethod
+    def _read(state: tuple | None) -> tuple:
+        if state is None:
+            return [0, 0, 0], [], None, None, None
+        return list(state[:3]), list(state[3]), None if state[4] is None else list(state[4]), state[5], state[6]
+
+    def _wake(self, closed: list, ring: list, now: list | None, before: int | None, at: int, last: int) -> None:
+        """Writes the state. A key has one timer at a time."""
+        if before is not None:
+            self.handle.deleteTimer(before)
         self.handle.registerTimer(at)
-        self.timer.update((at, last))
+        self.state.update((*closed, ring, now, at, last))
 
-    def _close(self, now: tuple) -> tuple:
+    @staticmethod
+    def _close(now: list, closed: list, ring: list) -> tuple:
         since, last, first_event, n, y = now
-        sessions, n_before, y_before = self.totals.get() if self.totals.exists() else (0, 0, 0)
-        ring = [tuple(x) for x in self.ring.get()] if self.ring.exists() else []
-        full = len(ring) == RING
-        self.totals.update((sessions + 1, n_before + n, y_before + y))
-        self.ring.put([*ring, (n, y)][-RING:])
-        return sessions + 1, first_event, n, y, last - since, n_before, y_before, sum(x[0] for x in ring) if full else None, sum(x[1] for x in ring) if full else None
+        sessions, n_before, y_before = closed
+        full = len(ring) == 2 * RING
+        out = sessions + 1, first_event, n, y, last - since, n_before, y_before, sum(ring[::2]) if full else None, sum(ring[1::2]) if full else None
+        closed[:], ring[:] = [sessions + 1, n_before + n, y_before + y], [*ring, n, y][-2 * RING :]
+        return out
 
     @staticmethod
-    def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in CLOSED.split(", ")]
-        out = pd.DataFrame(rows, columns=names).astype("Int64")
-        out.insert(0, "key", pd.Series([key[0]] * len(out), dtype="int64"))
-        return out
+    def _frame(key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            names = [c.split()[0] for c in CLOSED.split(", ")]
+            columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+            known = {c: pd.array(v, dtype="Int64") if c.endswith("_last") else np.array(v, dtype=np.int64) for c, v in columns.items()}
+            yield pd.DataFrame({"key": np.full(len(rows), key[0], dtype=np.int64), **known})
 
 
 def closed_sessions(stream: DataFrame, key: str, event: str, y: str, time: str, gap: int, expiry: int) -> DataFrame:
