@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from yesterlog.operators import match, tiles
+from yesterlog.operators import factors, match, tiles
+from yesterlog.sources import io
 from yesterlog.streaming import sessions
 
 
@@ -113,3 +114,14 @@ def test_a_batch_reads_and_writes_a_keys_state_once():
         out = pd.concat(s.handleInputRows((3,), iter([f]), None))
         assert len(out) == 49 + turn and out["n_before"].tolist() == list(range(50 * turn - turn, 99 * turn + 49 * (1 - turn)))
     assert calls == ["get", "register", "update", "get", "delete", "register", "update"]
+
+
+def test_bucketed_pairs_stay_where_they_are(spark):
+    rng = random.Random(2)
+    pairs = spark.createDataFrame([(rng.randrange(20), rng.randrange(99), rng.random(), 1.0) for _ in range(900)], "x int, y int, _v double, _w double")
+    known = io.bucketed(pairs.repartition(3, "y"), "y", "test-pairs", 3)
+    for key, other in (("x", "y"), ("y", "x")):
+        plan = factors._solve(known, key, other, io.keep(factors._start(known, other, 2), "test-side"), 0.5, 2, 1.0)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [s for s in plan.splitlines() if "Exchange hashpartitioning" in s]
+        assert len(shuffles) == (key == "x")  # of sums in each bucket; none where pairs are grouped by their bucket's key
+    assert io.buckets(0) == 1 and io.buckets(10**6) == 4 and io.buckets(36 * 10**6) == 32 and io.buckets(10**9) == 125

@@ -2,8 +2,10 @@
 
 value ~ mean + bias(a) + bias(b) + left(a) . right(b). A round solves all left entities' biases and factors together, then all right
 ones'. An entity's normal equations are one aggregate of packed sums (rank + 1 of them squared, halved); tasks solve them in batches by
-Cholesky factors. Pairs are joined with one side's table at a time, so both sides may be of any size. Each half step finds the least
-penalised loss for its side, so the loss never rises.
+Cholesky factors. Pairs are joined with one side's table at a time, so both sides may be of any size. They lie in buckets of b, which
+should be the side with more entities: its equations are summed where they lie, those of a in each bucket first, and a side of at most
+SENT entities is sent to them, so that pairs are shuffled once, not in each round. Each half step finds the least penalised loss for its
+side, so the loss never rises.
 
 Defined results: pairs that occur several times count each; pairs with a null id, value or weight, or a weight not over 0, are left
 out; starting factors come from a hash of the id; an empty table gives empty sides.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import forget, keep
+from ..sources.io import bucketed, buckets, forget, keep, sent_if_small
 
 
 @dataclass
@@ -40,7 +42,7 @@ def _solve(pairs: DataFrame, key: str, other: str, side: DataFrame, mean: float,
     terms = [F.lit(1.0), *[F.col("factors")[k] for k in range(rank)]]
     w, rest = F.col("_w"), F.col("_v") - F.lit(mean) - F.col("bias")
     square = [F.sum(w * terms[i] * terms[j]) for i in range(d) for j in range(i, d)]
-    sums = pairs.join(side, other).groupBy(key).agg(F.array(*square, *[F.sum(w * t * rest) for t in terms]).alias("sums"))
+    sums = pairs.join(sent_if_small(side), other).groupBy(key).agg(F.array(*square, *[F.sum(w * t * rest) for t in terms]).alias("sums"))
     kind = dict(pairs.dtypes)[key]
     upper = np.triu_indices(d)
 
@@ -62,7 +64,8 @@ def _solve(pairs: DataFrame, key: str, other: str, side: DataFrame, mean: float,
 
 def fit(pairs: DataFrame, a: str, b: str, value: str, weight: str, rank: int, rounds: int, penalty: float) -> Factors:
     known = pairs.select(a, b, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).na.drop().filter("_w > 0")
-    known = keep(known, "factor-pairs")
+    n = buckets(pairs.count())
+    known = bucketed(known.repartition(n, b), b, "factor-pairs", n)
     mean = known.agg(F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).first()[0] or 0.0
     left, right = None, keep(_start(known, b, rank), "factor-right")
     for _ in range(rounds):
@@ -82,7 +85,7 @@ def _product(x: Column, y: Column) -> Column:
 def predicted(pairs: DataFrame, a: str, b: str, f: Factors, name: str = "p") -> DataFrame:
     """Adds the prediction of each pair; a side that wasn't seen counts as 0."""
     sides = [t.select(k, F.col("bias").alias(f"_bias{i}"), F.col("factors").alias(f"_factors{i}")) for i, (t, k) in enumerate(((f.left, a), (f.right, b)))]
-    both = pairs.join(sides[0], a, "left").join(sides[1], b, "left")
+    both = pairs.join(sent_if_small(sides[0]), a, "left").join(sent_if_small(sides[1]), b, "left")
     p = F.lit(f.mean) + F.coalesce("_bias0", F.lit(0.0)) + F.coalesce("_bias1", F.lit(0.0)) + F.coalesce(_product(F.col("_factors0"), F.col("_factors1")), F.lit(0.0))
     return both.select(*pairs.columns, p.alias(name))
 

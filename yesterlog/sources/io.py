@@ -40,6 +40,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def buckets(rows: int) -> int:
+    """Buckets for a table of so many rows: 32 for most, fewer for a small one, more so that none has over eight million."""
+    return max(1, min(-(-rows // 250_000), max(32, -(-rows // 8_000_000))))
+
+
+def bucketed(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
+    """Writes df, whose rows lie by repartition(n, key), as n buckets; joins and groups by key over it need no shuffle of its rows."""
+    path = scratch(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+#: Rows of a side of a join that is sent to all executors.
+SENT = 1_000_000
+
+
+def sent_if_small(side: DataFrame) -> DataFrame:
+    """A written table for a join, sent to all executors if it has at most SENT rows, so that the other side stays where it is."""
+    return F.broadcast(side) if side.count() <= SENT else side
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that `keep` wrote, once no later step reads it."""
     spark = df.sparkSession
