@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import clip
+from ..sources.io import keep, sent_if_small
 
 
 def assemble(df: DataFrame, features: list[str], missing: float = -1.0) -> DataFrame:
@@ -132,25 +133,30 @@ def low_rank_by(cells: DataFrame, part: str, entity: str, columns: list[str], ra
 
 
 def without_bias(pairs: DataFrame, a: str, b: str, value: str, weight: str, strength: float) -> DataFrame:
-    """The pairs less the weighted mean of all, then each a's, then each b's; the sides' means are drawn to 0 by `strength`."""
+    """The pairs less the weighted mean of all, then each a's, then each b's; the sides' means are drawn to 0 by `strength`.
+
+    A small a is sent to the pairs; pairs in buckets of b then stay where they are.
+    """
     whole = pairs.agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("_mean"))
     out = pairs.crossJoin(F.broadcast(whole)).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
     for side in (a, b):
         bias = out.groupBy(side).agg((F.sum(F.col(weight) * F.col(value)) / (F.sum(weight) + F.lit(strength))).alias("_bias"))
-        out = out.join(bias, side).withColumn(value, F.col(value) - F.col("_bias")).drop("_bias")
+        out = out.join(bias if side == b else sent_if_small(keep(bias, "bias")), side).withColumn(value, F.col(value) - F.col("_bias")).drop("_bias")
     return out
 
 
 def weighted_als(pairs: DataFrame, a: str, b: str, value: str, weight: str, rounds: int, penalty: float, keep) -> tuple[DataFrame, DataFrame]:
     """Factors of rank 2 of a weighted pair table, by alternating normal equations: one groupBy a side and round.
 
-    Each entity's equations are three sums and two, solved in closed form; keep(df, name) writes each side's factors.
+    Each entity's equations are three sums and two, solved in closed form; keep(df, name) writes each side's factors. A side of at most
+    SENT entities is sent to the pairs. Of pairs in buckets of b (the side with more entities) none is shuffled then: equations of b are
+    summed where they lie, those of a are summed in each bucket first.
     """
     start = F.pmod(F.xxhash64(F.col(b)), F.lit(1000)) / 1000 - 0.5
     right = keep(pairs.select(b).distinct().select(b, start.alias("x"), (F.pmod(F.xxhash64(F.col(b), F.lit(1)), F.lit(1000)) / 1000 - 0.5).alias("y")), "als-start")
 
     def solve(key: str, other: str, factors: DataFrame) -> DataFrame:
-        j = pairs.join(factors, other)
+        j = pairs.join(sent_if_small(factors), other)
         w, x, y, v = F.col(weight), F.col("x"), F.col("y"), F.col(value)
         s = j.groupBy(key).agg(F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy"), F.sum(w * y * y).alias("yy"), F.sum(w * x * v).alias("bx"), F.sum(w * y * v).alias("by"))
         p, q, r = F.col("xx") + F.lit(penalty), F.col("xy"), F.col("yy") + F.lit(penalty)

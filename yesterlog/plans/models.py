@@ -11,7 +11,7 @@ from ..operators import contract as C
 from ..operators import factors
 from ..operators import model as M
 from ..operators.component import Registry
-from ..sources.io import keep
+from ..sources.io import bucketed, buckets, keep
 from .features import _FORM, form
 from .registry import EVENTS, ITEMS, events, items, over, query, table
 
@@ -149,19 +149,27 @@ def low_rank_effect(spark, d):
     return M.low_rank(wide, "supplier", [f"c{j}" for j in range(24)], 4)
 
 
+def _rates(spark, d, value, name):
+    """The mean v and the number w of each supplier and part, in buckets of the part, and how many buckets."""
+    rows = items(spark, d)
+    n = buckets(rows.count())
+    pairs = rows.repartition(n, "part").groupBy("supplier", "part").agg(F.avg(value).alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+    return bucketed(pairs, "part", name, n), n
+
+
 @query("pair_factors")
 def pair_factors(spark, d):
     """Factors of supplier-part residuals, without the biases of both sides, by twelve rounds of weighted alternating least squares on the aggregated pairs."""
-    pairs = items(spark, d).groupBy("supplier", "part").agg(F.avg(F.col("y") - F.lit(0.5)).alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-    left, _ = M.weighted_als(keep(M.without_bias(keep(pairs, "als-means"), "supplier", "part", "v", "w", 200.0), "als-pairs"), "supplier", "part", "v", "w", 12, 0.5, keep)
+    pairs, n = _rates(spark, d, F.col("y") - F.lit(0.5), "als-means")
+    rest = bucketed(M.without_bias(pairs, "supplier", "part", "v", "w", 200.0), "part", "als-pairs", n)
+    left, _ = M.weighted_als(rest, "supplier", "part", "v", "w", 12, 0.5, keep)
     return left
 
 
 @query("pair_factors_ranked")
 def pair_factors_ranked(spark, d):
     """Supplier-part rates by factors of rank 4 and biases of both sides, six rounds; each aggregated pair with its prediction."""
-    pairs = items(spark, d).groupBy("supplier", "part").agg(F.avg("y").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-    pairs = keep(pairs, "factor-rates")
+    pairs, _ = _rates(spark, d, F.col("y"), "factor-rates")
     return factors.predicted(pairs, "supplier", "part", factors.fit(pairs, "supplier", "part", "v", "w", 4, 6, 5.0))
 
 
