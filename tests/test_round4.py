@@ -125,3 +125,11 @@ def test_bucketed_pairs_stay_where_they_are(spark):
         shuffles = [s for s in plan.splitlines() if "Exchange hashpartitioning" in s]
         assert len(shuffles) == (key == "x")  # of sums in each bucket; none where pairs are grouped by their bucket's key
     assert io.buckets(0) == 1 and io.buckets(10**6) == 4 and io.buckets(36 * 10**6) == 32 and io.buckets(10**9) == 125
+
+
+@pytest.mark.parametrize("few", [2, 64])
+def test_peeling_from_lists_equals_peeling_pairs(sides, packed, few):
+    steps = [(0.5, 0.05), (1.0, 0.0)]
+    joined = io.keep(match.half_l1(*sides, "a", "b", ["block", "season", "kind"]), "test-pairs")
+    want = values(match.peel(joined, "a", "b", steps, io.keep))
+    assert values(tiles.peel(*packed, "a", "b", steps, few, 8)) == want and len(want) > 20
