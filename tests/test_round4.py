@@ -133,3 +133,14 @@ def test_peeling_from_lists_equals_peeling_pairs(sides, packed, few):
     joined = io.keep(match.half_l1(*sides, "a", "b", ["block", "season", "kind"]), "test-pairs")
     want = values(match.peel(joined, "a", "b", steps, io.keep))
     assert values(tiles.peel(*packed, "a", "b", steps, few, 8)) == want and len(want) > 20
+
+
+def test_near_copies_hold_few_rows_at_once(spark, monkeypatch):
+    """Batches to Python are small while the stage runs, and as before afterwards."""
+    from yesterlog.llm import near_copies
+
+    seen, name, cut = [], "spark.sql.execution.arrow.maxRecordsPerBatch", near_copies.cut
+    monkeypatch.setattr(near_copies, "cut", lambda df, n: seen.append(int(spark.conf.get(name))) or cut(df, n))
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 2}") for i in range(4)], "doc_id long, text string")
+    assert {r.root for r in near_copies.near_copies(docs).collect()} and set(seen) == {near_copies.BATCH} and spark.conf.get(name) == before
