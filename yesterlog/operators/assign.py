@@ -1,16 +1,20 @@
-"""Optimal one-to-one assignment by auction: as many pairs as possible, of the least summed distance, with a dual bound as certificate.
+"""Optimal one-to-one assignment: as many pairs as possible, of the least summed distance, with a dual bound as certificate.
 
-The problem is doubled so that every side is matched in full: persons are all a and a mirror of all b, objects all b and a mirror
-of all a. A pair (a, b) is worth bonus + most - distance both ways, and each entity may take its own mirror for nothing. The bonus
-is over the summed distances of a block, so one more pair always counts for more. Both ways give an assignment; the better one stays.
+A block (pairs of different blocks share no entity) of at most `part` entities is solved by one task, by shortest augmenting paths
+in a dense matrix: a path starts at any entity that is free and ends at the nearest free one of the other side, so after each path
+the pairs so far are the best of their number. Entities may stand for classes of equal ones: then a path carries as many units as
+all its classes have, and work and memory grow with the classes, whatever their sizes. `gap` is how far the total may lie over the
+dual bound of the final potentials; it is infinite if the pairs were fewer than a cover of the block.
 
-Persons bid for the object of the best value less price, and raise its price by the lead over the second best plus epsilon, which
-falls by FALL from phase to phase; prices stay. A block (pairs of different blocks share no entity) of at most `part` persons is
-auctioned by one task from the first epsilon to the last. A larger one is dealt into parts: tasks bid for their own persons against
-prices as of the last round, the highest bid for an object wins (a group by object and max_by), and who was outbid bids again in the
-next round, until no person is free and the next phase begins. Prices and owners are written after each round.
+A larger block is auctioned between its entities. The problem is doubled so that every side is matched in full: persons are all a
+and a mirror of all b, objects all b and a mirror of all a. A pair (a, b) is worth bonus + most - distance both ways, and each
+entity may take its own mirror for nothing. The bonus is over the summed distances of a block, so one more pair always counts for
+more. Both ways give an assignment; the better one stays. Persons bid for the object of the best value less price, and raise its
+price by the lead over the second best plus epsilon, which falls by FALL from phase to phase; prices stay. Tasks bid for their own
+persons against prices as of the last round, the highest bid for an object wins (a group by object and max_by), and who was outbid
+bids again in the next round, until no person is free and the next phase begins. Prices and owners are written after each round.
 
-Certificate: for any prices the sum of all prices and of each person's best value less price is at least twice the best total;
+Certificate of the auction: for any prices the sum of all prices and of each person's best value less price is at least twice the best total;
 `gap` is how far a block's total may lie under it, at most `tolerance` for each of its persons and less if the bound is tight.
 
 Defined results: pairs that occur several times count with their least distance; null ids or distances are left out; an empty table
@@ -27,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import forget, keep
+from .ranked import running
 
-PART, FALL = 2048, 6.0
-#: Bids of a task in a round at most, where a block is dealt to several tasks.
+PART, FALL = 4096, 6.0
+#: Bids of a task in a round at most.
 BIDS = 200_000
 _STATE = "block long, object long, price double, owner long"
 _NAMES = ["block", "object", "price", "owner"]
@@ -57,14 +62,11 @@ class _Auction:
         mine = (owner >= 0) & (self.persons[np.minimum(row, len(self.persons) - 1)] == owner)
         self.holder[place[mine]] = row[mine]
 
-    def release(self):
-        self.holder[:] = -1
-
-    def bid(self, epsilon: float, most: int | None = None):
+    def bid(self, epsilon: float, most: int):
         holds = np.zeros(len(self.persons), dtype=bool)
         holds[self.holder[self.holder >= 0]] = True
         free = np.flatnonzero(~holds).tolist()
-        while free and most != 0:
+        while free and most:
             i = free.pop()
             at, value = self.choices[i]
             net = value - self.price[at]
@@ -77,21 +79,16 @@ class _Auction:
                 free.append(int(self.holder[at[k]]))
             self.holder[at[k]] = i
             self.changed[at[k]] = True
-            most = most and most - 1
+            most -= 1
 
 
-def _bids(epsilon: float | None, last: float):
-    """Rows sorted by block, part, person in; changed objects of each block and part out. Without epsilon all phases run."""
+def _bids(epsilon: float):
+    """Rows sorted by block, part, person in; changed objects of each block and part out."""
 
     def solved(rows: list[np.ndarray]):
         block, _, person, obj, value, price, owner = rows
         a = _Auction(person, obj, value, price, owner)
-        if epsilon is None:
-            for e in _epsilons(value.max(), last):
-                a.release()
-                a.bid(e)
-        else:
-            a.bid(epsilon, BIDS)
+        a.bid(epsilon, BIDS)
         at = np.flatnonzero(a.changed)
         taken = a.holder[at]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([np.full(len(at), block[0]), a.objects[at], a.price[at], np.where(taken >= 0, a.persons[taken], -1)], _TYPES, strict=True)], names=_NAMES)
@@ -112,16 +109,14 @@ def _bids(epsilon: float | None, last: float):
     return run
 
 
-def _round(edges: DataFrame, state: DataFrame | None, epsilon: float | None, last: float) -> DataFrame:
+def _round(edges: DataFrame, state: DataFrame | None, epsilon: float) -> DataFrame:
     """block, object, price, owner of the objects that got bids; of several the highest, of equals the least person's."""
     if state is None:
         rows = edges.withColumns({"price": F.lit(0.0), "owner": F.lit(-1).cast("long")})
     else:
         rows = edges.join(state, ["block", "object"], "left").withColumns({"price": F.coalesce("price", F.lit(0.0)), "owner": F.coalesce("owner", F.lit(-1).cast("long"))})
     rows = rows.select("block", "part", "person", "object", "value", "price", "owner").repartition("block", "part").sortWithinPartitions("block", "part", "person", "object")
-    bids = rows.mapInArrow(_bids(epsilon, last), _STATE)
-    if epsilon is None:
-        return bids
+    bids = rows.mapInArrow(_bids(epsilon), _STATE)
     best = bids.groupBy("block", "object").agg(F.max_by(F.struct("price", "owner"), F.struct("price", -F.col("owner"))).alias("x"))
     return best.select("block", "object", "x.price", "x.owner")
 
@@ -134,7 +129,7 @@ def _dealt(edges: DataFrame, persons: int, most: float, last: float) -> DataFram
             before, state = state, keep(state.withColumn("owner", F.lit(-1).cast("long")), "auction-phase")
             forget(before)
         while True:
-            new = _round(edges, state, epsilon, last)
+            new = _round(edges, state, epsilon)
             if state is not None:
                 new = state.join(new.withColumnsRenamed({"price": "_price", "owner": "_owner"}), ["block", "object"], "full")
                 new = new.select("block", "object", F.coalesce("_price", "price").alias("price"), F.coalesce("_owner", "owner").alias("owner"))
@@ -146,10 +141,136 @@ def _dealt(edges: DataFrame, persons: int, most: float, last: float) -> DataFram
     return state
 
 
-def assignment(pairs: DataFrame, a: str, b: str, distance: str, block: str, tolerance: float = 1e-9, part: int = PART) -> DataFrame:
-    """a, b, distance, block, gap: the optimal one-to-one pairs of each block; a, b and block are longs, distances are not negative."""
+def _cheapest(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray):
+    """The flow of most units and least cost from rows to columns (cost inf: no way): rows, columns, units, and its gap."""
+    m, n = cost.shape
+    u, v, sink = np.zeros(m), np.zeros(n), 0.0  # potentials; cost + u - v is never negative, and u is 0 in rows with units left
+    free, want, flow = supply.copy(), demand.copy(), [{} for _ in range(n)]
+    who = cost.argmin(axis=0)
+    near = cost[who, np.arange(n)]  # of the rows with units left
+    while True:
+        far, before, done = near - v, who.copy(), np.zeros(n, dtype=bool)
+        apart, via = np.where(free > 0, 0.0, np.inf), np.full(m, -1)
+        open_ = far.copy()  # inf where done
+        while True:
+            j = int(open_.argmin())
+            d = open_[j]
+            if d == np.inf:
+                break
+            done[j], open_[j] = True, np.inf
+            if want[j]:
+                break
+            for i in flow[j]:
+                if apart[i] == np.inf:
+                    apart[i], via[i] = d, j
+                    new = np.maximum(cost[i] + (d + u[i]) - v, d)
+                    better = np.flatnonzero((new < far) & ~done)
+                    far[better] = open_[better] = new[better]
+                    before[better] = i
+        if d == np.inf:
+            break
+        u += np.minimum(apart, d)
+        v += np.minimum(far, d)
+        sink += d
+        path, i = [(j, int(before[j]))], int(before[j])
+        while not free[i]:
+            path.append((int(via[i]), int(before[via[i]])))
+            i = path[-1][1]
+        units = min(want[j], free[i], *[flow[c][r] for (_, r), (c, _) in zip(path, path[1:], strict=False)])
+        want[j] -= units
+        free[i] -= units
+        for k, (c, r) in enumerate(path):
+            flow[c][r] = flow[c].get(r, 0) + units
+            if k:
+                r = path[k - 1][1]
+                flow[c][r] -= units
+                if not flow[c][r]:
+                    del flow[c][r]
+        if not free[i]:
+            left, lost = np.flatnonzero(free), np.flatnonzero(who == i)
+            if len(left):
+                who[lost] = left[cost[np.ix_(left, lost)].argmin(axis=0)]
+                near[lost] = cost[who[lost], lost]
+            else:
+                near[:] = np.inf
+    rows, columns, units = (np.array(x, dtype=np.int64) for x in zip(*((r, c, k) for c, of in enumerate(flow) for r, k in sorted(of.items())), strict=True))
+    cover = supply[apart == np.inf].sum() + demand[done].sum()
+    beta = np.maximum(sink - v, 0.0)
+    alpha = np.array([max(x, (sink - row - beta).max()) for x, row in zip(u, cost, strict=True)])
+    bound = sink * units.sum() - (supply * alpha).sum() - (demand * beta).sum()
+    return rows, columns, units, max((cost[rows, columns] * units).sum() - bound, 0.0) if units.sum() == cover else np.inf
+
+
+_FLOW = "block long, a long, b long, d double, n long, at_a long, at_b long, gap double"
+
+
+def _solved(frames: Iterator[pa.RecordBatch]):
+    """block, a, b, d, na, nb, sorted by block, in; units of each pair of classes, and the numbers of their first members, out."""
+
+    def solve(block: int, parts: list[list[np.ndarray]]):
+        a, b, d, na, nb = (np.concatenate(x) for x in zip(*parts, strict=True))
+        (left, at_a, i), (right, at_b, j) = (np.unique(x, return_index=True, return_inverse=True) for x in (a, b))
+        cost = np.full((len(left), len(right)), np.inf)
+        cost[i, j] = d
+        r, c, n, gap = _cheapest(cost, na[at_a], nb[at_b])
+        begins = []
+        for of in (r, c):
+            order = np.argsort(of, kind="stable")
+            sums, ids = np.cumsum(n[order]) - n[order], of[order]
+            first = np.searchsorted(ids, ids)
+            begins.append(np.empty(len(of), dtype=np.int64))
+            begins[-1][order] = sums - sums[first]
+        values = [np.full(len(r), block), left[r], right[c], cost[r, c], n, *begins, np.full(len(r), gap)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=[x.split()[0] for x in _FLOW.split(", ")])
+
+    parts, now = [], None
+    for f in frames:
+        block, *rows = (f.column(k).to_numpy() for k in range(6))
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x == y:
+                continue
+            if parts and block[x] != now:
+                yield solve(now, parts)
+                parts = []
+            now = int(block[x])
+            parts.append([c[x:y] for c in rows])
+    if parts:
+        yield solve(now, parts)
+
+
+def _members(own: DataFrame | None, found: DataFrame, key: str) -> DataFrame:
+    """id, of, number: the members of each class, counted from 0; without classes each entity is its own."""
+    if own is None:
+        return found.select(F.col(key).alias("id"), F.col(key).alias("of")).distinct().withColumn("number", F.lit(0).cast("long"))
+    own = own.toDF("id", "of").select(*[F.col(c).cast("long").alias(c) for c in ("id", "of")])
+    return keep(running(own, ["of"], ["id"], {"number": F.lit(1)}), "assign-members")
+
+
+def assignment(pairs: DataFrame, a: str, b: str, distance: str, block: str, tolerance: float = 1e-9, part: int = PART, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """a, b, distance, block, gap: the optimal one-to-one pairs of each block; a, b and block are longs, distances are not negative.
+
+    left and right, if given, list the members of the classes that pairs are of, as (a, its class) and (b, its class), each a once."""
     least = pairs.select(F.col(block).cast("long").alias("block"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(distance).cast("double").alias("d")).na.drop()
-    least = keep(least.groupBy("block", "a", "b").agg(F.min("d").alias("d")), "auction-pairs")
+    least = keep(least.groupBy("block", "a", "b").agg(F.min("d").alias("d")), "assign-pairs")
+    of_a, of_b = _members(left, least, "a"), _members(right, least, "b")
+    sizes = [t.groupBy(F.col("of").alias(k)).agg(F.count(F.lit(1)).alias(f"n{k}")) for t, k in ((of_a, "a"), (of_b, "b"))]
+    large = keep(least.groupBy("block").agg((F.count_distinct("a") + F.count_distinct("b")).alias("n")).filter(F.col("n") > part).select("block"), "assign-large")
+    some = not large.isEmpty()
+    small = (least.join(large, "block", "left_anti") if some else least).join(sizes[0], "a").join(sizes[1], "b").select("block", "a", "b", "d", "na", "nb")
+    # a block is work, not bytes: no two of them are put together for being small
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flows = keep(small.repartition(tasks, "block").sortWithinPartitions("block", "a", "b").mapInArrow(_solved, _FLOW), "assign-flows")
+    units = flows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumns({"x": F.col("at_a") + F.col("k"), "y": F.col("at_b") + F.col("k")})
+    member = lambda t, k, n: t.select(F.col("of").alias(k), F.col("number").alias(n), F.col("id").alias(f"{k}_id"))
+    found = units.join(member(of_a, "a", "x"), ["a", "x"]).join(member(of_b, "b", "y"), ["b", "y"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("d").alias("distance"), "block", "gap")
+    if not some:
+        return found
+    entities = least.join(large, "block", "left_semi").join(member(of_a, "a", "x"), "a").join(member(of_b, "b", "y"), "b")
+    return found.unionByName(_auctioned(keep(entities.select("block", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "d"), "auction-pairs"), tolerance, part))
+
+
+def _auctioned(least: DataFrame, tolerance: float, part: int) -> DataFrame:
     sizes = least.groupBy("block").agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.max("d").alias("most"))
     sizes = keep(sizes.withColumn("parts", F.ceil((F.col("na") + F.col("nb")) / part)).withColumn("bonus", F.col("most") * F.least("na", "nb") + 1), "auction-blocks")
     valued = least.join(sizes.select("block", "most", "bonus", "parts"), "block").withColumn("value", F.col("bonus") + F.col("most") - F.col("d"))
@@ -159,12 +280,8 @@ def assignment(pairs: DataFrame, a: str, b: str, distance: str, block: str, tole
     edges = edge(valued, person_a, object_b, F.col("value")).unionByName(edge(valued, mirror_b, mirror_a, F.col("value")))
     edges = edges.unionByName(edge(valued, person_a, mirror_a, none).distinct()).unionByName(edge(valued, mirror_b, object_b, none).distinct())
     edges = keep(edges.withColumn("part", F.pmod(F.xxhash64("person"), F.col("parts"))).drop("parts"), "auction-edges")
-    large = sizes.filter("parts > 1")
-    n, most = large.agg(F.sum(F.col("na") + F.col("nb")), F.max(F.col("bonus") + F.col("most"))).first()
-    state = _round(edges.join(large, "block", "left_anti") if n else edges, None, None, tolerance)
-    if n:
-        state = state.unionByName(_dealt(keep(edges.join(large, "block", "left_semi"), "auction-large"), n, most, tolerance))
-    return _certified(least, edges, keep(state, "auction-state"))
+    n, most = sizes.agg(F.sum(F.col("na") + F.col("nb")), F.max(F.col("bonus") + F.col("most"))).first()
+    return _certified(least, edges, keep(_dealt(edges, n, most, tolerance), "auction-state"))
 
 
 def _certified(least: DataFrame, edges: DataFrame, state: DataFrame) -> DataFrame:
