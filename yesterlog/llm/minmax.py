@@ -5,9 +5,10 @@
   and since one shingle can't spoil both, the share of equal values has a lower variance than that of as many minima.
 * Bands: BAND successive values (16 bits each) are one band's key. A pair at the similarity shares no band with a probability of
   (1 - 0.8^4)^32, 5 in 10^8. Only distinct sets enter the bands, and only keys with two sets or more leave the first shuffle.
-* First partners: sets that share a key are candidates. Each set is first held against one other, the one with most keys in common,
+* First partners: sets that share a key are candidates. Each set is first held against HEADS others, those with most keys in common,
   from a chain of heads in its buckets that gives no set more than FAN followers a bucket and step. So a group of thousands of
-  copies costs a comparison a set, and most of its sets are one group from then on.
+  copies costs HEADS comparisons a set, and nearly all of its sets are one group from then on, also where a pair of them is as often
+  below the similarity as not; with one comparison half of them were left, and met each other in parts.
 * All others: in buckets that still have several groups all pairs of different groups meet, each in the first band it shares. They
   are candidates if they share at least SKETCH of the values (a pair at the similarity has fewer with a probability of about 1 in
   10^8). A bucket's sets outside its largest group are dealt into parts of PART sets, those of that group too, and each two parts of
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, load, text_bytes
@@ -37,7 +38,7 @@ from .near_copies import shingles
 
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 PERMUTATIONS, BAND, SKETCH = 64, 4, 72
-FAN, PART, FOLLOWED = 64, 512, 4
+FAN, HEADS, PART, FOLLOWED = 64, 4, 512, 4
 _CHUNK = 2048
 _RANDOM = np.random.default_rng(12)
 _XOR = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -110,9 +111,10 @@ def _ordered(a, b):
 
 
 def _first_partners(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: each set with the head that it shares most keys with, if their signatures are near enough."""
+    """a, b: each set with the HEADS heads that it shares most keys with, if their signatures are near enough."""
     votes = met.filter("head is not null").groupBy("h", "head").agg(F.count(F.lit(1)).alias("votes"))
-    pairs = votes.groupBy("h").agg(F.max_by("head", F.struct("votes", "head")).alias("head")).select(*_ordered("h", "head")).distinct()
+    most = votes.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("votes"), F.desc("head")))).filter(F.col("rank") <= HEADS)
+    pairs = most.select(*_ordered("h", "head")).distinct()
 
     def near(frames: Iterator[pa.RecordBatch]):
         for f in frames:
@@ -154,8 +156,8 @@ def _groups(frames: Iterator[pa.RecordBatch], keys: int):
 _TASK = ["key", "i", "j"]
 
 
-def _dealt(met: DataFrame, classes: DataFrame, groups: DataFrame, part: int) -> DataFrame:
-    """The sets of buckets with several groups, for each two parts that meet: key, i, j, band, own, h, root, n, keys."""
+def _dealt(met: DataFrame, groups: DataFrame, part: int) -> DataFrame:
+    """The sets of buckets with several groups, for each two parts that meet: key, i, j, band, own, h, root."""
     rows = met.join(groups, F.col("h") == F.col("node"), "left").select("key", "band", "h", F.coalesce("root", "h").alias("root"))
     roots = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
     roots = roots.filter("roots > 1").select("key", "top", F.ceil((F.col("all") - F.col("inside")) / part).alias("outer"), F.ceil(F.col("inside") / part).alias("inner"))
@@ -164,8 +166,13 @@ def _dealt(met: DataFrame, classes: DataFrame, groups: DataFrame, part: int) ->
     # a part of the largest group meets the parts outside it; these meet all parts
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("own") >= F.col("outer"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
     rows = rows.select("key", "band", "h", "root", "own", F.explode(others).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "h", "root")
-    return rows.join(classes.select("h", "n", "keys"), "h").select(*_TASK, "band", "own", "h", "root", "n", "keys")
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "h", "root")
+
+
+def _brought(dealt: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Each task's rows with these columns of their sets, in the task's place."""
+    rows = dealt.join(sets.select("h", *columns), "h").select(*dealt.columns, *columns)
+    return rows.repartition(*_TASK).sortWithinPartitions(*_TASK)
 
 
 def _near(group: list[np.ndarray], similarity: int):
@@ -183,7 +190,7 @@ def _near(group: list[np.ndarray], similarity: int):
             yield a, b
 
 
-def _between(dealt: DataFrame, similarity: int, followed: int) -> DataFrame:
+def _between(dealt: DataFrame, classes: DataFrame, similarity: int, followed: int) -> DataFrame:
     """Pairs a, b of near sets; or key, i, j of a task that would make more than `followed` pairs for each of its sets."""
 
     def run(frames: Iterator[pa.RecordBatch]):
@@ -203,11 +210,11 @@ def _between(dealt: DataFrame, similarity: int, followed: int) -> DataFrame:
                 continue
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", *_TASK])
 
-    return dealt.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, "a long, b long, key long, i long, j long")
+    return _brought(dealt, classes, "n", "keys").mapInArrow(run, "a long, b long, key long, i long, j long")
 
 
-def _crowded(dealt: DataFrame, own: DataFrame, similarity: int) -> DataFrame:
-    """a, b: links that join all groups of a task that have one; own: h, own (the full set). Nothing but such a forest leaves the task."""
+def _crowded(dealt: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """a, b: links that join all groups of a task that have one; sets: h, n, keys, full. Nothing but such a forest leaves the task."""
 
     def run(frames: Iterator[pa.RecordBatch]):
         for group in _groups(frames, 3):
@@ -227,8 +234,7 @@ def _crowded(dealt: DataFrame, own: DataFrame, similarity: int) -> DataFrame:
                         root[root == root[b]] = root[a]
             yield from batches(out, ["a", "b"], [pa.int64(), pa.int64()])
 
-    rows = dealt.join(own, "h").select(*dealt.columns, "own_set")
-    return rows.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, "a long, b long")
+    return _brought(dealt, sets, "n", "keys", "full").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -271,14 +277,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     classes = cut(some.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min_by("t", "t").alias("t"), F.any_value("keys").alias("keys")), "minmax-classes")
     met = cut(_buckets(classes), "minmax-buckets")
     edges = cut(_linked(docs, classes, cut(_first_partners(met, classes), "minmax-pairs"), shingle, similarity), "minmax-links")
-    dealt = _dealt(met, classes, connected(edges), part)
-    near = cut(_between(dealt, similarity, followed), "minmax-near")
+    dealt = cut(_dealt(met, connected(edges), part), "minmax-dealt")
+    near = cut(_between(dealt, classes, similarity, followed), "minmax-near")
     edges = edges.unionByName(cut(_linked(docs, classes, near.filter("a is not null").select("a", "b"), shingle, similarity), "minmax-links"))
     crowded = near.filter("key is not null").select(*_TASK)
     if not crowded.isEmpty():
         dealt = cut(dealt.join(crowded, _TASK, "left_semi").select(*dealt.columns), "minmax-crowded")
-        own = _sets(docs, classes, dealt.select("h").distinct(), shingle).withColumnRenamed("own", "own_set")
-        edges = edges.unionByName(cut(_crowded(dealt, own, similarity), "minmax-links"))
+        own = _sets(docs, classes, dealt.select("h").distinct(), shingle).withColumnRenamed("own", "full")
+        edges = edges.unionByName(cut(_crowded(dealt, classes.select("h", "n", "keys").join(own, "h"), similarity), "minmax-links"))
     groups = connected(edges)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     of = classes.join(groups, F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"))
