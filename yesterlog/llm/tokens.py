@@ -22,6 +22,8 @@ from operator import not_
 
 import pyarrow as pa
 
+from .common import kept
+
 CACHE_PIECES = 400_000
 #: A full cache keeps this part of its entries, those that came first: frequent pieces come early.
 KEPT_PART = 3
@@ -32,7 +34,7 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _END = b"\xff\xff\xff\xff"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n ]?[!-~{_LETTER}]+").fullmatch
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept({})
 _PROBE = "Ab1 2c 34's  x\n y'll..!? é"
 #: The words of the probe under the two pre-tokenizers that are rebuilt here.
 _PROBED = [

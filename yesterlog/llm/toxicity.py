@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import kept, load
 
 SAMPLE, BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES, CHANNELS = 9000, 1 << 15, 12, 12, (1, 2, 3), (3, 4, 5), 8
 BITS, VOTE_AT, SMOOTH = 15, 60, 0.5
@@ -46,7 +46,7 @@ FUNCTION_WORDS = {
 LANGUAGES = ["other", *FUNCTION_WORDS]
 _WORD = re.compile(r"[^\W_]+")
 _VOTES = {w: k for k, lang in enumerate(LANGUAGES[1:], 1) for w in FUNCTION_WORDS[lang]}
-_known: dict[str, int] = {}
+_known: dict[str, int] = kept({})
 
 
 def _number(word: str) -> int:
