@@ -101,7 +101,12 @@ class Encoder:
         return [w for w, _ in pre.pre_tokenize_str(own)] in _PROBED
 
     def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize((word if word.isascii() else word.encode().decode("latin-1")).translate(_BYTES))]).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        elif not (self.lower and word.isalnum()):  # letters and digits stand for themselves
+            word = word.translate(_BYTES)
+        ids = self.tokenize(word)
+        return array("I", [t.id for t in ids]).tobytes() if len(ids) != 1 else ids[0].id.to_bytes(4, "little")
 
     def _whole(self, text: str) -> bytes:
         if _PLAIN(text):
@@ -134,7 +139,7 @@ class Encoder:
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         # one look-up for each piece; only those that miss are looked up again once they are learnt
         found = [list(map(self.pieces.get, c)) for c in cuts]
-        missing = [list(compress(count(), map(not_, f))) for f in found]
+        missing = [list(compress(count(), map(not_, f))) if None in f else () for f in found]
         self._learn({c[i] for c, m in zip(cuts, missing, strict=True) for i in m})
         out = []
         for text, c, f, m in zip(texts, cuts, found, missing, strict=True):
