@@ -33,7 +33,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, load, table_path, text_bytes
+from .common import batches, cut, load, release, table_path, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -119,6 +119,7 @@ def _shards(index: Broadcast, found_in):
     """
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release()
         test, rows, found, size = index.value, [], [], 0
         window = test.window
 

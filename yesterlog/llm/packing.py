@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, load
-from .tokens import encoder, vocabulary
+from .common import batches, cut, load, release, rows_a_batch
+from .tokens import _encoders, encoder, vocabulary
 
 CAPACITY, LEAST_CUT, END_ID = 2048, 64, 1
+#: Documents that wait in a Python worker at once.
+BATCH = 1000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, number long"
 
 
@@ -51,6 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least_cut:
     types = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release(_encoders)
         enc, end, made, task = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), Counter(), TaskContext.get().partitionId()
         for frame in frames:
             out = []
@@ -98,7 +101,10 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (, ids), sequence_id, offset for every piece of every document."""
-    return pack(cut(pieces(docs, tokenizer, capacity, with_ids=with_ids), "packing-pieces"), capacity)
+    # texts and ids wait in batches on both sides of the pipe to Python
+    with rows_a_batch(docs.sparkSession, BATCH):
+        made = cut(pieces(docs, tokenizer, capacity, with_ids=with_ids), "packing-pieces")
+    return pack(made, capacity)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

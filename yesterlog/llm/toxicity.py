@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, load
+from .common import kept, load, release
 
 SAMPLE, BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES, CHANNELS = 9000, 1 << 15, 12, 12, (1, 2, 3), (3, 4, 5), 8
 BITS, VOTE_AT, SMOOTH = 15, 60, 0.5
@@ -226,10 +226,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> by
     chosen = picked[0].unionByName(picked[1])
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release(_known)
         for f in frames:
             yield pd.DataFrame({"doc_id": f.doc_id, "toxic": f.toxic, "x": [numbers(t or "") for t in f.text]})
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         frame = frame.sort_values("doc_id")
         frame = frame.iloc[np.random.default_rng(0).permutation(len(frame))]
         return pd.DataFrame({"model": [pickle.dumps(train(list(frame.x), frame.toxic.to_numpy()))]})
@@ -244,6 +246,7 @@ def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release(_known)
         m = pickle.loads(model)
         table = m.table()
         for f in frames:
@@ -259,6 +262,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, names = fit_toxicity(docs, labels), docs.columns
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release(_known)
         m = pickle.loads(model)
         table, at = m.table(), names.index("text")
         for f in frames:
