@@ -58,7 +58,8 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             mine = np.flatnonzero(width == w)
-            bits = np.unpackbits(apart[mine].astype("<u4").view(np.uint8), bitorder="little").reshape(len(mine), BLOCK, 32)[:, :, :w]
+            unit = 2 if w <= 16 else 4  # bytes; higher bits are exceptions
+            bits = np.unpackbits(apart[mine].astype(f"<u{unit}").view(np.uint8), bitorder="little").reshape(len(mine), BLOCK, 8 * unit)[:, :, :w]
             packed = np.packbits(bits.reshape(len(mine), -1), axis=1, bitorder="little")
             body[starts[mine][:, None] + np.arange(packed.shape[1])] = packed
     head = np.array([(b"YLP1", len(ids), n, len(row))], dtype=_HEAD)
@@ -80,9 +81,10 @@ def unpack(data: bytes) -> np.ndarray:
         if w:
             mine = np.flatnonzero(width == w)
             bits = np.unpackbits(body[start[mine][:, None] + np.arange(int(w) * BLOCK // 8)], axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w))
-            whole = np.zeros((len(mine), BLOCK, 32), dtype=np.uint8)
+            unit = 2 if w <= 16 else 4
+            whole = np.zeros((len(mine), BLOCK, 8 * unit), dtype=np.uint8)
             whole[:, :, :w] = bits
-            out[mine] = np.packbits(whole.reshape(-1), bitorder="little").view("<u4").reshape(len(mine), BLOCK)
+            out[mine] = np.packbits(whole.reshape(-1), bitorder="little").view(f"<u{unit}").reshape(len(mine), BLOCK)
     if len(exceptions):
         row = np.searchsorted(index["exception"], np.arange(len(exceptions)), "right") - 1
         out[row, exceptions["place"]] |= exceptions["high"].astype(np.uint32) << width[row].astype(np.uint32)

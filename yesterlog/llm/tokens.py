@@ -34,6 +34,7 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _END = b"\xff\xff\xff\xff"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n ]?[!-~{_LETTER}]+").fullmatch
+_STRANGE = re.compile(rf"[^\n\x00!-~{_LETTER}]").search
 _encoders: dict[str, Encoder] = kept({})
 _PROBE = "Ab1 2c 34's  x\n y'll..!? é"
 #: The words of the probe under the two pre-tokenizers that are rebuilt here.
@@ -53,6 +54,15 @@ def _byte_characters() -> dict[int, str]:
 _BYTES = _byte_characters()
 
 
+def _lower_latin(text: str) -> str:
+    """A text of U+0000 to U+00FF in lower case, where Python and the library agree sign by sign; any other as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def shrink(cache: dict) -> None:
     if len(cache) >= CACHE_PIECES:
         oldest = list(islice(cache.items(), CACHE_PIECES // KEPT_PART))
@@ -117,13 +127,26 @@ class Encoder:
         """Encodes plain pieces in one go: their words stand in one list, divided by a mark that no ids contain."""
         if pieces:
             joined = space + f"\0{space}".join(pieces)
-            ids = b"".join(map(self.words.__getitem__, self.cutter(joined.lower() if self.lower else joined))).split(_END)
+            words = self.cutter(joined.lower() if self.lower else joined)
+            shrink(self.words)
+            known = self.words
+            for w in set(words):
+                if w not in known and w != "\0" and len(w) <= LONGEST_KEPT:  # longer ones are left to the look-up
+                    known[w] = self._word(w)
+            ids = b"".join(map(self.words.__getitem__, words)).split(_END)
             self.pieces.update(zip(pieces, ids, strict=True))
 
     def _learn(self, new: set[str]) -> None:
         """Adds ids of new pieces, except of those that don't make safe cuts: white space meets white space there."""
-        spaced, after_newline = [], []
-        for p in new - {"", "\n"}:
+        new = new - {"", "\n"}
+        spaced, after_newline = [p for p in new if p[0] != "\n"], [p for p in new if p[0] == "\n"]
+        joined = "\0".join(new)
+        # all plain, as most often: no sign but a plain one, and no newline or zero within a piece
+        if not _STRANGE(joined) and joined.count("\n") == len(after_newline) and joined.count("\0") < max(1, len(new)):
+            new = ()
+        else:
+            spaced, after_newline = [], []
+        for p in new:
             if _PLAIN(p):
                 (after_newline if p[0] == "\n" else spaced).append(p)
             elif not p[-1].isspace() and not (p[1] if p[0] == "\n" else p[0]).isspace():
@@ -136,6 +159,8 @@ class Encoder:
         if not self.known:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         shrink(self.pieces)
+        if self.lower:  # fewer different pieces
+            texts = list(map(_lower_latin, texts))
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         # one look-up for each piece; only those that miss are looked up again once they are learnt
         found = [list(map(self.pieces.get, c)) for c in cuts]
