@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, load, text_bytes
+from .common import batches, cut, load, release, text_bytes
 from .components import connected
-from .near_copies import shingles
+from .simhash import distinct_shingles
 
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 PERMUTATIONS, BAND, SKETCH = 64, 4, 72
@@ -60,8 +60,9 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, t (hash of the text), n (size of the set), h (its hash) and keys (its bands) for every row."""
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release()
         for f in frames:
-            sets = [shingles(t, shingle) for t in text_bytes(f.column(2))]
+            sets = [distinct_shingles(t, shingle) for t in text_bytes(f.column(2))]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             h = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
             keys = np.concatenate([signature(s) for s in sets if len(s)] or [np.empty(0, np.uint16)]).view(np.int64)
@@ -80,6 +81,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     """key, band, h, head for every set that shares the key with another: head is the set before it in the bucket's chain, null for the first."""
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release()
         names = ["key", "h", "band", "head"]
         waiting, number_of, heads = None, 0, [0, 0, 0]  # the last row, its number, and the heads of its steps by FAN^0, FAN, FAN^2...
         for f in frames:
@@ -117,6 +119,7 @@ def _first_partners(met: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = most.select(*_ordered("h", "head")).distinct()
 
     def near(frames: Iterator[pa.RecordBatch]):
+        release()
         for f in frames:
             x, y = (f.column(i).flatten().to_numpy().view(np.uint16).reshape(-1, 2 * PERMUTATIONS) for i in (2, 3))
             keep = (x == y).sum(axis=1) >= SKETCH
@@ -194,6 +197,7 @@ def _between(dealt: DataFrame, classes: DataFrame, similarity: int, followed: in
     """Pairs a, b of near sets; or key, i, j of a task that would make more than `followed` pairs for each of its sets."""
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release()
         for group in _groups(frames, 3):
             h, out, pairs = group[5], [], 0
             for a, b in _near(group, similarity):
@@ -217,6 +221,7 @@ def _crowded(dealt: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """a, b: links that join all groups of a task that have one; sets: h, n, keys, full. Nothing but such a forest leaves the task."""
 
     def run(frames: Iterator[pa.RecordBatch]):
+        release()
         for group in _groups(frames, 3):
             h, root, sets, out = group[5], group[6].copy(), [np.frombuffer(x, dtype=np.uint64) for x in group[9]], []
             for a, near in _near(group, similarity):
@@ -241,8 +246,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int)
     """h, own: the full sets, as sorted 64-bit hashes, of the wanted h."""
 
     def sets(frames: Iterator[pa.RecordBatch]):
+        release()
         for f in frames:
-            found = [shingles(t, shingle).tobytes() for t in text_bytes(f.column(0))]
+            found = [distinct_shingles(t, shingle).tobytes() for t in text_bytes(f.column(0))]
             h = np.array([xxhash.xxh64_intdigest(s) for s in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found, pa.binary())], names=["h", "own"])
 
@@ -255,6 +261,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
     """The pairs a, b whose full sets have the similarity."""
 
     def decide(frames: Iterator[pa.RecordBatch]):
+        release()
         for f in frames:
             out = []
             for a, b, x, y in zip(*(f.column(i).to_pylist() for i in range(4)), strict=True):
@@ -270,8 +277,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, part: int = PART, followed: int = FOLLOWED) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; similarity is in per cent."""
+def linked_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART, followed: int = FOLLOWED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables `_marked` (of all rows) and classes (of distinct sets with a shingle), and node, root for every set that is linked with another."""
     marked = cut(_marked(docs, shingle), "minmax-marked")
     some = marked.filter("n > 0")
     classes = cut(some.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min_by("t", "t").alias("t"), F.any_value("keys").alias("keys")), "minmax-classes")
@@ -286,7 +293,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         own = _sets(docs, classes, dealt.select("h").distinct(), shingle).withColumnRenamed("own", "full")
         edges = edges.unionByName(cut(_crowded(dealt, classes.select("h", "n", "keys").join(own, "h"), similarity), "minmax-links"))
     groups = connected(edges)
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    return marked, classes, groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, part: int = PART, followed: int = FOLLOWED) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; similarity is in per cent."""
+    marked, classes, groups = linked_sets(docs, shingle, similarity, part, followed)
     of = classes.join(groups, F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = of.filter("linked").groupBy("root").agg(F.min("least").alias("first"))
     # sets that are alone keep their rows' own ids

@@ -33,14 +33,25 @@ SHINGLE, RADIUS, SEED, HOT = 3, 3, 42, 4096
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    # bytes.split() separates at space and \x09-\x0d, which are its only ASCII white space
     w = text.lower().split()
     if not w:
-        return 0
-    # bytes.split() separates at space and \x09-\x0d, which are its only ASCII white space
+        return np.empty(0, dtype=np.uint64)
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=max(1, len(w) - shingle + 1))
+    return np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=max(1, len(w) - shingle + 1))
+
+
+def distinct_shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, in order."""
+    return np.unique(_shingle_hashes(text, shingle))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    h = _shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), _CHUNK):
         ones += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
