@@ -17,16 +17,15 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import compress, count, islice
-from operator import not_
+from itertools import islice
 
 import pyarrow as pa
 
 from .common import kept
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 640_000
 #: A full cache keeps this part of its entries, those that came first: frequent pieces come early.
-KEPT_PART = 3
+KEPT_PART = 0.6
 GROUP = 64
 LONGEST_KEPT = 48
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -52,6 +51,8 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
+#: Divides words in a text of many.
+_BYTES_BUT_ZERO = {b: c for b, c in _BYTES.items() if b}
 
 
 def _lower_latin(text: str) -> str:
@@ -63,9 +64,20 @@ def _lower_latin(text: str) -> str:
     return text.lower()
 
 
+def _missing(found: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def shrink(cache: dict) -> None:
     if len(cache) >= CACHE_PIECES:
-        oldest = list(islice(cache.items(), CACHE_PIECES // KEPT_PART))
+        oldest = list(islice(cache.items(), int(CACHE_PIECES * KEPT_PART)))
         cache.clear()
         cache.update(oldest)
 
@@ -98,7 +110,7 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary: lower case, white space dropped, digits one by one
         space, digits = ("", "[0-9]") if self.lower else (" ?", " ?[0-9]+")
         self.cutter = re.compile(rf"\x00|'s|'t|'re|'ve|'m|'ll|'d|{space}[{_LETTER}]+|{digits}|{space}[^\s\x000-9{_LETTER}]+" + ("" if self.lower else r"|\s")).findall
-        self.words = _Made(lambda w: _END if w == "\0" else self._word(w))
+        self.words = _Made(lambda w: _END if w == "\0" else self._words([w])[0])
         self.whole = _Made(self._whole)  # by the exact string
         self.pieces: dict[str, bytes] = {}  # by the piece; a space stands before it unless it starts with a newline
 
@@ -110,13 +122,17 @@ class Encoder:
         own = self.tokenizer.normalizer.normalize_str(_PROBE) if self.tokenizer.normalizer else _PROBE
         return [w for w, _ in pre.pre_tokenize_str(own)] in _PROBED
 
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTES)
-        elif not (self.lower and word.isalnum()):  # letters and digits stand for themselves
-            word = word.translate(_BYTES)
-        ids = self.tokenize(word)
-        return array("I", [t.id for t in ids]).tobytes() if len(ids) != 1 else ids[0].id.to_bytes(4, "little")
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of plain pieces, which have no control character but a newline."""
+        joined = "\0".join(words)
+        if not joined.isascii():
+            joined = joined.encode().decode("latin-1").translate(_BYTES_BUT_ZERO)
+        elif not self.lower:  # signs, letters and digits stand for themselves
+            joined = joined.replace(" ", _BYTES[32]).replace("\n", _BYTES[10])
+        out = []
+        for ids in map(self.tokenize, joined.split("\0")):
+            out.append(array("I", [t.id for t in ids]).tobytes() if len(ids) != 1 else ids[0].id.to_bytes(4, "little"))
+        return out
 
     def _whole(self, text: str) -> bytes:
         if _PLAIN(text):
@@ -125,14 +141,23 @@ class Encoder:
 
     def _plain(self, pieces: list[str], space: str) -> None:
         """Encodes plain pieces in one go: their words stand in one list, divided by a mark that no ids contain."""
+        alone = [p for p in pieces if p.isalpha()]  # one word each, which need not be kept twice
+        if alone:
+            words = [space + p for p in alone] if space else alone
+            self.pieces.update(zip(alone, self._words([w.lower() for w in words] if self.lower else words), strict=True))
+            pieces = [p for p in pieces if not p.isalpha()]
         if pieces:
             joined = space + f"\0{space}".join(pieces)
             words = self.cutter(joined.lower() if self.lower else joined)
             shrink(self.words)
             known = self.words
-            for w in set(words):
-                if w not in known and w != "\0" and len(w) <= LONGEST_KEPT:  # longer ones are left to the look-up
-                    known[w] = self._word(w)
+            new = [w for w in set(words) if w not in known and w != "\0" and len(w) <= LONGEST_KEPT]  # longer ones are left to the look-up
+            # a word may be known as a piece of its own
+            ids = list(map(self.pieces.get, new if self.lower else [w[1:] if w[0] == " " else None for w in new]))
+            known.update(zip(new, ids, strict=True))
+            new = [w for w, x in zip(new, ids, strict=True) if x is None]
+            if new:
+                known.update(zip(new, self._words(new), strict=True))
             ids = b"".join(map(self.words.__getitem__, words)).split(_END)
             self.pieces.update(zip(pieces, ids, strict=True))
 
@@ -164,17 +189,17 @@ class Encoder:
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         # one look-up for each piece; only those that miss are looked up again once they are learnt
         found = [list(map(self.pieces.get, c)) for c in cuts]
-        missing = [list(compress(count(), map(not_, f))) if None in f else () for f in found]
+        missing = [_missing(f) for f in found]
         self._learn({c[i] for c, m in zip(cuts, missing, strict=True) for i in m})
         out = []
         for text, c, f, m in zip(texts, cuts, found, missing, strict=True):
             for i in m:
                 f[i] = self.pieces.get(c[i])
-            first = c[0]
-            f[0] = self.whole[first] if first else b""
-            if None in f or len(c) > 1 and (not first or first[-1].isspace()):
+            first, f[0] = c[0], b""
+            if len(c) > 1 and (not first or first[-1].isspace() or m and None in f):
                 out.append(b"".join(map(self.whole.__getitem__, _SAFE.split(text))))
             else:
+                f[0] = self.whole[first] if first else b""
                 out.append(b"".join(f))
         return out
 
