@@ -23,14 +23,16 @@ gives an empty result. Of equally good assignments any may be returned, the same
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import forget, keep
+from . import tiles
 from .ranked import running
 
 PART, FALL = 4096, 6.0
@@ -247,6 +249,17 @@ def _members(own: DataFrame | None, found: DataFrame, key: str) -> DataFrame:
     return keep(running(own, ["of"], ["id"], {"number": F.lit(1)}), "assign-members")
 
 
+def _member(of: DataFrame, key: str, number: str) -> DataFrame:
+    return of.select(F.col("of").alias(key), F.col("number").alias(number), F.col("id").alias(f"{key}_id"))
+
+
+def _expanded(flows: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """Pairs of members for the units of flows between classes."""
+    units = flows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumns({"x": F.col("at_a") + F.col("k"), "y": F.col("at_b") + F.col("k")})
+    found = units.join(_member(of_a, "a", "x"), ["a", "x"]).join(_member(of_b, "b", "y"), ["b", "y"])
+    return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("d").alias("distance"), "block", "gap")
+
+
 def assignment(pairs: DataFrame, a: str, b: str, distance: str, block: str, tolerance: float = 1e-9, part: int = PART, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
     """a, b, distance, block, gap: the optimal one-to-one pairs of each block; a, b and block are longs, distances are not negative.
 
@@ -261,15 +274,199 @@ def assignment(pairs: DataFrame, a: str, b: str, distance: str, block: str, tole
     # a block is work, not bytes: no two of them are put together for being small
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flows = keep(small.repartition(tasks, "block").sortWithinPartitions("block", "a", "b").mapInArrow(_solved, _FLOW), "assign-flows")
-    units = flows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumns({"x": F.col("at_a") + F.col("k"), "y": F.col("at_b") + F.col("k")})
-    member = lambda t, k, n: t.select(F.col("of").alias(k), F.col("number").alias(n), F.col("id").alias(f"{k}_id"))
-    found = units.join(member(of_a, "a", "x"), ["a", "x"]).join(member(of_b, "b", "y"), ["b", "y"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("d").alias("distance"), "block", "gap")
+    found = _expanded(flows, of_a, of_b)
     if not some:
         return found
-    entities = least.join(large, "block", "left_semi").join(member(of_a, "a", "x"), "a").join(member(of_b, "b", "y"), "b")
+    entities = least.join(large, "block", "left_semi").join(_member(of_a, "a", "x"), "a").join(_member(of_b, "b", "y"), "b")
     return found.unionByName(_auctioned(keep(entities.select("block", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "d"), "auction-pairs"), tolerance, part))
 
 
+def _carried(edges: list[list[tuple[int, int]]], supply: list[int], demand: list[int], most: int, v: list[int], held: list[tuple[int, int, int, int]]):
+    """Units of rows sent to columns at least cost; a unit may stay at home for `most`. All costs are integers, so nothing is rounded.
+
+    edges: (column, cost) of each row; v: prices to start with, and held: row, column, units, cost of an older flow, kept where it is tight.
+    Returns u, v and the flow of each column; no edge costs less than u + v, and all that carry units cost just that."""
+    u = [min(min((c - v[j] for j, c in e), default=most), most) for e in edges]
+    free, want, flow, home = list(supply), list(demand), [{} for _ in demand], [0] * len(edges)
+    for i, j, units, c in held:
+        if c - v[j] == u[i]:
+            flow[j][i] = units
+            free[i] -= units
+            want[j] -= units
+    left, steps, later = [i for i in range(len(edges)) if free[i]], 20 * len(edges), []
+    while left and steps:
+        # rows take their best column, at the price of their second best
+        i = left.pop()
+        while free[i] and steps:
+            steps -= 1
+            first, second, at = most, most, -1
+            for j, c in edges[i]:
+                x = c - v[j]
+                if x < first:
+                    first, second, at = x, first, j
+                elif x < second:
+                    second = x
+            u[i] = first
+            if at < 0:
+                home[i] += free[i]
+                free[i] = 0
+            elif want[at]:
+                units = min(free[i], want[at])
+                flow[at][i] = flow[at].get(i, 0) + units
+                free[i] -= units
+                want[at] -= units
+            elif second > first and free[i] + flow[at].get(i, 0) >= demand[at]:
+                v[at] -= second - first
+                u[i] = second
+                for r, units in flow[at].items():
+                    free[r] += units
+                    if r != i:
+                        left.append(r)
+                flow[at] = {i: demand[at]}
+                free[i] -= demand[at]
+            else:
+                later.append(i)
+                break
+    for start in [*later, *left]:
+        while free[start]:
+            apart, via, best, before, done, heap = {start: 0}, {}, {}, {}, {}, []
+            limit, last, rows, d = None, None, [start], 0
+            while True:
+                for i in rows:
+                    base = d - u[i]
+                    if limit is None or base + most < limit:
+                        limit, last = base + most, -1 - i
+                    for j, c in edges[i]:
+                        x = base + c - v[j]
+                        if x < limit and (j not in best or x < best[j]):
+                            best[j], before[j] = x, i
+                            if want[j]:
+                                limit, last = x, j
+                            else:
+                                heapq.heappush(heap, (x, j))
+                while heap and heap[0][1] in done:
+                    heapq.heappop(heap)
+                if not heap or heap[0][0] >= limit:
+                    break
+                d, j = heapq.heappop(heap)
+                done[j], rows = d, [i for i in flow[j] if i not in apart]
+                for i in rows:
+                    apart[i], via[i] = d, j
+            for i, x in apart.items():
+                u[i] += limit - x
+            for j, x in done.items():
+                v[j] -= limit - x
+            path, i = [], -1 - last if last < 0 else before[last]
+            while i != start:
+                path.append((via[i], i))
+                i = before[via[i]]
+            units = min([free[start], *(flow[j][i] for j, i in path), *([want[last]] if last >= 0 else [])])
+            for j, i in path:
+                flow[j][i] -= units
+                if not flow[j][i]:
+                    del flow[j][i]
+                flow[j][before[j]] = flow[j].get(before[j], 0) + units
+            if last < 0:
+                home[-1 - last] += units
+            else:
+                flow[last][before[last]] = flow[last].get(before[last], 0) + units
+                want[last] -= units
+            free[start] -= units
+    if sum(supply) == sum(demand) and not any(home) and v:
+        # all is carried, so prices may move together; a price over 0 would be no bound
+        top = max(v)
+        u, v = [x + top for x in u], [x - top for x in v]
+    return u, v, flow, home
+
+
+#: What goes into a block's task and comes out of it, by kind: edges (a, b, cost c), rows (a, units n, c is u), columns (b, n, v), flow (a, b, n, cost), how far the cost lies over the bound of the prices (c).
+_BLOCK = "kind int, block string, a long, b long, c long, n long"
+_EDGE, _ROW, _COLUMN, _CARRIED, _OVER = range(5)
+
+
+def _block_solved(rows: pa.Table) -> pa.Table:
+    kind, a, b, c, n = (rows[k].combine_chunks().fill_null(0).to_numpy() for k in ("kind", "a", "b", "c", "n"))
+    of = [np.flatnonzero(kind == k) for k in range(4)]
+    of[_ROW], of[_COLUMN] = of[_ROW][np.argsort(a[of[_ROW]])], of[_COLUMN][np.argsort(b[of[_COLUMN]])]
+    ids, others = a[of[_ROW]], b[of[_COLUMN]]
+    supply, demand, v = (x.tolist() for x in (n[of[_ROW]], n[of[_COLUMN]], c[of[_COLUMN]]))
+    e = of[_EDGE][np.lexsort((b[of[_EDGE]], c[of[_EDGE]], a[of[_EDGE]]))]
+    edges: list[list[tuple[int, int]]] = [[] for _ in supply]
+    for i, j, x in zip(np.searchsorted(ids, a[e]).tolist(), np.searchsorted(others, b[e]).tolist(), c[e].tolist(), strict=True):
+        edges[i].append((j, x))
+    h = of[_CARRIED]
+    held = list(zip(np.searchsorted(ids, a[h]).tolist(), np.searchsorted(others, b[h]).tolist(), n[h].tolist(), c[h].tolist(), strict=True))
+    if not sum(supply) == sum(demand) == sum(x[2] for x in held):
+        v, held = [0] * len(demand), []  # a column with a price that stays free would spoil the bound
+    # one more pair counts for more than all distances
+    most = 10**9 * (min(sum(supply), sum(demand)) + 1)
+    u, v, flow, home = _carried(edges, supply, demand, most, v, held)
+    if held and any(home):
+        u, v, flow, home = _carried(edges, supply, demand, most, [0] * len(demand), [])
+    costs = [dict(x) for x in edges]
+    out = [(_ROW, i, None, x, s) for i, x, s in zip(ids.tolist(), u, supply, strict=True)]
+    out += [(_COLUMN, None, j, x, d) for j, x, d in zip(others.tolist(), v, demand, strict=True)]
+    out += [(_CARRIED, int(ids[i]), int(others[j]), costs[i][j], k) for j, x in enumerate(flow) for i, k in sorted(x.items())]
+    total = most * sum(home) + sum(costs[i][j] * k for j, x in enumerate(flow) for i, k in x.items())
+    bound = sum(s * x for s, x in zip(supply, u, strict=True)) + sum(d * x for d, x in zip(demand, v, strict=True))
+    valid = max(v, default=0) <= 0 and max(u, default=0) <= most
+    out.append((_OVER, None, None, total - bound if valid else 2**62, None))
+    columns = list(zip(*out, strict=True))
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array([rows["block"][0].as_py()] * len(out), pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], names=[x.split()[0] for x in _BLOCK.split(", ")])
+
+
+def _by_prices(left: DataFrame, right: DataFrame, sizes: tuple[DataFrame, DataFrame], near: int, more: int) -> DataFrame:
+    """kind, block, a, b, c, n: the optimal flow of blocks too large for all pairs, and its prices."""
+    spark, null = left.sparkSession, F.lit(None).cast("long")
+    row = lambda t, kind, a=null, b=null, c=null, n=null: t.select(F.lit(kind).alias("kind"), F.col("_block").alias("block"), a.alias("a"), b.alias("b"), c.alias("c"), n.alias("n"))
+    cost = F.round(F.col("distance") * 1e9).cast("long")
+    of = left.select("_block", "a")
+    pairs = tiles.nearest_few(left, right, "a", "b", near).unionByName(tiles.nearest_few(right, left, "b", "a", near))
+    edges = [keep(row(pairs.distinct().join(of, "a"), _EDGE, F.col("a"), F.col("b"), cost), "assign-edges")]
+    zero = F.lit(0).cast("long")
+    state = row(left.join(sizes[0], "a"), _ROW, F.col("a"), null, zero, F.col("na")).unionByName(row(right.join(sizes[1], "b"), _COLUMN, null, F.col("b"), zero, F.col("nb")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        every = state.filter(F.col("kind") != _OVER)
+        for e in edges:
+            every = every.unionByName(e)
+        state = keep(every.repartition(tasks, "block").groupBy("block").applyInArrow(_block_solved, _BLOCK), "assign-state")
+        price = lambda side, k, kind: side.join(state.filter(F.col("kind") == kind).select(k, F.col("c").alias("price")), k)  # noqa: B023, E731
+        under = keep(tiles.underpriced(price(left, "a", _ROW), price(right, "b", _COLUMN), "a", "b", more), "assign-under")
+        if under.isEmpty():
+            return state
+        edges.append(keep(row(under.join(of, "a"), _EDGE, F.col("a"), F.col("b"), cost), "assign-edges"))
+
+
+def assignment_of_sides(left: DataFrame, right: DataFrame, of_a: DataFrame, of_b: DataFrame, part: int = PART, near: int = 8, more: int = 4) -> DataFrame:
+    """a, b, distance, gap: the optimal one-to-one pairs of two sides of classes and their members, as `tiles.classes` gives them.
+
+    Blocks of at most `part` classes are solved over all their pairs. In larger ones a class has edges to its `near` nearest at first.
+    A task finds the best flow over a block's edges and its prices, then tiles look through all pairs for those under their prices,
+    which become edges too; when there are none the flow is the best over all pairs, and prices are its certificate. Memory of a
+    task grows with a block's classes and edges, and nothing keeps a row for each pair."""
+    count = lambda t: t.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
+    large = keep(count(left).unionByName(count(right)).groupBy("_block").agg(F.sum("n").alias("n")).filter(F.col("n") > part).select("_block"), "assign-large")
+    if large.isEmpty():
+        return _over_all(left, right, of_a, of_b, part)
+    of = lambda t, how: keep(t.join(large, "_block", how), "assign-side")
+    members = _members(of_a, left, "a"), _members(of_b, right, "b")
+    sizes = tuple(t.groupBy(F.col("of").alias(k)).agg(F.count(F.lit(1)).alias(f"n{k}")) for t, k in zip(members, "ab", strict=True))
+    state = _by_prices(of(left, "left_semi"), of(right, "left_semi"), sizes, near, more)
+    over = state.filter(F.col("kind") == _OVER).select("block", (F.col("c") / 1e9).alias("gap"))
+    flow = state.filter(F.col("kind") == _CARRIED).select("block", "a", "b", "c", "n")
+    # where a flow's units begin among the members of both its classes
+    begin = lambda k, o: F.coalesce(F.sum("n").over(Window.partitionBy(k).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"at_{k}")
+    flows = flow.select("*", begin("a", "b"), begin("b", "a")).join(over, "block").withColumn("d", F.col("c") / 1e9)
+    return _over_all(of(left, "left_anti"), of(right, "left_anti"), of_a, of_b, part).unionByName(_expanded(flows, *members).select("a", "b", "distance", "gap"))
+
+
+def _over_all(left: DataFrame, right: DataFrame, of_a: DataFrame, of_b: DataFrame, part: int) -> DataFrame:
+    of = lambda t, s, k: t.join(s.select(F.col(k).alias("_of")), "_of", "left_semi").select(k, "_of")
+    met = tiles.distances(left, right, "a", "b").join(left.select("a", F.xxhash64("_block").alias("block")), "a")
+    return assignment(met, "a", "b", "distance", "block", part=part, left=of(of_a, left, "a"), right=of(of_b, right, "b")).select("a", "b", "distance", "gap")
+
+
 def _auctioned(least: DataFrame, tolerance: float, part: int) -> DataFrame:
     sizes = least.groupBy("block").agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.max("d").alias("most"))
     sizes = keep(sizes.withColumn("parts", F.ceil((F.col("na") + F.col("nb")) / part)).withColumn("bonus", F.col("most") * F.least("na", "nb") + 1), "auction-blocks")
